@@ -29,9 +29,9 @@ NO_ID = np.iinfo(np.int64).max
 PACKED = "bucket int, ids binary, lens binary, body binary"
 REQUEST = "part int, bucket int, body binary"
 REPLY = "bucket int, part int, body binary"
-#: Bytes of text in one bucket. 8 MB suits Python workers of about 300 MB; on executors with more
+#: Bytes of text in one bucket. 4 MB suits Python workers of about 200 MB; on executors with more
 #: memory larger buckets mean fewer, larger shuffle blocks.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 _C1, _C2, _C3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -214,7 +214,7 @@ def pack(docs: DataFrame, buckets: int, doc_id: str = "doc_id", text: str = "tex
                     g, k = spread(lens[rows])
                     held.setdefault(int(to[rows[0]]), []).append((ids[rows], lens[rows], buf[off[rows][g] + k]))
             size += len(buf)
-            if size > 4 * BUCKET_BYTES:
+            if size > 8 * BUCKET_BYTES:
                 yield from out()
                 held, size = {}, 0
         yield from out()

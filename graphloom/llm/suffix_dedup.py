@@ -268,6 +268,7 @@ def suffix_array_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     if not 1 <= gram <= window or gram % 8 and gram > 8:
         raise ValueError("gram must be at most window, and a multiple of 8 above 8")
     n = buckets or K.buckets_of(K.corpus_bytes(docs, text))
+    shards = 2 * n  # a shard's suffix array takes about 60 bytes a byte of its distinct strings
     packed = K.pack(docs, n, doc_id, text)
 
     def ask(table: pa.Table) -> pa.Table:
@@ -283,7 +284,7 @@ def suffix_array_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             return K.rows_of([], [], [], ("part", "bucket"))
         ids, buf, off, doc, start, n_win, anchor, prints, first, _ = _candidates(table, replies, n, window, gram)
         to, bodies = [], []
-        for p, a, b in K.cut_by_part(anchor[first], n):
+        for p, a, b in K.cut_by_part(anchor[first], shards):
             f = first[a:b]
             lens = n_win[f] + window - 1
             g, k = K.spread(lens)
@@ -358,7 +359,7 @@ def suffix_array_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             where = (start[g] + k)[hit]
             np.add.at(edge, where, 1)
             np.add.at(edge, where + window, -1)
-        gone = np.cumsum(edge[:-1]) > 0
+        gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
         return _digest(ids, buf, off, gone)
 
     return packed.groupBy("bucket").cogroup(both.groupBy("bucket")).applyInArrow(cover, OUT)
@@ -381,7 +382,7 @@ def _digest(ids: np.ndarray, buf: np.ndarray, off: np.ndarray, gone: np.ndarray)
     span_off = np.searchsorted(rise, off)
     base = np.repeat(off[:-1], np.diff(span_off))
     kept = buf[~gone].tobytes()
-    removed = np.concatenate([[0], np.cumsum(gone)])[off]
+    removed = np.concatenate([np.zeros(1, np.int32), np.cumsum(gone, dtype=np.int32)])[off].astype(np.int64)
     kept_off = off - removed
     pieces = [kept[a:b] for a, b in zip(kept_off[:-1].tolist(), kept_off[1:].tolist())]
     spans = pa.ListArray.from_arrays(
