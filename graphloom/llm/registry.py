@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import suffix_dedup
+from . import lm_score, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+    "op9_lm_score": lm_score.op9_lm_score,
 }
 SQL = {
     "op1_suffix_array_dedup": suffix_dedup.SQL,
+    "op5_substring_dedup": substring_dedup.SQL,
+    "op9_lm_score": lm_score.SQL,
 }
