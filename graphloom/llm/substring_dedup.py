@@ -70,7 +70,7 @@ class _Bucket:
         h = K.hash_windows(self.words, np.arange(len(self.words) - first + 1), first)
         low = K.slide((h & U(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=U), window - first + 1, np.minimum)
         place = (low[at] & U(0xFFFFFFFF)).astype(np.int64)
-        return doc, place, h[place]
+        return doc, place, K.mix(h[place])  # minima are small numbers; mixed again they spread evenly
 
     def ask_first(self):
         doc, place, h = self.sampled()

@@ -22,18 +22,17 @@ repeat an id count as one document (they never remove from one another); other c
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import blocks as K
 from .blocks import U
 
 WINDOW = 50
 GRAM = 16
-OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, spans array<struct<start:long,end:long>>"
+OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,end:long>>"
 
 
 # ---------------------------------------------------------------- suffix arrays
@@ -233,7 +232,8 @@ def _strings(buf: np.ndarray, off: np.ndarray, window: int, gram: int):
         new = np.ones(len(start), bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (g[1:] != g[:-1])
         at = np.flatnonzero(new)
-        found.append((g[at] + i, start[at] + a, np.diff(np.concatenate([at, [len(start)]])), h[anchor[at]]))
+        # Minima are small numbers; mixed again they spread evenly over the hash ranges.
+        found.append((g[at] + i, start[at] + a, np.diff(np.concatenate([at, [len(start)]])), K.mix(h[anchor[at]])))
     if not found:
         z = np.zeros(0, np.int64)
         return z, z, z, z.astype(U)
@@ -264,11 +264,11 @@ def _candidates(table: pa.Table, replies: pa.Table, parts: int, window: int, gra
 
 
 def suffix_array_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, buckets: int | None = None) -> DataFrame:
-    """One row per row of docs: sizes, the kept bytes, their hash, and the removed spans."""
+    """One row per row of docs: sizes, the kept bytes, and the removed spans."""
     if not 1 <= gram <= window or gram % 8 and gram > 8:
         raise ValueError("gram must be at most window, and a multiple of 8 above 8")
     n = buckets or K.buckets_of(K.corpus_bytes(docs, text))
-    shards = 2 * n  # a shard's suffix array takes about 60 bytes a byte of its distinct strings
+    shards = n
     packed = K.pack(docs, n, doc_id, text)
 
     def ask(table: pa.Table) -> pa.Table:
@@ -392,13 +392,13 @@ def _digest(ids: np.ndarray, buf: np.ndarray, off: np.ndarray, gone: np.ndarray)
     return pa.table({
         "doc_id": K.ids_back(ids), "n_bytes": pa.array(np.diff(off), pa.int64()), "n_removed": pa.array(np.diff(removed), pa.int64()),
         "n_spans": pa.array(np.diff(span_off), pa.int64()), "kept": pa.array(pieces, pa.binary()),
-        "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in pieces], pa.string()), "spans": spans,
+        "spans": spans,
     })
 
 
 def op1_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return suffix_array_dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffix_array_dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 SQL = """
