@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import lm_score, substring_dedup, suffix_dedup
+from . import lm_score, media_jpeg, sharding, simhash, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+    "op6_sharding": sharding.op6_sharding,
+    "op8_simhash": simhash.op8_simhash,
     "op9_lm_score": lm_score.op9_lm_score,
+    "op10_media_jpeg": media_jpeg.op10_media_jpeg,
 }
 SQL = {
     "op1_suffix_array_dedup": suffix_dedup.SQL,
     "op5_substring_dedup": substring_dedup.SQL,
+    "op6_sharding": sharding.SQL,
     "op9_lm_score": lm_score.SQL,
 }
