@@ -184,8 +184,23 @@ def buckets_of(total: int, bucket_bytes: int = BUCKET_BYTES) -> int:
     return max(6, math.ceil(total / bucket_bytes))
 
 
-def pack(docs: DataFrame, buckets: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """All rows of docs as packed buckets, exchanged by bucket: the one shuffle of the texts."""
+def _stream(tables: list) -> bytes:
+    sink = pa.BufferOutputStream()
+    whole = pa.Table.from_batches(tables).combine_chunks()
+    with pa.ipc.new_stream(sink, whole.schema) as out:
+        out.write_table(whole)
+    return sink.getvalue().to_pybytes()
+
+
+def carried(table: pa.Table) -> pa.Table:
+    """The columns that travelled with a bucket's texts, in the order of unpack."""
+    return pa.concat_tables([pa.ipc.open_stream(unsqueeze(x)).read_all() for x in table["extra"].to_pylist()])
+
+
+def pack(docs: DataFrame, buckets: int, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """All rows of docs as packed buckets, exchanged by bucket: the one shuffle of the texts.
+
+    carry: further columns that travel with them (carried)."""
 
     def run(batches):
         held: dict[int, list] = {}
@@ -199,8 +214,9 @@ def pack(docs: DataFrame, buckets: int, doc_id: str = "doc_id", text: str = "tex
                         np.concatenate([p[0] for p in parts]).tobytes(),
                         np.concatenate([p[1] for p in parts]).tobytes(),
                         squeeze(np.concatenate([p[2] for p in parts])),
+                        *([squeeze(_stream([p[3] for p in parts]))] if carry else []),
                     )],
-                    names=["bucket", "ids", "lens", "body"],
+                    names=["bucket", "ids", "lens", "body", "extra"][: 5 if carry else 4],
                 )
 
         for batch in batches:
@@ -212,15 +228,15 @@ def pack(docs: DataFrame, buckets: int, doc_id: str = "doc_id", text: str = "tex
             for rows in np.split(order, cut):
                 if len(rows):
                     g, k = spread(lens[rows])
-                    held.setdefault(int(to[rows[0]]), []).append((ids[rows], lens[rows], buf[off[rows][g] + k]))
+                    held.setdefault(int(to[rows[0]]), []).append((ids[rows], lens[rows], buf[off[rows][g] + k], batch.select(range(2, 2 + len(carry))).take(pa.array(rows)) if carry else None))
             size += len(buf)
             if size > 8 * BUCKET_BYTES:
                 yield from out()
                 held, size = {}, 0
         yield from out()
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, PACKED).repartition(buckets, "bucket")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
+    return rows.mapInArrow(run, PACKED + ", extra binary" * bool(carry)).repartition(buckets, "bucket")
 
 
 def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -299,3 +315,10 @@ def read_repeated(keys: np.ndarray, replies: pa.Table, parts: int) -> np.ndarray
     for p, a, b in cut_by_part(keys, parts):
         found[a:b] = np.unpackbits(np.frombuffer(by[p], np.uint8), count=b - a)
     return found
+
+
+def beside(table: pa.Table, extra: pa.Table | None, names: tuple[str, ...]) -> pa.Table:
+    """table with the carried columns beside its own (nulls where there are none)."""
+    for i, name in enumerate(names):
+        table = table.append_column(name, extra.column(i) if extra is not None else pa.nulls(table.num_rows))
+    return table

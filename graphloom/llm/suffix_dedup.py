@@ -263,13 +263,14 @@ def _candidates(table: pa.Table, replies: pa.Table, parts: int, window: int, gra
     return ids, buf, off, doc, start, n_win, anchor, print_, first, unique_of
 
 
-def suffix_array_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, buckets: int | None = None) -> DataFrame:
-    """One row per row of docs: sizes, the kept bytes, and the removed spans."""
+def suffix_array_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, buckets: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: sizes, the kept bytes, the removed spans, and the columns to carry."""
     if not 1 <= gram <= window or gram % 8 and gram > 8:
         raise ValueError("gram must be at most window, and a multiple of 8 above 8")
     n = buckets or K.buckets_of(K.corpus_bytes(docs, text))
     shards = n
-    packed = K.pack(docs, n, doc_id, text)
+    packed = K.pack(docs, n, doc_id, text, carry)
+    carried = [docs.schema[c] for c in carry]
 
     def ask(table: pa.Table) -> pa.Table:
         ids, buf, off = K.unpack(table)
@@ -339,7 +340,7 @@ def suffix_array_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     def cover(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return _empty()
+            return K.beside(_empty(), None, carry)
         part = np.asarray(replies["part"])
         ids, buf, off, doc, start, n_win, anchor, _, first, unique_of = _candidates(table, replies.filter(pa.array(part >= 0)), n, window, gram)
         late = replies.filter(pa.array(part < 0)).sort_by([("part", "descending")])
@@ -360,9 +361,9 @@ def suffix_array_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             np.add.at(edge, where, 1)
             np.add.at(edge, where + window, -1)
         gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
-        return _digest(ids, buf, off, gone)
+        return K.beside(_digest(ids, buf, off, gone), K.carried(table) if carry else None, carry)
 
-    return packed.groupBy("bucket").cogroup(both.groupBy("bucket")).applyInArrow(cover, OUT)
+    return packed.groupBy("bucket").cogroup(both.groupBy("bucket")).applyInArrow(cover, OUT + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in carried))
 
 
 def _empty() -> pa.Table:
