@@ -1,0 +1,3 @@
+"""Graphs are loaded once and do not change, so there are no streaming operators here.
+
+A stream of edges can be kept as a table by any ``writeStream`` sink; ``Graph.from_edges`` reads the table."""
