@@ -80,8 +80,7 @@ class CompiledPlan:
 
     def relations(self, graph: Graph | None = None) -> match.Relations:
         g = graph or self.graph
-        top = g.persisted().agg(F.coalesce(F.max("src"), F.lit(0))).first()[0]
-        return match.Relations(g.edges, g.num_edges, top)
+        return match.Relations(g.persisted(), g.num_edges, g.largest_id, g.auxiliary)
 
     def matches(self, graph: Graph | None = None) -> DataFrame:
         """The occurrences themselves: v0 .. v{k-1} by matching order, each once."""

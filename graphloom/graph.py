@@ -44,6 +44,8 @@ class Graph:
         self.edges = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
         self.name = name
         self._triangles, self._meta = triangles, meta
+        #: Relations that pruned plans share (operators.match.Relations.kept).
+        self.auxiliary: dict = {}
 
     # -- sources
 
@@ -98,6 +100,10 @@ class Graph:
         """Directed entries: twice the edges."""
         return self._meta.num_edge if self._meta else self._summary[1]
 
+    @cached_property
+    def largest_id(self) -> int:
+        return self.persisted().agg(F.coalesce(F.max("src"), F.lit(0))).first()[0]
+
     @cached_property
     def _estimate(self) -> tuple[int, float]:
         return S.estimated_triangles(self.persisted(), self.num_vertices)
@@ -154,7 +160,9 @@ class Graph:
         return self.edges
 
     def unpersist(self) -> None:
-        self.edges.unpersist()
+        for df in [self.edges, *self.auxiliary.values()]:
+            df.unpersist()
+        self.auxiliary.clear()
 
     def save(self, folder: str) -> MetaData:
         """Adjacency with triangle counts as Parquet, and exact metadata."""

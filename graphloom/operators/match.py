@@ -28,8 +28,9 @@ BROADCAST_ROWS = 2_000_000
 class Relations:
     """The edges that a plan reads, sized."""
 
-    def __init__(self, edges: DataFrame, rows: int, top: int, broadcast_rows: int = BROADCAST_ROWS):
+    def __init__(self, edges: DataFrame, rows: int, top: int, auxiliary: dict | None = None, broadcast_rows: int = BROADCAST_ROWS):
         self.edges, self.rows, self.small = edges, rows, rows <= broadcast_rows
+        self.auxiliary: dict = {} if auxiliary is None else auxiliary
         self.shift = top + 1
         if self.shift**2 >= 1 << 63:
             raise ValueError("ids must be below 3037000499; use dense ids")
@@ -41,17 +42,37 @@ class Relations:
     def key(self, a: str, b: str) -> Column:
         return F.col(a) * F.lit(self.shift) + F.col(b)
 
+    def kept(self, name, make, persist: bool) -> DataFrame:
+        """An auxiliary relation; a persisted one is made once for all plans on the graph."""
+        if not persist:
+            return make()
+        if name not in self.auxiliary or not self.auxiliary[name].storageLevel.useMemory:
+            self.auxiliary[name] = make().persist()
+        return self.auxiliary[name]
+
+    def reduced(self, least: int, persist: bool) -> DataFrame:
+        """Edges whose ends have a degree of at least least: others are in no occurrence."""
+
+        def make() -> DataFrame:
+            fit = self.sized(degrees(self.edges).where(F.col("degree") >= least).select("vid"))
+            return self.edges.join(fit, self.edges["src"] == fit["vid"], "left_semi").join(fit, self.edges["dst"] == fit["vid"], "left_semi")
+
+        return self.kept(("reduced", least), make, persist)
+
+    def wedges(self, edges: DataFrame, persist: bool) -> DataFrame:
+        return self.kept(("wedges", edges.semanticHash()), lambda: closed_wedges(self, edges), persist)
+
     def lists(self) -> DataFrame:
         if self._adjacency is None:
             self._adjacency = adjacency(self.edges).select("vid", "nbrs")
         return self._adjacency
 
 
-def closed_wedges(r: Relations) -> DataFrame:
+def closed_wedges(r: Relations, edges: DataFrame) -> DataFrame:
     """(e, c): for every directed edge, by its key, the common neighbours of its ends."""
-    ab = r.edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    ac = r.sized(r.edges.select(F.col("src").alias("a"), F.col("dst").alias("c")))
-    test = r.sized(r.edges.select((F.col("src") * r.shift + F.col("dst")).alias("k")))
+    ab = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    ac = r.sized(edges.select(F.col("src").alias("a"), F.col("dst").alias("c")))
+    test = r.sized(edges.select((F.col("src") * r.shift + F.col("dst")).alias("k")))
     return ab.join(ac, "a").where("b <> c").join(test, r.key("b", "c") == F.col("k"), "left_semi").select(r.key("a", "b").alias("e"), "c")
 
 
@@ -75,21 +96,12 @@ def matches(s: Schedule, r: Relations, induced: bool, aux: Auxiliary | None = No
     pairs = s.implied if restrictions is None else restrictions
     edges = r.edges
     if aux and aux.degree:
-        d = degrees(edges)
         least = min(p.degree(i) for i in range(p.size))
-        if least > 1:  # an end of smaller degree is in no occurrence
-            fit = r.sized(d.where(F.col("degree") >= least).select("vid"))
-            edges = edges.join(fit, edges["src"] == fit["vid"], "left_semi").join(fit, edges["dst"] == fit["vid"], "left_semi")
-            if aux.persist:
-                edges = edges.persist()
-    reduced_ = Relations.__new__(Relations)
-    reduced_.__dict__.update(r.__dict__)
-    reduced_.edges = edges
+        if least > 1:
+            edges = r.reduced(least, aux.persist)
     wedges = None
     if aux and any(u < k for u in aux.closed):
-        wedges = closed_wedges(reduced_)
-        if aux.persist:
-            wedges = wedges.persist()
+        wedges = r.wedges(edges, aux.persist)
     if k == 1:
         return edges.select(F.col("src").alias("v0")).distinct()
     out = edges.select(F.col("src").alias("v0"), F.col("dst").alias("v1"))

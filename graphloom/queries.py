@@ -63,7 +63,7 @@ def matching_sql(adjacency: str, induced: bool) -> str:
 
 def _matching(adjacency: str, kind: str, **options) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return compile_plan(graph(spark, sf_dir), adjacency, kind, **({"pruning_type": "static", "scheduler": "structural"} | options)).counts()
+        return compile_plan(graph(spark, sf_dir), adjacency, kind, **({"pruning_type": "none", "scheduler": "structural"} | options)).counts()
 
     return run
 
@@ -77,7 +77,7 @@ for _name, _adjacency in CATALOGUE.items():
     QUERIES[f"match_edge_iep_{_name}"] = _matching(_adjacency, "edge_iep")
     SQL[f"match_edge_{_name}"] = SQL[f"match_edge_iep_{_name}"] = matching_sql(_adjacency, False)
     SQL[f"match_vertex_{_name}"] = matching_sql(_adjacency, True)
-for _kind in ("eager", "online", "costmodel", "none"):
+for _kind in ("static", "eager", "online", "costmodel"):
     QUERIES[f"pruning_{_kind}_p3"] = _matching(CATALOGUE["p3"], "edge", pruning_type=_kind)
     SQL[f"pruning_{_kind}_p3"] = SQL["match_edge_p3"]
 for _kind in ("cost", "density"):
