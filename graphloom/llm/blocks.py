@@ -16,6 +16,7 @@ Nulls: a null text is empty, a null id sorts after all others and comes back as
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Iterator
 
@@ -39,6 +40,20 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+try:  # large arrays go back to the system when they are freed; a process keeps no more than it uses
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.mallopt(-3, 4 << 20)
+except OSError:  # another C library
+    _libc = None
+
+
+def trim() -> None:
+    """Returns what earlier work of this process has freed to the system."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def squeeze(data: bytes | np.ndarray) -> bytes:
     raw = data if isinstance(data, bytes) else np.ascontiguousarray(data).tobytes()
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
@@ -241,6 +256,7 @@ def pack(docs: DataFrame, buckets: int, doc_id: str = "doc_id", text: str = "tex
 
 def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """ids, bytes and offsets of one bucket, in a fixed order: by id, then by text length and bytes."""
+    trim()
     ids = [np.frombuffer(x, np.int64) for x in table["ids"].to_pylist()]
     lens = [np.frombuffer(x, np.int64) for x in table["lens"].to_pylist()]
     if not ids:

@@ -268,7 +268,7 @@ def suffix_array_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     if not 1 <= gram <= window or gram % 8 and gram > 8:
         raise ValueError("gram must be at most window, and a multiple of 8 above 8")
     n = buckets or K.buckets_of(K.corpus_bytes(docs, text))
-    shards = n
+    shards = 2 * n  # a shard's suffix array takes about 60 bytes a byte of its distinct strings
     packed = K.pack(docs, n, doc_id, text, carry)
     carried = [docs.schema[c] for c in carry]
 
@@ -296,6 +296,7 @@ def suffix_array_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     strings = packed.groupBy("bucket").cogroup(repeated.groupBy("bucket")).applyInArrow(send, K.REQUEST)
 
     def shard(table: pa.Table) -> pa.Table:
+        K.trim()
         prints, owner, lens, text_ = [], [], [], []
         sizes = []
         for x in table["body"].to_pylist():
