@@ -76,7 +76,7 @@ class CompiledPlan:
 
     def describe(self) -> str:
         lines = [f"{self.query_type} matching by {self.lowering} lowering", self.schedule.describe(), self.auxiliary.describe()]
-        return "\n".join(lines + [self.suffix.describe()] * (self.suffix is not None))
+        return "\n".join(lines + ([self.suffix.describe()] if self.suffix else []))
 
     def relations(self, graph: Graph | None = None) -> match.Relations:
         g = graph or self.graph
