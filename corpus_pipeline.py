@@ -34,8 +34,13 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language: no letters, or none that is more likely than all others together."""
-    rows = _lang.language_id(docs, _lang.fit(docs), text="text", host="source")
+    """Rejects documents without a language: no letters, or none that is more likely than all others together.
+
+    Without labelled documents there is no model, and none is rejected."""
+    model = _lang.fit(docs)
+    if not model.languages:
+        return docs
+    rows = _lang.language_id(docs, model, text="text", host="source")
     return _without(docs, rows.where("NOT accepted").select("doc_id"))
 
 
@@ -49,10 +54,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     A character that a cut leaves incomplete goes too; n_chars follows the text."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    out = _suffix.suffix_array_dedup(docs, carry=others).where("NOT (n_bytes > 0 AND n_removed = n_bytes)")
+    hidden = tuple(f"__{i}" for i in range(len(others)))  # no clash with the operator's columns
+    rows = docs.select("doc_id", "text", *[F.col(c).alias(h) for c, h in zip(others, hidden)])
+    out = _suffix.suffix_array_dedup(rows, carry=hidden).where("NOT (n_bytes > 0 AND n_removed = n_bytes)")
     text = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit(""))
     text = F.when(F.col("n_removed") > 0, text).otherwise(F.col("kept").cast("string"))
-    out = out.withColumn("text", text)
+    out = out.select("doc_id", text.alias("text"), *[F.col(h).alias(c) for c, h in zip(others, hidden)])
     if "n_chars" in others:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

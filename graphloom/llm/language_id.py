@@ -17,7 +17,8 @@ repeated SALT times), so one host with a third of all rows is spread over SALT p
 
 Defined cases: null or empty text: text(l) = 0 for all l; missing declared, suffix or host: no such term (no
 host: the corpus prior); a text without trigrams is not accepted; null and repeated ids keep their rows;
-an empty table gives no rows; without any labelled row there is nothing to fit and ValueError is raised.
+an empty table gives no rows; without any labelled row there is no model: lang and probability are null, nothing is
+accepted.  Columns to keep must not be named declared, suffix, host, score, n, guess, row, s or best.
 """
 
 from __future__ import annotations
@@ -93,8 +94,6 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", train_rows
     rate = min(1.0, (train_rows + 4 * train_rows**0.5) / max(count, 1))
     draw = F.pmod(F.xxhash64("t", F.lit(3)), F.lit(1 << 30))
     sample = sorted(rows.where(draw < F.lit(int(rate * (1 << 30)))).collect(), key=lambda r: (hash64(r[0]), r[0], r[1]))[:train_rows]
-    if not sample:
-        raise ValueError("no labelled rows")
     return TextModel(sorted({r[1] for r in sample}), [r[0] for r in sample], [r[1] for r in sample])
 
 
@@ -122,19 +121,24 @@ def visible_text(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(?s)<[^>]*>", " "), r"&#?\w+;", " ")
 
 
-def _smoothed(rows: DataFrame, key: str, parent: DataFrame | None, weight: float, n: int) -> DataFrame:
-    """(key, prior array): counts of guess by key, smoothed towards the parent's prior."""
+def _smoothed(rows: DataFrame, key: str, parent: DataFrame | Column, weight: float, n: int) -> DataFrame:
+    """(key, prior array): counts of guess by key, smoothed towards the parent's prior: one for all keys, or
+    that of the host's site."""
     counts = rows.where(f"{key} IS NOT NULL").groupBy(key, "guess").agg(F.count("*").alias("c"))
     counts = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("guess", "c"))).alias("m"), F.sum("c").alias("all"))  # at most n entries
-    counts = counts.withColumn("parent_key", site_of(F.col(key)) if key == "host" else F.lit(0))
-    joined = counts.join(parent, "parent_key")
+    if isinstance(parent, Column):
+        counts = counts.withColumn("parent", parent)
+    else:
+        counts = counts.withColumn("site", site_of(F.col(key))).join(parent.select("site", F.col("prior").alias("parent")), "site")
     each = [(F.coalesce(F.col("m")[i], F.lit(0)) + weight * F.col("parent")[i]) / (F.col("all") + F.lit(weight)) for i in range(n)]
-    return joined.select(F.col(key), F.array(*each).alias("prior"))
+    return counts.select(F.col(key), F.array(*each).alias("prior"))
 
 
 def language_id(rows: DataFrame, model: TextModel, keep: tuple[str, ...] = ("doc_id",), text: str = "text", declared: str | None = None, suffix: str | None = None, host: str | None = None, threshold: float = 0.5) -> DataFrame:
     """The columns to keep, with lang, probability and accepted (a text that has trigrams, at the threshold)."""
     langs, n = model.languages, len(model.languages)
+    if not n:
+        return rows.select(*keep, F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("probability"), F.lit(False).alias("accepted"))
     col = lambda c: F.col(c).cast("string") if c else F.lit(None).cast("string")
     slim = rows.select(*keep, col(text).alias("__t"), col(declared).alias("declared"), col(suffix).alias("suffix"), col(host).alias("host"))
     at = len(keep)
@@ -188,8 +192,8 @@ def language_id(rows: DataFrame, model: TextModel, keep: tuple[str, ...] = ("doc
             out = salted(out, likelihood(key), key)
             terms.append(F.coalesce(f"add_{key}", zero))
     if host:
-        sites = _smoothed(known.withColumn("site", site_of(F.col("host"))), "site", spark.range(1).select(F.lit(0).alias("parent_key"), root.alias("parent")), SITE_WEIGHT, n)
-        hosts = _smoothed(known, "host", sites.select(F.col("site").alias("parent_key"), F.col("prior").alias("parent")), HOST_WEIGHT, n)
+        sites = _smoothed(known.withColumn("site", site_of(F.col("host"))), "site", root, SITE_WEIGHT, n)
+        hosts = _smoothed(known, "host", sites, HOST_WEIGHT, n)
         out = salted(out, hosts, "host")
         terms.append(F.transform(F.coalesce("prior", root), lambda p: F.log(p)))
     else:

@@ -169,10 +169,8 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         mine = replies.filter(pa.array(part // n == level))
         return mine.set_column(mine.schema.get_field_index("part"), "part", pa.array(np.asarray(mine["part"]) % n, pa.int32()))
 
-    replies = K.repeated(packed.groupBy("bucket").applyInArrow(ask, K.REQUEST), n)
-    for level in range(1, len(levels) - 1):
-
-        def extend(table: pa.Table, replies: pa.Table, level=level) -> pa.Table:
+    def extend(level: int):
+        def run(table: pa.Table, replies: pa.Table) -> pa.Table:
             if not table.num_rows:
                 return K.rows_of([], [], [], ("part", "bucket"))
             b = _Bucket(table, levels)
@@ -181,7 +179,11 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             _, to, bodies = K.ask_repeated(h, b.ids[doc], n)
             return _request(table, to, bodies)
 
-        asked = packed.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(extend, K.REQUEST)
+        return run
+
+    replies = K.repeated(packed.groupBy("bucket").applyInArrow(ask, K.REQUEST), n)
+    for level in range(1, len(levels) - 1):
+        asked = packed.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(extend(level), K.REQUEST)
         replies = replies.unionByName(K.repeated(asked, n).selectExpr("bucket", f"CAST(part + {level * n} AS INT) AS part", "body"))
     last = max(1, len(levels) - 1)
 
