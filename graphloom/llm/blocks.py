@@ -33,6 +33,8 @@ REPLY = "bucket int, part int, body binary"
 #: Bytes of text in one bucket. 4 MB suits Python workers of about 200 MB; on executors with more
 #: memory larger buckets mean fewer, larger shuffle blocks.
 BUCKET_BYTES = 4 << 20
+#: Bounds of one Arrow batch.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
 _C1, _C2, _C3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -42,7 +44,7 @@ LOWER[65:91] += 32
 
 try:  # large arrays go back to the system when they are freed; a process keeps no more than it uses
     _libc = ctypes.CDLL("libc.so.6")
-    _libc.mallopt(-3, 4 << 20)
+    _libc.mallopt(-3, 1 << 20)
 except OSError:  # another C library
     _libc = None
 
@@ -54,6 +56,29 @@ def trim() -> None:
         _libc.malloc_trim(0)
 
 
+def tidy(run):
+    """A function over Arrow batches that leaves no freed memory behind when its task ends."""
+
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return inner
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Bounds the Arrow batches between the JVM and Python by bytes (their default bound is in rows, and ten
+    thousand long texts are a lot). A setting that the session already has below the bound stays."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        have = conf.get(key, None)
+        if have is None or not have.isdigit() or not 0 < int(have) <= most:
+            conf.set(key, str(most))
+    return df
+
+
 def squeeze(data: bytes | np.ndarray) -> bytes:
     raw = data if isinstance(data, bytes) else np.ascontiguousarray(data).tobytes()
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
@@ -251,7 +276,7 @@ def pack(docs: DataFrame, buckets: int, doc_id: str = "doc_id", text: str = "tex
         yield from out()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
-    return rows.mapInArrow(run, PACKED + ", extra binary" * bool(carry)).repartition(buckets, "bucket")
+    return small_batches(rows).mapInArrow(tidy(run), PACKED + ", extra binary" * bool(carry)).repartition(buckets, "bucket")
 
 
 def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -154,7 +154,7 @@ def decontaminate(
                     cols = [[table.ids[k] for _, k, _ in found], [n for _, _, n in found], [table.size[k] for _, k, _ in found]]
                     yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, pa.int64()) for c in cols]], names=["doc_id", "item_id", "n_shared", "n_shingles"])
 
-        return rows.mapInArrow(run, OUT)
+        return K.small_batches(rows).mapInArrow(K.tidy(run), OUT)
 
     return reduce(DataFrame.unionByName, [one(b) for b in range(blocks)])
 

@@ -164,7 +164,7 @@ def language_id(rows: DataFrame, model: TextModel, keep: tuple[str, ...] = ("doc
     # The texts are read and scored once; what follows moves scores and keys only.
 
 
-    scored = checkpointed(slim.mapInArrow(run, schema + ", score array<double>, n long, guess int"))
+    scored = checkpointed(K.small_batches(slim).mapInArrow(K.tidy(run), schema + ", score array<double>, n long, guess int"))
     # The corpus prior and the tables of declared languages: one small row a language each.
     totals = {r[0]: r[1] for r in scored.where("n > 0").groupBy("guess").agg(F.count("*")).collect()}
     every = sum(totals.values())

@@ -367,7 +367,7 @@ def media_columns(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
                 )
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, OUT)
+    return K.small_batches(rows).mapInArrow(K.tidy(run), OUT)
 
 
 def decode_column(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -383,7 +383,7 @@ def decode_column(df: DataFrame, media: str = "media", keep: tuple[str, ...] = (
                 (lambda r: r[0], pa.int64()), (lambda r: r[1], pa.int64()), (lambda r: r[2].tobytes(), pa.binary()), (lambda r: thumbnail_hash(r[2]), pa.string()))]
             yield pa.RecordBatch.from_arrays(batch.columns[:-1] + cols, names=batch.schema.names[:-1] + ["width", "height", "thumbnail", "thumbnail_hash"])
 
-    return kept.mapInArrow(run, ", ".join(fields + ["width long", "height long", "thumbnail binary", "thumbnail_hash string"]))
+    return K.small_batches(kept).mapInArrow(K.tidy(run), ", ".join(fields + ["width long", "height long", "thumbnail binary", "thumbnail_hash string"]))
 
 
 def op10_media_jpeg(spark, sf_dir: str) -> DataFrame:

@@ -122,16 +122,15 @@ def build(model: Model):
 class Codec:
     """One process's encoder and decoder; distinct words are remembered, LIMIT of them at most."""
 
-    LIMIT = 200_000
+    LIMIT = 50_000
 
     def __init__(self, data: bytes, verify: bool = True):
         import sentencepiece
+        from tokenizers import Tokenizer
 
         self.model = Model(data)
         self.tokenizer = build(self.model)
-        self.words = build(self.model)
-        self.words.normalizer = None
-        self.words.pre_tokenizer = None
+        self.words = Tokenizer(self.tokenizer.model)  # the same model, for words that are already marked
         self.plain = not self.model.charsmap and not self.model.squeeze and self.model.dummy_prefix
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data) if verify else None
         self.split = re.compile(f"{MARK}+[^{MARK}]*").findall
@@ -184,16 +183,6 @@ class Codec:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
 
-_codecs: dict[tuple[str, bool], Codec] = {}
-
-
-def _codec(key: str, data: bytes, verify: bool) -> Codec:
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
-    if (key, verify) not in _codecs:
-        _codecs[key, verify] = Codec(data, verify)
-    return _codecs[key, verify]
-
-
 def _read(path: str) -> bytes:
     if os.path.exists(path):
         with open(path, "rb") as f:
@@ -216,7 +205,8 @@ def sentencepiece_encode(docs: DataFrame, text: str = "text", model: str = MODEL
     schema += ", ids array<int>, parity boolean" + ", decoded string" * decode
 
     def run(batches):
-        codec = _codec(model, data.value, verify)
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+        codec = Codec(data.value, verify)  # one a task: workers outlive tasks, and would keep its memory
         for batch in batches:
             size = K.string_buffer(batch.column(at))[1]
             for i, j in K.chunks(size):
@@ -231,7 +221,7 @@ def sentencepiece_encode(docs: DataFrame, text: str = "text", model: str = MODEL
                     cols.append(pa.array(codec.decode([ids[a:b] for a, b in zip(edge[:-1], edge[1:])]), pa.string()))
                 yield pa.RecordBatch.from_arrays([*piece.columns, *cols], names=[*batch.schema.names, *new])
 
-    return rows.mapInArrow(run, schema)
+    return K.small_batches(rows).mapInArrow(K.tidy(run), schema)
 
 
 def op7_sentencepiece(spark, sf_dir: str) -> DataFrame:

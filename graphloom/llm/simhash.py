@@ -148,7 +148,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(majority(h, n).view(np.int64))], names=["doc_id", "fp"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return K.small_batches(rows).mapInArrow(K.tidy(run), "doc_id long, fp long")
 
 
 def _quarters(fp: np.ndarray) -> np.ndarray:

@@ -196,7 +196,7 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fi
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(np.diff(wo), pa.int64()), pa.array(np.diff(total[wo]), pa.int64())], names=["doc_id", "n_words", "n_tokens"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return K.small_batches(rows).mapInArrow(K.tidy(run), "doc_id long, n_words long, n_tokens long")
 
 
 def op4_token_counts(spark, sf_dir: str) -> DataFrame:
