@@ -42,13 +42,18 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-try:  # large arrays go back to the system when they are freed; a process keeps no more than it uses
+try:
     _libc = ctypes.CDLL("libc.so.6")
-    _libc.mallopt(-3, 1 << 20)
 except OSError:  # another C library
     _libc = None
 
 
+def few_arenas() -> None:
+    """Threads of this process share two heaps instead of having one each."""
+    if _libc is not None:
+        _libc.mallopt(-8, 2)
+
+
 def trim() -> None:
     """Returns what earlier work of this process has freed to the system."""
     pa.default_memory_pool().release_unused()
@@ -281,7 +286,6 @@ def pack(docs: DataFrame, buckets: int, doc_id: str = "doc_id", text: str = "tex
 
 def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """ids, bytes and offsets of one bucket, in a fixed order: by id, then by text length and bytes."""
-    trim()
     ids = [np.frombuffer(x, np.int64) for x in table["ids"].to_pylist()]
     lens = [np.frombuffer(x, np.int64) for x in table["lens"].to_pylist()]
     if not ids:

@@ -191,10 +191,10 @@ def _read(path: str) -> bytes:
         return f.read()
 
 
-def sentencepiece_encode(docs: DataFrame, text: str = "text", model: str = MODEL, verify: bool = True, decode: bool = True) -> DataFrame:
+def sentencepiece_encode(docs: DataFrame, text: str = "text", model: str = MODEL, verify: bool = True, decode: bool = True, threads: int = 2) -> DataFrame:
     """docs with ids (array of int), parity (ids equal SentencePiece's) and decoded (the ids turned back).
 
-    Columns of docs with these names are replaced.  The model file (some hundred KB) is read by the driver
+    threads: of the library, in each task. Columns of docs with these names are replaced.  The model file (some hundred KB) is read by the driver
     and shipped with the tasks."""
     data = docs.sparkSession.sparkContext.broadcast(_read(model))
     new = ["ids", "parity", "decoded"][: 3 if decode else 2]
@@ -205,11 +205,13 @@ def sentencepiece_encode(docs: DataFrame, text: str = "text", model: str = MODEL
     schema += ", ids array<int>, parity boolean" + ", decoded string" * decode
 
     def run(batches):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"
+        os.environ["RAYON_NUM_THREADS"] = str(threads)
+        K.few_arenas()
         codec = Codec(data.value, verify)  # one a task: workers outlive tasks, and would keep its memory
         for batch in batches:
             size = K.string_buffer(batch.column(at))[1]
-            for i, j in K.chunks(size):
+            for i, j in K.chunks(size, 1 << 18):
                 piece = batch.slice(i, j - i)
                 texts = [x or "" for x in piece.column(at).to_pylist()]
                 flat, n, same = codec.encode(texts)
