@@ -296,7 +296,6 @@ def suffix_array_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     strings = packed.groupBy("bucket").cogroup(repeated.groupBy("bucket")).applyInArrow(send, K.REQUEST)
 
     def shard(table: pa.Table) -> pa.Table:
-        K.trim()
         prints, owner, lens, text_ = [], [], [], []
         sizes = []
         for x in table["body"].to_pylist():
