@@ -122,7 +122,7 @@ def build(model: Model):
 class Codec:
     """One process's encoder and decoder; distinct words are remembered, LIMIT of them at most."""
 
-    LIMIT = 50_000
+    LIMIT = 200_000
 
     def __init__(self, data: bytes, verify: bool = True):
         import sentencepiece
