@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import decontaminate as _bench
 from graphloom.llm import language_id as _lang
+from graphloom.llm import near_copies as _near
 from graphloom.llm import sentencepiece_backend as _pieces
 from graphloom.llm import simhash as _simhash
 from graphloom.llm import suffix_dedup as _suffix
-from graphloom.llm.components import checkpointed
+from graphloom.llm.components import checkpointed, components
 
 #: Ids to drop are broadcast up to this number (8 bytes each); beyond it they meet the rows in a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -45,8 +46,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component of fingerprints within the radius."""
-    return _without(docs, _simhash.simhash_dedup(docs).where("doc_id <> component_id").select("doc_id"))
+    """Keeps the document with the smallest id of each component of near copies.
+
+    Two documents are near copies if op8's fingerprints are within its radius, or if the Jaccard similarity of
+    their five-word shingles is at least 0.8, which a radius does not decide."""
+    ids = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+    return _without(docs, _components(ids, "doc_id").where("doc_id <> component_id").select("doc_id"))
+
+
+def _components(docs: DataFrame, key: str) -> DataFrame:
+    """(key, component_id) over links of fingerprints and of shingle sets; component_id is the smallest key."""
+    prints = _simhash.simhash_dedup(docs, key).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    sets = _near.near_copies(docs, key).select(F.col("key").alias("a"), F.col("group").alias("b"))
+    found = components(prints.unionByName(sets).where("a <> b"))
+    return found.select(F.col("node").alias(key), F.col("root").alias("component_id"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
