@@ -4,7 +4,8 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the
 ``documents``.  Between stages the rows are written as Parquet, so each works on all that its predecessor
 kept and a lost executor costs at most one stage.
 
-Rows without an id pass every stage that decides by id.  Rows that repeat an id stay or go together.
+Language ID, near copies and leaks are decided by row: each of these stages numbers the rows of its input, so
+rows without an id and rows that repeat one are judged like all others.
 """
 
 from __future__ import annotations
@@ -24,14 +25,20 @@ from graphloom.llm import simhash as _simhash
 from graphloom.llm import suffix_dedup as _suffix
 from graphloom.llm.components import checkpointed, components
 
-#: Ids to drop are broadcast up to this number (8 bytes each); beyond it they meet the rows in a shuffle.
+#: Rows to drop are broadcast up to this number (8 bytes each); beyond it they meet the rows in a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    ids = checkpointed(ids.select(F.col(ids.columns[0]).alias("__id")).where("__id IS NOT NULL").distinct())
-    small = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if small else ids.hint("merge"), docs["doc_id"] == ids["__id"], "left_anti")
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, written once so that all uses see the same numbers."""
+    return checkpointed(docs.withColumn("__row", F.monotonically_increasing_id()))
+
+
+def _without(rows: DataFrame, drop: DataFrame) -> DataFrame:
+    """Numbered rows but those whose numbers (the first column of drop) are given, without numbers."""
+    drop = checkpointed(drop.select(F.col(drop.columns[0]).alias("__drop")).distinct())
+    small = drop.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(drop) if small else drop.hint("merge"), rows["__row"] == drop["__drop"], "left_anti").drop("__row")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,17 +48,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = _lang.fit(docs)
     if not model.languages:
         return docs
-    rows = _lang.language_id(docs, model, text="text", host="source")
-    return _without(docs, rows.where("NOT accepted").select("doc_id"))
+    rows = _numbered(docs)
+    judged = _lang.language_id(rows, model, ("__row",), text="text", host="source")
+    return _without(rows, judged.where("NOT accepted").select("__row"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component of near copies.
+    """Keeps the row with the smallest id of each component of near copies (null ids last, one row of equal ids).
 
     Two documents are near copies if op8's fingerprints are within its radius, or if the Jaccard similarity of
     their five-word shingles is at least 0.8, which a radius does not decide."""
-    ids = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    return _without(docs, _components(ids, "doc_id").where("doc_id <> component_id").select("doc_id"))
+    rows = _numbered(docs)
+    members = checkpointed(_components(rows, "__row").join(rows.select("__row", "doc_id"), "__row"))
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first"))
+    return _without(rows, members.join(first, "component_id").where("__row <> first.__row").select("__row"))
 
 
 def _components(docs: DataFrame, key: str) -> DataFrame:
@@ -80,8 +90,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that contain at least 0.8 of a benchmark item's shingles."""
-    leaks = _bench.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, leaks.select("doc_id"))
+    rows = _numbered(docs)
+    leaks = _bench.decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "__row")
+    return _without(rows, leaks.select("doc_id"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -72,3 +72,25 @@ def test_near_duplicates_keeps_one_of_each_component(spark):
     assert len(set(group)) < len(set(linked(len(texts), close)))  # the radius alone keeps more
     got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect())
     assert got == sorted(min(i for i, x in enumerate(group) if x == g) for g in set(group))
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def rows_of(df):
+    return sorted((str(r.doc_id), str(r.text)) for r in df.collect())
+
+
+def test_stages_decide_by_row(spark, tmp_path):
+    """Null and repeated ids: what goes and what stays is decided row by row."""
+    english, german = "the house of the king and the queen in the town", "der Mann und die Frau und das Kind in der Stadt"
+    leak = "alpha beta gamma delta epsilon zeta eta theta iota"
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    make = lambda rows: spark.createDataFrame([(i, t, lang, None, None) for i, t, lang in rows], DOCS).repartition(2)
+    d = make([(1, english * 9, "en"), (2, german * 9, "de"), (None, "12 34 !", None), (7, "99 00", None), (7, english, "en"), (None, german, "de")])
+    assert rows_of(corpus_pipeline.language(spark, d, str(tmp_path))) == sorted([("1", english * 9), ("2", german * 9), ("7", english), ("None", german)])
+    d = make([(5, english, None), (5, english, None), (None, english, None), (4, german, None), (5, leak, None), (None, "only here and nowhere else at all", None), (None, "only here and nowhere else at all", None), (3, english, None)])
+    want = [("3", english), ("4", german), ("5", leak), ("None", "only here and nowhere else at all")]
+    assert rows_of(corpus_pipeline.near_duplicates(spark, d, str(tmp_path))) == sorted(want)
+    d = make([(None, f"x {leak} y", None), (None, german, None), (8, leak, None), (8, english, None)])
+    assert rows_of(corpus_pipeline.benchmark_leaks(spark, d, str(tmp_path))) == sorted([("None", german), ("8", english)])
