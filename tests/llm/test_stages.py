@@ -94,3 +94,28 @@ def test_stages_decide_by_row(spark, tmp_path):
     assert rows_of(corpus_pipeline.near_duplicates(spark, d, str(tmp_path))) == sorted(want)
     d = make([(None, f"x {leak} y", None), (None, german, None), (8, leak, None), (8, english, None)])
     assert rows_of(corpus_pipeline.benchmark_leaks(spark, d, str(tmp_path))) == sorted([("None", german), ("8", english)])
+
+
+def test_passages_leave_other_bytes_alone(spark):
+    """Replacement characters of the text stay; of cut characters no byte stays, also where two halves would fit together."""
+    a, b = "\u00e9\u4e2d\U0001f600" * 3, "x" * 60
+    same = "\u0169" + "q" * 60 + "\u0161"  # c5 a9 ... c5 a1
+    rows = [
+        (1, f"a {b} b"), (2, f"\ufffd {a} {b} {a} \ufffd"), (3, same), (4, "\u0129" + "q" * 60 + "\u0163" + " z\ufffd"), (5, "no cut \ufffd"),
+        (6, "\u4e29" + "w" * 60 + "\u4e2d"), (7, "\u5e29" + "w" * 60 + "\u4e3d\ufffd"),
+    ]
+    df = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOCS)
+    got = {r.doc_id: r for r in corpus_pipeline.repeated_passages(spark, df, "").collect()}
+    raw = {i: t.encode() for i, t in rows}
+    for i, t in rows:
+        gone, u = [False] * len(raw[i]), raw[i]
+        for k in range(len(u) - 49):
+            if any(j < i and u[k : k + 50] in raw[j] for j in raw):
+                gone[k : k + 50] = [True] * 50
+        at, kept = 0, []
+        for c in t:
+            size = len(c.encode())
+            if not any(gone[at : at + size]):
+                kept.append(c)
+            at += size
+        assert (got[i].text, got[i].n_chars) == ("".join(kept), len(kept)), i
