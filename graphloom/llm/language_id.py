@@ -7,7 +7,8 @@ l for a language and evidence taken as independent given l:
 
 * text(l): byte-trigram log likelihood (letters only, lower-cased), its mean times min(n, EFFECTIVE) so
   that dependent trigrams do not count as independent.  The trigram table is fitted on a bounded sample of
-  labelled rows (``train_rows``, drawn by a hash of the whole text); whole texts are scored.
+  labelled rows: at most ``train_rows`` distinct texts, the same quota for each label, so that every label of
+  the table is in the model (with one text at least); whole texts are scored.
 * The other terms come from grouped aggregation over all rows, with each row counted under the language of
   its text alone.  Tables smooth towards their parents: language <- corpus, site <- corpus, host <- site
   for the prior, (declared, l) and (suffix, l) with add-one.
@@ -25,8 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks as K
@@ -82,19 +82,24 @@ class TextModel:
         return out - out.max(axis=1, keepdims=True), n
 
 
-def hash64(text: str) -> int:
-    return xxhash.xxh64_intdigest(text, 5)
+def sample(labelled: DataFrame, text: str = "text", label: str = "lang", train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """(t, l): of each label the distinct texts with the smallest hashes, the same number at most for every label.
+
+    At most train_rows rows, or one a label where there are more labels.  Texts are told apart by a 64-bit hash."""
+    rows = labelled.select(F.col(text).cast("string").alias("t"), F.col(label).cast("string").alias("l")).where("t IS NOT NULL AND l IS NOT NULL AND t <> ''")
+    rows = rows.withColumn("h", F.xxhash64("t", F.lit(3)))
+    keys = checkpointed(rows.select("l", "h").distinct())
+    quota = max(1, train_rows // max(keys.select("l").distinct().count(), 1))
+    # Spark cuts each task's part of a label to the quota before the exchange.
+    drawn = keys.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("k") <= quota).select("l", "h")
+    return rows.join(F.broadcast(drawn), ["l", "h"]).groupBy("l", "h").agg(F.min("t").alias("t")).select("t", "l")
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang", train_rows: int = TRAIN_ROWS) -> TextModel:
-    """Fits the text model on at most train_rows rows with a label and a text."""
-    rows = labelled.select(F.col(text).cast("string").alias("t"), F.col(label).cast("string").alias("l")).where("t IS NOT NULL AND l IS NOT NULL AND t <> ''")
-    # Drawn by a hash of the text at a rate that a count fixes, so that only the sample travels to the driver.
-    count = rows.count()
-    rate = min(1.0, (train_rows + 4 * train_rows**0.5) / max(count, 1))
-    draw = F.pmod(F.xxhash64("t", F.lit(3)), F.lit(1 << 30))
-    sample = sorted(rows.where(draw < F.lit(int(rate * (1 << 30)))).collect(), key=lambda r: (hash64(r[0]), r[0], r[1]))[:train_rows]
-    return TextModel(sorted({r[1] for r in sample}), [r[0] for r in sample], [r[1] for r in sample])
+    """Fits the text model on a sample of distinct texts of every label."""
+    # Driver-side: the rows of sample(), at most train_rows or one a label.
+    rows = sorted(sample(labelled, text, label, train_rows).collect())
+    return TextModel(sorted({r[1] for r in rows}), [r[0] for r in rows], [r[1] for r in rows])
 
 
 def host_of(url: Column) -> Column:
