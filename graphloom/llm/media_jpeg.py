@@ -8,7 +8,7 @@ has the DC coefficient v - 128, so the thumbnail of an image of flat blocks is t
 blocks a row and a restart interval a row.  More than 8,191 rows make several images, one after another.
 
 Defined cases: null text = empty; an empty text is one row of zeros; a stored form that is no baseline
-JPEG gives null columns and feature ``unreadable``; null and repeated ids keep their rows; other columns
+JPEG with all components in one scan (baseline images with a scan a component are not decoded) gives null columns and feature ``unreadable``; null and repeated ids keep their rows; other columns
 are ignored.
 """
 
