@@ -3,17 +3,18 @@
 Words as in ``simhash`` (A-Z lower-cased), shingles of ``width`` words (fewer words: the whole sequence), each
 distinct one once.  A document without words has an empty set, which equals other empty ones only.
 
-1. A document with n distinct shingles keeps, in one order for all documents, its first n - ceil(threshold n) + 1.
-   Two documents at the threshold share at least ceil(threshold n) shingles, n being the larger set's size, so by
-   counting they share one of those: no pair is lost, whatever the order is.
+1. A document with n distinct shingles keeps, in one order for all documents, its first n - ceil(threshold n) + l(n),
+   l(n) = 1 + floor(n / 16).  Two documents at the threshold share at least ceil(threshold n) shingles, n being the
+   larger set's size, so by counting they share l(n) of those, n being the smaller one's: no pair is lost, whatever
+   the order is.
 2. In the order, shingles that are frequent in a sample of documents come last, the others by a hash.  The sample
    decides only how many candidates there are.
-3. The shingles kept go to hash ranges as packed arrays, equal sets once a batch of texts; sets that meet in a
-   shingle and whose sizes allow the threshold are candidates.
+3. The shingles kept go to hash ranges as packed arrays, equal sets once a batch of texts; sets that meet in
+   l(n) shingles and whose sizes allow the threshold are candidates.
 4. Candidates are verified by all of their shingles' 64-bit hashes.
 
-Equal sets are one before candidates are made.  Beyond that, candidates of a shingle grow with the square of the
-distinct sets that have it among their first fifth.
+Equal sets are one before candidates are made.  Beyond that, meetings in a shingle grow with the square of the
+distinct sets that have it among those kept.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from .components import checkpointed, components
 WIDTH, THRESHOLD = 5, 0.8
 #: Documents sampled for frequent shingles, occurrences there that make one frequent, and frequent ones at most.
 SAMPLE, FREQUENT, MOST = 4000, 3, 1 << 20
+#: Keys of candidates are broadcast up to this number, so that texts do not move.
+BROADCAST = 1_000_000
 #: Pairs of one numpy step.
 PAIRS = 1 << 20
 _ORDER, _SUM = U(0xA24BAED4963EE407), U(0x9FB21C651E98DF25)
@@ -65,13 +68,19 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, width: int, late: np.ndarray)
     return h, n, K.mix((sums[end] - sums[end - n]) ^ (n.astype(U) * _ORDER))
 
 
+def _least(n: np.ndarray) -> np.ndarray:
+    """In how many of the kept shingles sets meet at least, the smaller one having n."""
+    return 1 + n // 16
+
+
 def _first(n: np.ndarray, threshold: float) -> np.ndarray:
     """How many shingles of a set of n a document keeps."""
-    return np.where(n > 0, n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1, 0)
+    return np.where(n > 0, np.minimum(n, n - np.ceil(threshold * n - 1e-9).astype(np.int64) + _least(n)), 0)
 
 
-def _candidates(h: np.ndarray, key: np.ndarray, n: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of distinct sets that share a hash and whose sizes allow the threshold."""
+def _meetings(h: np.ndarray, key: np.ndarray, n: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
+    """(a, b, shared, least): pairs of distinct sets that share hashes and whose sizes allow the threshold, how many
+    hashes, and how many they must share over all parts."""
     order = np.lexsort((key, n, h))
     h, key, n = h[order], key[order], n[order]
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (key[1:] != key[:-1])]) if len(h) else np.zeros(0, bool)
@@ -82,22 +91,27 @@ def _candidates(h: np.ndarray, key: np.ndarray, n: np.ndarray, threshold: float)
     behind = np.repeat(at + size, size) - np.arange(len(h)) - 1
     rows = np.flatnonzero(behind)
     total = np.cumsum(behind[rows])
-    lows, highs, i = [], [], 0
+    found, i = [np.zeros((4, 0), np.int64)], 0
     while i < len(rows):
         j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + PAIRS, side="right")))
         g, k = K.spread(behind[rows[i:j]])
         a = rows[i:j][g]
         b = a + 1 + k
         good = n[a] >= threshold * n[b] - 1e-9
-        x, y = key[a[good]].view(np.int64), key[b[good]].view(np.int64)
-        pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-        lows.append(pair[0])
-        highs.append(pair[1])
+        a, b = a[good], b[good]
+        x, y = key[a].view(np.int64), key[b].view(np.int64)
+        found.append(_summed(np.stack([np.minimum(x, y), np.maximum(x, y), np.ones(len(a), np.int64), _least(n[a])])))
         i = j
-    if not lows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pair = np.unique(np.stack([np.concatenate(lows), np.concatenate(highs)]), axis=1)
-    return pair[0], pair[1]
+    return tuple(_summed(np.concatenate(found, axis=1)))
+
+
+def _summed(t: np.ndarray) -> np.ndarray:
+    """One column a pair, its shared hashes added."""
+    if not t.shape[1]:
+        return t
+    t = t[:, np.lexsort((t[1], t[0]))]
+    at = np.flatnonzero(np.concatenate([[True], (t[0, 1:] != t[0, :-1]) | (t[1, 1:] != t[1, :-1])]))
+    return np.stack([t[0, at], t[1, at], np.add.reduceat(t[2], at), t[3, at]])
 
 
 def near_copies(docs: DataFrame, key: str, text: str = "text", width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
@@ -169,20 +183,21 @@ def near_copies(docs: DataFrame, key: str, text: str = "text", width: int = WIDT
             raw = np.frombuffer(K.unsqueeze(x), U)
             entries.append(raw.reshape(3, -1))
         h, of, n = np.concatenate(entries, axis=1)
-        a, b = _candidates(h, of, n.view(np.int64), threshold)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        return pa.table(dict(zip(("a", "b", "shared", "least"), map(pa.array, _meetings(h, of, n.view(np.int64), threshold)))))
 
     kept = K.small_batches(rows).mapInArrow(K.tidy(send), "part int, body binary").repartition(parts, "part")
-    pairs = checkpointed(kept.groupBy("part").applyInArrow(meet, "a long, b long").distinct())
+    met = kept.groupBy("part").applyInArrow(meet, "a long, b long, shared long, least long")
+    pairs = checkpointed(met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("least").alias("least")).where("shared >= least").select("a", "b"))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("of")).distinct()
-    one = sets.join(ends, "of", "left_semi").groupBy("of").agg(F.min("key").alias("key"))
+    one = checkpointed(sets.join(ends, "of", "left_semi").groupBy("of").agg(F.min("key").alias("key")).select("key"))
+    one = F.broadcast(one) if one.count() <= BROADCAST else one
 
     def whole(rows_, h, n, of):
         end = np.cumsum(n)
         bodies = [h[a:b].tobytes() for a, b in zip((end - n).tolist(), end.tolist())]
         yield pa.RecordBatch.from_arrays([pa.array(of.view(np.int64)), pa.array(bodies, pa.binary())], names=["of", "body"])
 
-    chosen = rows.join(one.select("key"), "key", "left_semi").select("key", "text")
+    chosen = rows.join(one, "key", "left_semi").select("key", "text")
     bodies = checkpointed(K.small_batches(chosen).mapInArrow(each(late, whole), "of long, body binary"))
 
     def verify(batches):
