@@ -6,9 +6,9 @@ model's merges follow from them (all pairs of pieces that join into a piece, bes
 are encoded and decoded by the library's threads.
 
 Where no piece holds the marker after another character (checked when the model is read), no merge crosses a
-word boundary, so a text's ids are those of its marked words; distinct words of a batch are then encoded
-once.  Parity with the sentencepiece library is verified on every distinct word (whole texts otherwise) and
-reported by row.
+word boundary, so a text's ids are those of its marked words; distinct words of ``TEXT_BYTES`` of texts are then
+encoded and decoded once, and texts are put together from them.  Parity with the sentencepiece library is verified
+on every distinct word (whole texts otherwise) and reported by row.
 
 Defined cases: null text = empty = no ids, decoded to an empty text; a literal marker character decodes to
 a space, as in SentencePiece; null and repeated ids keep their rows.
@@ -17,9 +17,9 @@ a space, as in SentencePiece; null and repeated ids keep their rows.
 from __future__ import annotations
 
 import os
-import re
 import struct
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,8 @@ from . import blocks as K
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
+#: Bytes of text that are encoded together.
+TEXT_BYTES = 16 << 20
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 
@@ -120,69 +122,172 @@ def build(model: Model):
 
 
 class Codec:
-    """One process's encoder and decoder; distinct words are remembered, LIMIT of them at most."""
+    """One task's encoder and decoder."""
 
-    LIMIT = 200_000
+    #: Bytes of distinct words that are encoded as one string.
+    JOINED = 1 << 15
 
-    def __init__(self, data: bytes, verify: bool = True):
+    def __init__(self, data: bytes, verify: bool = True, spec: str | None = None):
         import sentencepiece
         from tokenizers import Tokenizer
 
         self.model = Model(data)
-        self.tokenizer = build(self.model)
+        self.tokenizer = Tokenizer.from_str(spec) if spec else build(self.model)
         self.words = Tokenizer(self.tokenizer.model)  # the same model, for words that are already marked
-        self.plain = not self.model.charsmap and not self.model.squeeze and self.model.dummy_prefix
+        if self.tokenizer.pre_tokenizer is not None:
+            self.words.pre_tokenizer = self.tokenizer.pre_tokenizer
+        plain = not self.model.charsmap and not self.model.squeeze and self.model.dummy_prefix
+        bytes_known = self.model.byte_fallback and sum(kind == BYTE for *_, kind in self.model.pieces) == 256
+        self.by_word = self.model.by_word and plain and bytes_known
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data) if verify else None
-        self.split = re.compile(f"{MARK}+[^{MARK}]*").findall
-        self._reset()
-
-    def _reset(self) -> None:
-        self.code: dict[str, int] = {}
-        self.ids = [np.zeros(0, np.int32)]
-        self.lens = np.zeros(0, np.int64)
-        self.good = np.zeros(0, bool)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids, their number by text, and whether they are SentencePiece's own."""
-        if not (self.model.by_word and self.plain):
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            same = [a == b for a, b in zip(ids, self.reference.encode(texts, num_threads=1))] if self.reference else [True] * len(ids)
-            return np.concatenate([np.zeros(0, np.int32), *[np.array(x, np.int32) for x in ids]]), np.array([len(x) for x in ids], np.int64), np.array(same, bool)
-        if len(self.code) > self.LIMIT:
-            self._reset()
-        segments = [self.split(MARK + x.replace(" ", MARK)) if x else [] for x in texts]
-        fresh = list(dict.fromkeys(s for segs in segments for s in segs if s not in self.code))
-        if fresh:
-            found = [e.ids for e in self.words.encode_batch_fast(fresh, add_special_tokens=False)]
-            same = [a == b for a, b in zip(found, self._expected(fresh))] if self.reference else [True] * len(found)
-            for s in fresh:
-                self.code[s] = len(self.code)
-            self.ids.append(np.fromiter((i for x in found for i in x), np.int32))
-            self.ids = [np.concatenate(self.ids)]
-            self.lens = np.concatenate([self.lens, np.array([len(x) for x in found], np.int64)])
-            self.good = np.concatenate([self.good, np.array(same, bool)])
-        get = self.code.__getitem__
-        codes = np.fromiter((get(s) for segs in segments for s in segs), np.int64)
-        number = np.array([len(s) for s in segments], np.int64)
-        doc = np.repeat(np.arange(len(texts)), number)
-        begin = np.cumsum(self.lens) - self.lens
-        g, k = K.spread(self.lens[codes])
-        flat = self.ids[0][begin[codes][g] + k] if len(g) else np.zeros(0, np.int32)
-        n = np.bincount(doc, self.lens[codes], len(texts)).astype(np.int64)
-        bad = np.bincount(doc, ~self.good[codes], len(texts)) if len(codes) else np.zeros(len(texts))
-        return flat, n, bad == 0
+        #: Bytes of text that a token stands for, the marker being a space.
+        self.size = np.array([1 if kind == BYTE else len(p.replace(MARK, " ").encode()) for p, _, kind in self.model.pieces], np.int64)
+
+    def encode(self, texts: pa.Array, decode: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array | None]:
+        """All ids, their number by text, whether they are SentencePiece's own, and the ids turned back."""
+        if not self.by_word:
+            rows = [x or "" for x in texts.to_pylist()]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(rows, add_special_tokens=False)]
+            same = [a == b for a, b in zip(ids, self.reference.encode(rows, num_threads=1))] if self.reference else [True] * len(ids)
+            back = pa.array(self.decode(ids), pa.large_string()) if decode else None
+            return np.concatenate([np.zeros(0, np.int32), *[np.array(x, np.int32) for x in ids]]), np.array([len(x) for x in ids], np.int64), np.array(same, bool), back
+        buf, off = self._led(texts)
+        space = buf == 0x20
+        first = space.copy()
+        first[1:] &= ~space[:-1]
+        first[off[:-1][off[:-1] < off[1:]]] = True
+        start = np.flatnonzero(first)
+        cut = np.searchsorted(start, off)  # words before each text
+        # A text's words are exactly its pieces between starts, so Arrow finds the distinct ones without copying any.
+        every = _binary(np.append(start, len(buf)), buf).dictionary_encode()
+        codes = np.asarray(every.indices).astype(np.int64)
+        ids, n, good, words = self._distinct(every.dictionary, decode)
+        begin = np.cumsum(n) - n
+        g, k = K.spread(n[codes])
+        flat = ids[begin[codes][g] + k] if len(g) else np.zeros(0, np.int32)
+        tokens = np.concatenate([[0], np.cumsum(n[codes])])[cut]
+        bad = np.concatenate([[0], np.cumsum(~good[codes])])[cut]
+        back = None
+        if decode:
+            out, at = K.string_buffer(words.take(pa.array(codes)))
+            edge = at[cut]
+            keep = np.ones(len(out), bool)
+            keep[edge[:-1][edge[:-1] < edge[1:]]] = False  # the space in front of each text
+            back = _binary(edge - np.concatenate([[0], np.cumsum(edge[:-1] < edge[1:])]), out[keep]).cast(pa.large_string())
+        return flat, np.diff(tokens), np.diff(bad) == 0, back
+
+    @staticmethod
+    def _led(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' bytes with a space before each that is not empty; a literal marker is a space."""
+        buf, off = K.string_buffer(texts)
+        mark = np.frombuffer(MARK.encode(), np.uint8)
+        if len(buf) > 2:
+            at = np.flatnonzero((buf[:-2] == mark[0]) & (buf[1:-1] == mark[1]) & (buf[2:] == mark[2]))
+            if len(at):
+                buf, keep = buf.copy(), np.ones(len(buf), bool)
+                buf[at] = 0x20
+                keep[at + 1] = keep[at + 2] = False
+                buf, off = buf[keep], np.concatenate([[0], np.cumsum(keep)])[off]
+        some = off[:-1] < off[1:]
+        led = off + np.concatenate([[0], np.cumsum(some)])
+        out = np.full(int(led[-1]), 0x20, np.uint8)
+        keep = np.ones(len(out), bool)
+        keep[led[:-1][some]] = False
+        out[keep] = buf
+        return out, led
+
+    def _distinct(self, words: pa.Array, decode: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Ids of distinct words one after another, their number, parity by word, and the decoded words.
+
+        Words are joined and encoded some thousands at a time: a token never crosses a word, and the bytes that tokens
+        stand for tell which word each belongs to.  Where a joined string differs from SentencePiece, or is not
+        decoded to itself, its words go one by one.  So do words of spaces only, which joining would change."""
+        buf, off = K.string_buffer(words)
+        m = len(off) - 1
+        full = np.concatenate([[0], np.cumsum(buf != 0x20)])[off]
+        solid = np.diff(full) > 0
+        order = np.concatenate([np.flatnonzero(solid), np.flatnonzero(~solid)])
+        lens = np.diff(off)[order]
+        raw = K.string_buffer(words.take(pa.array(order)))[0].tobytes()
+        end = np.cumsum(lens)
+        begin = end - lens
+        solids = int(solid.sum())
+        cut = np.unique(np.concatenate([np.searchsorted(begin[:solids], np.arange(0, begin[solids - 1] + 1, self.JOINED)), [solids]])) if solids else np.zeros(1, np.int64)
+        spans = list(zip(cut[:-1].tolist(), cut[1:].tolist()))
+        joined = [raw[begin[a] : end[b - 1]].decode() for a, b in spans]
+        found = [np.array(e.ids, np.int32) for e in self.words.encode_batch_fast([x.replace(" ", MARK) for x in joined], add_special_tokens=False)]
+        want = self.reference.encode([x[1:] for x in joined], num_threads=1) if self.reference else [None] * len(joined)
+        back = self.decode([x.tolist() for x in found]) if decode else [x[1:] for x in joined]
+        ids, numbers, good, odd, alone = [], [], np.ones(m, bool), {}, list(range(solids, m))
+        for (a, b), text, x, y, z in zip(spans, joined, found, want, back):
+            upto = np.cumsum(self.size[x])
+            tokens = np.searchsorted(upto, end[a:b] - begin[a], side="right")
+            whole = len(upto) and upto[-1] == end[b - 1] - begin[a] and np.array_equal(upto[tokens - 1], end[a:b] - begin[a])
+            if whole and z == text[1:] and (y is None or np.array_equal(x, np.array(y, np.int32))):
+                ids.append(x)
+                numbers.append(np.diff(np.concatenate([[0], tokens])))
+            else:
+                self._one_by_one(range(a, b), raw, begin, end, ids, numbers, good, odd, decode)
+        self._one_by_one(alone, raw, begin, end, ids, numbers, good, odd, decode)
+        # Back to the order of the words.
+        n = np.concatenate([np.zeros(0, np.int64), *numbers])
+        flat = np.concatenate([np.zeros(0, np.int32), *ids])
+        place = np.empty(m, np.int64)
+        place[order] = np.arange(m)
+        g, k = K.spread(n[place])
+        flat = flat[(np.cumsum(n) - n)[place][g] + k] if len(g) else flat
+        if odd:
+            column = words.to_pylist()
+            for i, x in odd.items():
+                column[order[i]] = x
+            words = pa.array(column, pa.large_binary())
+        return flat, n[place], good[place], words
+
+    def _one_by_one(self, rows, raw, begin, end, ids, numbers, good, odd, decode: bool) -> None:
+        words = [raw[begin[i] : end[i]].decode() for i in rows]
+        found = [e.ids for e in self.words.encode_batch_fast([x.replace(" ", MARK) for x in words], add_special_tokens=False)]
+        want = self._expected(words) if self.reference else found
+        back = self.decode([[self.lead, *x] for x in found]) if decode else [""] * len(words)
+        for i, x, y, z, w in zip(rows, found, want, back, words):
+            good[i] = x == y
+            if decode and z != w:
+                odd[i] = z.encode()
+            ids.append(np.array(x, np.int32))
+            numbers.append(np.array([len(x)]))
+
+    @cached_property
+    def lead(self) -> int:
+        """The marker's own token: decoded in front of a word, it is the space that a text's start does not have."""
+        return next(i for i, p in enumerate(self.model.pieces) if p[0] == MARK)
 
     def _expected(self, words: list[str]) -> list[list[int]]:
-        """SentencePiece's ids of marked words. Markers alone only occur after another word, so after one they are encoded."""
-        bare = [not w.strip(MARK) for w in words]
+        """SentencePiece's ids of words with their spaces. Spaces alone only occur after another word, so after one they are encoded."""
+        bare = [not w.strip(" ") for w in words]
         lead = len(self.reference.encode("x"))
-        found = self.reference.encode(["x" + " " * len(w) if b else w[1:].replace(MARK, " ") for w, b in zip(words, bare)], num_threads=1)
+        found = self.reference.encode(["x" + w if b else w[1:] for w, b in zip(words, bare)], num_threads=1)
         return [x[lead:] if b else x for x, b in zip(found, bare)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
 
+def _binary(off: np.ndarray, buf: np.ndarray) -> pa.Array:
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(buf))])
+
+
+def _grouped(batches, at: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined until their column at holds limit bytes: the more texts, the fewer distinct words by text."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(at).nbytes
+        if size >= limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if sum(x.num_rows for x in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _read(path: str) -> bytes:
     if os.path.exists(path):
         with open(path, "rb") as f:
@@ -195,8 +300,9 @@ def sentencepiece_encode(docs: DataFrame, text: str = "text", model: str = MODEL
     """docs with ids (array of int), parity (ids equal SentencePiece's) and decoded (the ids turned back).
 
     threads: of the library, in each task. Columns of docs with these names are replaced.  The model file (some hundred KB) is read by the driver
-    and shipped with the tasks."""
-    data = docs.sparkSession.sparkContext.broadcast(_read(model))
+    and shipped with the tasks, and so is the tokenizer built from it."""
+    file = _read(model)
+    data = docs.sparkSession.sparkContext.broadcast((file, verify, build(Model(file)).to_str()))
     new = ["ids", "parity", "decoded"][: 3 if decode else 2]
     rows = docs.select(*[c for c in docs.columns if c not in new])
     at = rows.columns.index(text)
@@ -208,20 +314,15 @@ def sentencepiece_encode(docs: DataFrame, text: str = "text", model: str = MODEL
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         K.few_arenas()
-        codec = Codec(data.value, verify)  # one a task: workers outlive tasks, and would keep its memory
-        for batch in batches:
+        codec = Codec(*data.value)  # one a task: workers outlive tasks, and would keep its memory
+        for batch in _grouped(batches, at, TEXT_BYTES):
+            flat, n, same, back = codec.encode(batch.column(at), decode)
+            off = np.concatenate([[0], np.cumsum(n)])
             size = K.string_buffer(batch.column(at))[1]
-            for i, j in K.chunks(size, 1 << 18):
-                piece = batch.slice(i, j - i)
-                texts = [x or "" for x in piece.column(at).to_pylist()]
-                flat, n, same = codec.encode(texts)
-                off = np.concatenate([[0], np.cumsum(n)])
-                cols = [pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat, pa.int32())), pa.array(same, pa.bool_())]
-                if decode:
-                    edge = off.tolist()
-                    ids = flat.tolist()
-                    cols.append(pa.array(codec.decode([ids[a:b] for a, b in zip(edge[:-1], edge[1:])]), pa.string()))
-                yield pa.RecordBatch.from_arrays([*piece.columns, *cols], names=[*batch.schema.names, *new])
+            for i, j in K.chunks(size, 4 << 20):
+                ids = pa.ListArray.from_arrays(pa.array(off[i : j + 1] - off[i], pa.int32()), pa.array(flat[off[i] : off[j]], pa.int32()))
+                cols = [ids, pa.array(same[i:j], pa.bool_()), *([back[i:j].cast(pa.string())] if decode else [])]
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, *cols], names=[*batch.schema.names, *new])
 
     return K.small_batches(rows).mapInArrow(K.tidy(run), schema)
 

@@ -207,11 +207,44 @@ def test_toy_automaton():
 def test_sentencepiece_parity():
     codec = sp.Codec(sp._read(sp.MODEL))
     xs = ["", " ", "a  b ", "  lead", "tab\tnew\n", "▁x ▁", "é漢😀\0", "<s> </s>", "w" * 5000, "The the THE."]
-    flat, n, same = codec.encode(xs)
+    flat, n, same, back = codec.encode(pa.array(xs))
     off = np.concatenate([[0], np.cumsum(n)])
     ids = [flat[a:b].tolist() for a, b in zip(off[:-1], off[1:])]
     assert ids == codec.reference.encode(xs) and same.all()
-    assert codec.decode(ids) == [x.replace("▁", " ") for x in xs]
+    assert codec.decode(ids) == back.to_pylist() == [x.replace("▁", " ") for x in xs]
+
+
+@pytest.fixture(scope="module")
+def codec():
+    data = sp._read(sp.MODEL)
+    out = sp.Codec(data, True, sp.build(sp.Model(data)).to_str())
+    out.JOINED = 16
+    return out
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=30), st.text("a b▁é\n", max_size=40)), max_size=8))
+def test_words_are_put_together(codec, xs):
+    flat, n, same, back = codec.encode(pa.array(xs, pa.string()))
+    assert same.all() and back.to_pylist() == [(x or "").replace("▁", " ") for x in xs]
+    assert [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])][: len(xs)] == [codec.reference.encode(x or "") for x in xs]
+
+
+def test_disparity_is_found_by_word(codec, monkeypatch):
+    """A reference that disagrees about one word, and a decoder that loses one."""
+    true, decode = codec.reference, codec.decode
+
+    class Other:
+        def encode(self, x, **options):
+            wrong = lambda t, ids: [*ids, 7] if "zebra" in t else ids
+            return wrong(x, true.encode(x)) if isinstance(x, str) else [wrong(t, ids) for t, ids in zip(x, true.encode(x))]
+
+    monkeypatch.setattr(codec, "reference", Other())
+    monkeypatch.setattr(codec, "decode", lambda ids: [x.replace("lion", "cat") for x in decode(ids)])
+    xs = ["a lion and", "a zebra or", "plain words " * 20, "zebra"]
+    flat, n, same, back = codec.encode(pa.array(xs))
+    assert same.tolist() == [True, False, True, False] and back.to_pylist() == [x.replace("lion", "cat") for x in xs]
+    assert [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])] == true.encode(xs)
 
 
 def test_rebuilt_unigram_model(tmp_path):
@@ -232,8 +265,8 @@ def test_rebuilt_unigram_model(tmp_path):
     assert model.unigram and model.byte_fallback and model.by_word and not model.squeeze
     codec = sp.Codec(data)
     xs = ["ab a", "bbé", " a  b", "aab"]
-    flat, n, same = codec.encode(xs)
-    assert same.all() and codec.reference.encode(xs) == [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])]
+    flat, n, same, back = codec.encode(pa.array(xs))
+    assert same.all() and back.to_pylist() == codec.decode(codec.reference.encode(xs)) and codec.reference.encode(xs) == [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])]
 
 
 def test_levels():
