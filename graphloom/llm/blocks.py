@@ -11,7 +11,7 @@ answers all buckets at once, and its *reply* lists values in the order of the re
 travel back.  Each bucket sends a key once however often it holds it: this is the pre-aggregation that
 keeps hot keys small (a key reaches a part at most once per bucket).
 
-Nulls: a null text is empty, a null id sorts after all others and comes back as null.
+Nulls: a null text is empty, a null id sorts after all others and comes back as null (``Ids``).
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,6 +95,31 @@ def unsqueeze(data: bytes) -> bytes:
     return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True) if data else b""
 
 
+def squeeze_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences, a byte plane after another: those of the high bytes are mostly zero."""
+    gaps = np.diff(keys, prepend=U(0))
+    return squeeze(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T))
+
+
+def unsqueeze_keys(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(unsqueeze(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(U).ravel(), dtype=U)
+
+
+def together(*parts: bytes) -> bytes:
+    """Byte strings in one, each after its length."""
+    return b"".join(len(x).to_bytes(8, "little") + x for x in parts)
+
+
+def apart(data: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 8], "little")
+        out.append(data[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser, in place."""
     x ^= x >> U(30)
@@ -147,43 +174,43 @@ def chunks(off: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
         i = j
 
 
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** i mod 2**64 for i < n."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        p = np.full(max(n, 1 << 16), base, U)
-        p[0] = 1
-        have = _powers[base] = np.cumprod(p, dtype=U)
-    return have[:n]
-
-
-def _range_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    """Polynomial hash of values[start:end] for many ranges at once, by prefix sums mod 2**64."""
-    n = len(values)
-    inverse = pow(base, -1, 1 << 64)
-    prefix = np.empty(n + 1, U)
-    prefix[0] = 0
-    np.cumsum(values * powers(base, n), out=prefix[1:])
-    h = (prefix[end] - prefix[start]) * powers(inverse, n + 1)[start]
-    h += (end - start).astype(U) * _C1
-    return mix(h)
-
-
-_BYTE = mix(np.arange(1, 257, dtype=U) * _C1)
-_BASES = (0x9E3779B97F4A7C15 | 5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
+#: Longer byte spans are hashed one by one by the library.
+LONG_SPAN = 256
+_SHORT = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], U)
 
 
 def hash_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
-    """64-bit hashes of byte spans."""
-    return _range_hash(_BYTE[buf], start, end, _BASES[seed])
-
-
-def hash_windows(values: np.ndarray, start: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
-    """64-bit hashes of width consecutive mixed values from each start."""
-    return _range_hash(values, start, start + width, _BASES[2 + seed])
+    """64-bit hashes of byte spans: a chain of mixed 8-byte words.
+
+    Each step is a bijection of what came before and not linear, so no pair of texts collides for every seed (a
+    polynomial modulo 2**64 has such pairs)."""
+    n = np.asarray(end - start, np.int64)
+    add = U(0xD6E8FEB86659FD93 * (2 * seed + 1) & (2**64 - 1))
+    h = mix(n.astype(U) * _C1 + add)
+    if not len(h) or not len(buf):
+        return h
+    word = loads(np.concatenate([buf, np.zeros(8, np.uint8)]), 0, len(buf))
+    live = np.flatnonzero((n > 0) & (n <= LONG_SPAN))
+    at = start[live]
+    left = n[live]
+    while len(live):
+        h[live] = mix((h[live] ^ (word[at] & _SHORT[np.minimum(left, 8)])) + add)
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    long = np.flatnonzero(n > LONG_SPAN)
+    if len(long):
+        h[long] = [xxhash.xxh3_64_intdigest(buf[a:b].data, int(add)) for a, b in zip(start[long].tolist(), end[long].tolist())]
+    return h
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix((a * _C1) ^ b)
+
+
+def hash_windows(values: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hashes of width consecutive values from each start: hashes of half the length, joined."""
+    h = slide(values, width, _joined)
+    return mix(h[start] + np.full(1, width, U) * _C2) if len(start) else np.zeros(0, U)
 
 
 def word_spans(buf: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -212,17 +239,39 @@ def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return group, np.arange(len(group)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def id_array(col) -> np.ndarray:
-    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-    return np.asarray(col.cast(pa.int64()).fill_null(NO_ID)) if len(col) else np.zeros(0, np.int64)
+class Ids:
+    """Ids as longs in their order, a null after all others, for the ids of one table.
+
+    A null takes the largest long. Where the table has that id too, the ids above some number that no row has move down
+    by one to make room. The driver sees a minimum, a maximum and whether there are nulls."""
+
+    def __init__(self, docs: DataFrame, doc_id: str = "doc_id"):
+        ids = docs.select(F.col(doc_id).cast("long").alias("i"))
+        low, high, self.nulls = ids.agg(F.min("i"), F.max("i"), F.count_if(F.col("i").isNull()) > 0).first()
+        self.unused: int | None = None
+        if self.nulls and high == NO_ID:
+            self.unused = low - 1 if low > -NO_ID - 1 else ids.where(F.col("i") < NO_ID).select((F.col("i") + 1).alias("i")).join(ids.distinct(), "i", "left_anti").agg(F.min("i")).first()[0]
 
+    def read(self, col) -> np.ndarray:
+        col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+        if not len(col):
+            return np.zeros(0, np.int64)
+        out = np.asarray(col.cast(pa.int64()).fill_null(NO_ID))
+        return np.where((out > self.unused) & np.asarray(col.is_valid()), out - 1, out) if self.unused is not None else out
 
-def ids_back(ids: np.ndarray) -> pa.Array:
-    return pa.array(ids, pa.int64(), mask=ids == NO_ID)
+    def back(self, ids: np.ndarray) -> pa.Array:
+        none = ids == NO_ID if self.nulls else np.zeros(len(ids), bool)
+        return pa.array(np.where((ids >= self.unused) & ~none, ids + 1, ids) if self.unused is not None else ids, pa.int64(), mask=none)
 
 
 def corpus_bytes(docs: DataFrame, text: str = "text") -> int:
-    return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    """About the bytes of the texts. It only chooses numbers of buckets, so the sizes of the files that docs is read from
+    do (twice, as they are compressed); where docs comes from elsewhere, texts are measured."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
+    total = 0
+    while leaves.hasNext():
+        total += int(str(leaves.next().stats().sizeInBytes()))
+    return 2 * total if total < 1 << 60 else docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
 
 def buckets_of(total: int, bucket_bytes: int = BUCKET_BYTES) -> int:
@@ -242,14 +291,17 @@ def carried(table: pa.Table) -> pa.Table:
     return pa.concat_tables([pa.ipc.open_stream(unsqueeze(x)).read_all() for x in table["extra"].to_pylist()])
 
 
-def pack(docs: DataFrame, buckets: int, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def pack(docs: DataFrame, buckets: int, ids_: Ids, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """All rows of docs as packed buckets, exchanged by bucket: the one shuffle of the texts.
 
-    carry: further columns that travel with them (carried)."""
+    A row's bucket is a hash of the whole row and of its task: rows without an id and rows that repeat one spread, of
+    equal rows a bucket gets one task's, and a task that runs again puts the same rows into the same buckets whatever
+    order it reads them in.  carry: further columns that travel with them (carried)."""
 
     def run(batches):
         held: dict[int, list] = {}
         size = 0
+        task = np.full(1, TaskContext.get().partitionId(), U) * _C2
 
         def out():
             for b, parts in sorted(held.items()):
@@ -266,26 +318,29 @@ def pack(docs: DataFrame, buckets: int, doc_id: str = "doc_id", text: str = "tex
 
         for batch in batches:
             buf, off = string_buffer(batch.column(1))
-            ids, lens = id_array(batch.column(0)), np.diff(off)
-            to = (mix(ids.astype(U) + _C1) >> U(33)) % U(buckets)
+            ids, lens = ids_.read(batch.column(0)), np.diff(off)
+            h = np.asarray(batch.column(2)).astype(np.int64)  # of the row
+            to = (mix(mix(h.view(U) + _C1) + task) >> U(33)) % U(buckets)
             order = np.argsort(to, kind="stable")
             cut = np.flatnonzero(np.diff(to[order])) + 1
             for rows in np.split(order, cut):
                 if len(rows):
                     g, k = spread(lens[rows])
-                    held.setdefault(int(to[rows[0]]), []).append((ids[rows], lens[rows], buf[off[rows][g] + k], batch.select(range(2, 2 + len(carry))).take(pa.array(rows)) if carry else None))
+                    held.setdefault(int(to[rows[0]]), []).append((ids[rows], lens[rows], buf[off[rows][g] + k], batch.select(range(3, 3 + len(carry))).take(pa.array(rows)) if carry else None))
             size += len(buf)
-            if size > 8 * BUCKET_BYTES:
+            if size > 8 * bucket_bytes:
                 yield from out()
                 held, size = {}, 0
         yield from out()
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
+    types = dict(docs.dtypes)
+    whole = F.xxhash64(*[F.col(c) for c in dict.fromkeys((doc_id, text, *carry)) if "map<" not in types[c] and types[c] != "variant"])
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), whole.alias("row"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
     return small_batches(rows).mapInArrow(tidy(run), PACKED + ", extra binary" * bool(carry)).repartition(buckets, "bucket")
 
 
 def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ids, bytes and offsets of one bucket, in a fixed order: by id, then by text length and bytes."""
+    """ids, bytes and offsets of one bucket."""
     ids = [np.frombuffer(x, np.int64) for x in table["ids"].to_pylist()]
     lens = [np.frombuffer(x, np.int64) for x in table["lens"].to_pylist()]
     if not ids:
@@ -319,10 +374,11 @@ def repeated(requests: DataFrame, parts: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         part = table["part"][0].as_py()
-        asked = [unsqueeze(x) for x in table["body"].to_pylist()]
-        sizes = [len(x) // 9 for x in asked]
-        keys = np.concatenate([np.frombuffer(x, U, n) for x, n in zip(asked, sizes)])
-        flag = np.concatenate([np.frombuffer(x, np.uint8, n, 8 * n) for x, n in zip(asked, sizes)])
+        asked = [apart(x) for x in table["body"].to_pylist()]
+        keys = [unsqueeze_keys(k) for k, _ in asked]
+        sizes = [len(x) for x in keys]
+        keys = np.concatenate(keys)
+        flag = np.concatenate([np.unpackbits(np.frombuffer(unsqueeze(f), np.uint8), count=n) for (_, f), n in zip(asked, sizes)])
         order = np.argsort(keys, kind="stable")
         sk = keys[order]
         new = np.concatenate([[True], sk[1:] != sk[:-1]])
@@ -349,7 +405,7 @@ def ask_repeated(keys: np.ndarray, docs: np.ndarray, parts: int) -> tuple[np.nda
     to, bodies = [], []
     for p, a, b in cut_by_part(k, parts):
         to.append(p)
-        bodies.append(squeeze(k[a:b].tobytes() + flag[a:b].tobytes()))
+        bodies.append(together(squeeze_keys(k[a:b]), squeeze(np.packbits(flag[a:b]))))
     return k, to, bodies
 
 

@@ -1,19 +1,23 @@
-"""Stupid-backoff scores of documents under the n-gram counts of the corpus itself.
+"""Stupid-backoff scores of documents under the n-gram counts of the corpus.
 
-The counts are tables of (n-gram hash, count) partitioned by hash.  Each bucket explodes its documents'
-n-grams, counts the distinct ones, and sends (hash, count) to the partitions; these sum over all buckets
-and answer in the order of the request, which is the join of the count table to the exploded n-grams.
-The bucket sums log scores by document.
+The count tables hold (n-gram hash, count) and are partitioned by ranges of the hash.  Each bucket explodes its
+documents' n-grams, counts the distinct ones, and sends (hash, count) to the partitions; these sum over all buckets
+and join the sums to each bucket's n-grams, in the order in which it sent them.  The bucket sums log scores by
+document.  Tables and n-grams travel as arrays and not as rows of a DataFrame: a row takes some 13 bytes of shuffle
+where an array's entry takes 6, and rows would be shuffled twice (README).
 
-    S(w | h) = c(hw) / c(h)       if c(hw) >= min_count
+    S(w | h) = c(hw) / c(h)       if c(hw) > 0
              = alpha * S(w | h')  otherwise, h' being h without its first word
-    S(w)     = c(w) / N
+    S(w)     = c(w) / N           if c(w) > 0, alpha / N otherwise
 
-Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z.  At a document's start the history is as long
-as it can be, without a penalty.
+With ``leave_one_out`` a document's own n-grams and words are not counted in c and N, so that what occurs in no other
+document backs off; without, c counts the whole corpus, in which every n-gram of a document is seen, so that only
+``min_count`` (which asks for as many instead of one) makes scores back off.  Words are ``[^\\x20\\x09-\\x0D]+``
+after lower-casing A-Z.  At a document's start the history is as long as it can be, without a penalty.
 
-Defined cases: a null or empty text has no words, ``log_score`` 0 and a null ``mean_log_score``; rows that
-repeat a text count each time; other columns are ignored.
+Defined cases: a null or empty text has no words, ``log_score`` 0 and a null ``mean_log_score``; an N of zero (one
+document, left out) counts as one; rows that repeat a text count each time and are documents of their own; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 from . import blocks as K
 from .blocks import U
 
-ORDER, ALPHA, MIN_COUNT = 2, 0.4, 2
+ORDER, ALPHA = 2, 0.4
 OUT = "doc_id long, n_words long, log_score double, mean_log_score double"
 
 
@@ -38,7 +42,7 @@ def _grams(table: pa.Table, order: int):
     for i, j in K.chunks(off):
         part = K.LOWER[buf[off[i] : off[j]]]
         s, e, wo = K.word_spans(part, off[i : j + 1] - off[i])
-        words.append(K.hash_spans(part, s, e) if len(part) else np.zeros(0, U))
+        words.append(K.hash_spans(part, s, e))
         counts.append(np.diff(wo))
     words = np.concatenate(words) if words else np.zeros(0, U)
     n_words = np.concatenate(counts) if counts else np.zeros(0, np.int64)
@@ -57,58 +61,89 @@ def _distinct(h: np.ndarray, there: np.ndarray):
     return np.unique(h[there], return_inverse=True, return_counts=True)
 
 
-def lm_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, buckets: int | None = None) -> DataFrame:
-    """One row per row of docs: words, sum of log scores (natural), and their mean."""
-    if order < 1 or not 0 < alpha <= 1:
-        raise ValueError("order must be positive and alpha in (0, 1]")
-    n = buckets or K.buckets_of(K.corpus_bytes(docs, text))
-    packed = K.pack(docs, n, doc_id, text)
+def _squeeze_counts(counts: np.ndarray) -> bytes:
+    return K.squeeze(np.ascontiguousarray(counts.astype(np.uint32).view(np.uint8).reshape(-1, 4).T))
+
+
+def _unsqueeze_counts(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(K.unsqueeze(data), np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+
+
+def count_words(docs: DataFrame, text: str = "text") -> int:
+    """Words of the corpus: one aggregate."""
+
+    def run(batches):
+        for batch in batches:
+            buf, off = K.string_buffer(batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array([sum(int(K.word_spans(buf[off[i] : off[j]], off[i : j + 1] - off[i])[2][-1]) for i, j in K.chunks(off))], pa.int64())], names=["n"])
+
+    rows = K.small_batches(docs.select(F.col(text).cast("string").alias("text"))).mapInArrow(run, "n long")
+    return rows.agg(F.sum("n")).first()[0] or 0
+
+
+def lm_score(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, alpha: float = ALPHA, leave_one_out: bool = True, min_count: int = 1,
+    buckets: int | None = None, parts: int | None = None, bucket_bytes: int = K.BUCKET_BYTES,
+) -> DataFrame:
+    """One row per row of docs: words, sum of log scores (natural), and their mean.
+
+    buckets, parts: numbers of text buckets and of hash ranges, from the corpus' size and bucket_bytes unless given."""
+    if order < 1 or not 0 < alpha <= 1 or min_count < 1:
+        raise ValueError("order and min_count must be positive and alpha in (0, 1]")
+    n = buckets or K.buckets_of(K.corpus_bytes(docs, text), bucket_bytes)
+    m = parts or n
+    words = count_words(docs, text)
+    code = K.Ids(docs, doc_id)
+    packed = K.pack(docs, n, code, doc_id, text, bucket_bytes=bucket_bytes)
 
     def ask(table: pa.Table) -> pa.Table:
         _, _, place, grams = _grams(table, order)
         to, bodies, bucket = [], [], table["bucket"][0].as_py()
         for k, h in enumerate(grams, 1):
             keys, _, counts = _distinct(h, place >= k - 1)
-            for p, a, b in K.cut_by_part(keys, n):
+            for p, a, b in K.cut_by_part(keys, m):
                 to.append(p * order + k - 1)
-                bodies.append(K.squeeze(keys[a:b].tobytes() + counts[a:b].astype(np.uint32).tobytes()))
+                bodies.append(K.together(K.squeeze_keys(keys[a:b]), _squeeze_counts(counts[a:b])))
         return K.rows_of(to, [bucket] * len(to), bodies, ("part", "bucket"))
 
     def total(table: pa.Table) -> pa.Table:
-        part = table["part"][0].as_py()
-        raw = [K.unsqueeze(x) for x in table["body"].to_pylist()]
-        sizes = [len(x) // 12 for x in raw]
-        keys = np.concatenate([np.frombuffer(x, U, m) for x, m in zip(raw, sizes)])
-        counts = np.concatenate([np.frombuffer(x, np.uint32, m, 8 * m) for x, m in zip(raw, sizes)]).astype(np.int64)
-        order_ = np.argsort(keys, kind="stable")
-        sk = keys[order_]
+        """The count table of one range and length, joined to the n-grams asked for: counts in other buckets."""
+        asked = [K.apart(x) for x in table["body"].to_pylist()]
+        keys = [K.unsqueeze_keys(x) for x, _ in asked]
+        sizes = [len(x) for x in keys]
+        keys = np.concatenate(keys)
+        counts = np.concatenate([_unsqueeze_counts(x) for _, x in asked])
+        by_key = np.argsort(keys, kind="stable")
+        sk = keys[by_key]
         at = np.flatnonzero(np.concatenate([[True], sk[1:] != sk[:-1]]))
         sums = np.empty(len(keys), np.int64)
-        sums[order_] = np.repeat(np.add.reduceat(counts[order_], at), np.diff(np.concatenate([at, [len(sk)]])))
-        whole = int(counts.sum()) if part % order == 0 else 0
-        bodies = dict(zip(table["bucket"].to_pylist(), (K.squeeze(x) for x in np.split(sums, np.cumsum(sizes)[:-1]))))
-        # Every bucket hears every part's number of words, whose sum is N.
-        to = list(range(n)) if whole else sorted(bodies)
-        return K.rows_of(to, [part] * len(to), [whole.to_bytes(8, "little") + bodies.get(b, b"") for b in to], ("bucket", "part"))
+        sums[by_key] = np.repeat(np.add.reduceat(counts[by_key], at), np.diff(np.concatenate([at, [len(sk)]])))
+        bodies = [_squeeze_counts(x) for x in np.split(sums - counts, np.cumsum(sizes)[:-1])]
+        return K.rows_of(table["bucket"].to_pylist(), table["part"].to_pylist(), bodies, ("bucket", "part"))
 
     requests = packed.groupBy("bucket").applyInArrow(ask, K.REQUEST)
-    replies = requests.repartition(n, "part").groupBy("part").applyInArrow(total, K.REPLY)
+    replies = requests.repartition(m, "part").groupBy("part").applyInArrow(total, K.REPLY)
 
     def score(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "log_score": pa.array([], pa.float64()), "mean_log_score": pa.array([], pa.float64())})
         ids, n_words, place, grams = _grams(table, order)
+        doc = np.repeat(np.arange(len(n_words)), n_words)
         by = dict(zip(replies["part"].to_pylist(), replies["body"].to_pylist()))
-        words = sum(int.from_bytes(x[:8], "little") for x in by.values())
         counts = []
         for k, h in enumerate(grams, 1):
             there = place >= k - 1
-            keys, which, _ = _distinct(h, there)
-            sums = np.concatenate([np.zeros(0, np.int64)] + [np.frombuffer(K.unsqueeze(by[p * order + k - 1][8:]), np.int64) for p, _, _ in K.cut_by_part(keys, n)])
+            keys, which, here = _distinct(h, there)
+            sums = here + np.concatenate([np.zeros(0, np.int64)] + [_unsqueeze_counts(by[p * order + k - 1]) for p, _, _ in K.cut_by_part(keys, m)])
             c = np.zeros(len(h), np.int64)
             c[there] = sums[which]
+            if leave_one_out and len(keys):
+                _, pair, own = np.unique(doc[there] * len(keys) + which, return_inverse=True, return_counts=True)
+                c[there] -= own[pair]
             counts.append(c)
-        value = np.log(counts[0] / max(words, 1)) if len(place) else np.zeros(0)
+        # What c(h) is at the position of a history: of the same document's view.
+        whole = np.log(np.maximum(words - (n_words if leave_one_out else 0), 1).astype(np.float64) * np.ones(len(n_words)))[doc]
+        value = np.where(counts[0] >= min_count, np.log(np.maximum(counts[0], 1)), np.log(alpha)) - whole if len(doc) else np.zeros(0)
         for k in range(2, order + 1):
             there = np.flatnonzero(place >= k - 1)
             seen = counts[k - 1][there] >= min_count
@@ -120,7 +155,7 @@ def lm_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order:
         if len(some):
             sums[some] = np.add.reduceat(value, (np.cumsum(n_words) - n_words)[some])
         return pa.table({
-            "doc_id": K.ids_back(ids), "n_words": pa.array(n_words, pa.int64()), "log_score": pa.array(sums, pa.float64()),
+            "doc_id": code.back(ids), "n_words": pa.array(n_words, pa.int64()), "log_score": pa.array(sums, pa.float64()),
             "mean_log_score": pa.array(sums / np.maximum(n_words, 1), pa.float64(), mask=n_words == 0),
         })
 
@@ -139,9 +174,14 @@ b AS (SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS w FROM d),
 p AS (SELECT r, i, w, lag(w) OVER (PARTITION BY r ORDER BY i) AS v FROM b),
 u AS (SELECT w, count(*) AS c FROM b GROUP BY w),
 g AS (SELECT v, w, count(*) AS c FROM p WHERE v IS NOT NULL GROUP BY v, w),
-n AS (SELECT count(*) AS n FROM b),
-s AS (SELECT p.r, ln(CASE WHEN g.c >= 2 THEN g.c / h.c WHEN p.v IS NULL THEN u.c / n.n ELSE 0.4::DOUBLE * (u.c / n.n) END) AS x
-      FROM p CROSS JOIN n JOIN u ON u.w = p.w LEFT JOIN g ON g.v = p.v AND g.w = p.w LEFT JOIN u AS h ON h.w = p.v),
+ou AS (SELECT r, w, count(*) AS c FROM b GROUP BY r, w),
+og AS (SELECT r, v, w, count(*) AS c FROM p WHERE v IS NOT NULL GROUP BY r, v, w),
+n AS (SELECT d.r, greatest((SELECT count(*) FROM b) - len(w), 1) AS n FROM d),
+s AS (SELECT p.r, ln(CASE WHEN g.c > og.c THEN (g.c - og.c) / (h.c - oh.c)
+                          ELSE CASE WHEN p.v IS NULL THEN 1::DOUBLE ELSE 0.4::DOUBLE END * CASE WHEN u.c > ou.c THEN (u.c - ou.c)::DOUBLE ELSE 0.4::DOUBLE END / n.n END) AS x
+      FROM p JOIN n ON n.r = p.r JOIN u ON u.w = p.w JOIN ou ON ou.r = p.r AND ou.w = p.w
+      LEFT JOIN g ON g.v = p.v AND g.w = p.w LEFT JOIN og ON og.r = p.r AND og.v = p.v AND og.w = p.w
+      LEFT JOIN u AS h ON h.w = p.v LEFT JOIN ou AS oh ON oh.r = p.r AND oh.w = p.v),
 a AS (SELECT r, sum(x) AS x FROM s GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(x, 0), 3) AS log_score, round(x / len(w), 5) AS mean_log_score
 FROM d LEFT JOIN a USING (r)

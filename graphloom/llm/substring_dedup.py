@@ -1,15 +1,15 @@
 """Substring deduplication of word sequences by level-wise doubling.
 
 A word goes when a window of ``window`` consecutive words that covers it also starts in a document with
-a smaller id.  Windows are judged on the input.  The levels double, the last one clipped to ``window``
-(7 and 13 words by default): a window can only repeat if the shorter windows in it do, so only windows
-repeated at one length are extended to the next.
+a smaller id.  Windows are judged on the input.  The levels double from ``first`` words, the last one clipped to
+``window`` (4, 8 and 13 words by default): a window can only repeat if the shorter windows in it do, so only
+windows repeated at one length are extended to twice that length.
 
-* First level: of the ``first``-word windows only those that are the smallest hash among the first-level
-  windows of some full window are looked up (each full window holds one, equal windows the same one).
-* Each middle level looks up the windows that the level before left; a level without candidates sends
-  nothing, and neither do those after it.
-* The last level exchanges each bucket's distinct windows (96-bit hashes) for their smallest id.
+* First level: every window of ``first`` words is looked up, a distinct one once a bucket.
+* Each middle level looks up the windows whose two halves the level before found repeated; a level without
+  candidates sends nothing, and neither do those after it.
+* The last level exchanges each bucket's distinct windows for their smallest id, by two independent 64-bit hashes
+  of the words.
 
 Defined cases: null text = no words (nothing removed, ``kept`` empty); null id = larger than every other
 id; rows that repeat an id count as one document; other columns are ignored.
@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from . import blocks as K
 from .blocks import U
 
-WINDOW = 13
+WINDOW, FIRST = 13, 4
 OUT = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
 
 
-def levels_of(window: int, first: int | None = None) -> list[int]:
-    """Doubling lengths from first (half the window unless given) to the window itself."""
-    levels = [first or (window + 1) // 2]
+def levels_of(window: int, first: int = FIRST) -> list[int]:
+    """Doubling lengths from first to the window itself."""
+    levels = [min(first, window)]
     while levels[-1] < window:
         levels.append(min(2 * levels[-1], window))
     return levels
@@ -48,7 +48,7 @@ class _Bucket:
         for i, j in K.chunks(self.off):
             a, b = int(self.off[i]), int(self.off[j])
             s, e, wo = K.word_spans(self.buf[a:b], self.off[i : j + 1] - a)
-            hashes.append(K.hash_spans(self.buf[a:b], s, e) if b > a else np.zeros(0, U))
+            hashes.append(K.hash_spans(self.buf[a:b], s, e))
             spans.append((s + a, e + a))
             counts.append(np.diff(wo))
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
@@ -56,67 +56,52 @@ class _Bucket:
         self.words, self.n_words = join(hashes, U), join(counts, np.int64)
         self.word_off = np.concatenate([[0], np.cumsum(self.n_words)])
 
+    def second(self, rows: np.ndarray) -> np.ndarray:
+        """Other hashes of some words, independent of the first ones."""
+        a, b = self.start[rows], self.end[rows]
+        lens = b - a
+        g, k = K.spread(lens)
+        end = np.cumsum(lens)
+        return K.hash_spans(self.buf[a[g] + k], end - lens, end, 1)
+
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """First word and document of each window of the given width."""
         doc, k = K.spread(np.maximum(self.n_words - width + 1, 0))
         return self.word_off[doc] + k, doc
 
-    def sampled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each full window: its document, the place of its sample, the sample's hash."""
-        first, window = self.levels[0], self.levels[-1]
-        at, doc = self.windows(window)
-        if not len(at):
-            return doc, at, np.zeros(0, U)
-        h = K.hash_windows(self.words, np.arange(len(self.words) - first + 1), first)
-        low = K.slide((h & U(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=U), window - first + 1, np.minimum)
-        place = (low[at] & U(0xFFFFFFFF)).astype(np.int64)
-        return doc, place, K.mix(h[place])  # minima are small numbers; mixed again they spread evenly
-
-    def ask_first(self):
-        doc, place, h = self.sampled()
-        new = np.ones(len(place), bool)
-        new[1:] = place[1:] != place[:-1]
-        return h[new], self.ids[doc[new]]
-
-    def survivors(self, answers: list[pa.Table], parts: int) -> tuple[np.ndarray, np.ndarray]:
-        """Windows of the level after the answered ones whose parts all repeat: first word, document."""
-        doc, place, h = self.sampled()
-        keys, inverse = np.unique(h, return_inverse=True)
-        keep = K.read_repeated(keys, answers[0], parts)[inverse] if len(keys) else np.zeros(0, bool)
-        full, _ = self.windows(self.levels[-1])
-        window = self.levels[-1]
-        alive = np.zeros(len(self.words) + 1, bool)  # places that a window of the level may start at
-        width = self.levels[1] if len(self.levels) > 1 else window
-        lead = np.zeros(len(self.words) + 2, np.int32)
-        np.add.at(lead, full[keep], 1)
-        np.add.at(lead, full[keep] + window - width + 1, -1)
-        alive[:] = np.cumsum(lead[:-1]) > 0
-        for level, answer in enumerate(answers[1:], 1):
-            at, _, h = self.asked(alive, width)
+    def alive(self, answers: list[pa.Table], parts: int) -> np.ndarray:
+        """By word: whether a window of the level after the answered ones that starts there has only repeated parts."""
+        out = np.ones(len(self.words), bool)
+        for level, answer in enumerate(answers):
+            at, _, h = self.asked(out, self.levels[level])
             keys, inverse = np.unique(h, return_inverse=True)
-            hit = K.read_repeated(keys, answer, parts)[inverse] if len(keys) else np.zeros(0, bool)
-            there = np.zeros(len(alive), bool)
-            there[at[hit]] = True
-            longer = self.levels[level + 1]
-            alive = np.zeros(len(alive), bool)
-            reach = len(alive) - (longer - width)
-            alive[:reach] = there[:reach] & there[longer - width :][:reach]
-            width = longer
-        at, doc = self.windows(width)
-        live = alive[at]
-        return at[live], doc[live]
+            out = np.zeros(len(out), bool)
+            if len(keys):
+                out[at[K.read_repeated(keys, answer, parts)[inverse]]] = True
+            if level + 1 < len(self.levels):
+                step = self.levels[level + 1] - self.levels[level]
+                stop = max(0, len(out) - step)
+                out[:stop] &= out[len(out) - stop :]
+                out[stop:] = False
+        return out
 
     def asked(self, alive: np.ndarray, width: int):
         at, doc = self.windows(width)
         live = alive[at]
         at, doc = at[live], doc[live]
-        return at, doc, K.hash_windows(self.words, at, width) if len(at) else np.zeros(0, U)
+        return at, doc, K.hash_windows(self.words, at, width)
 
-    def distinct(self, at: np.ndarray, doc: np.ndarray):
-        """Hashes of full windows; the distinct ones in order, and which of them each window is."""
+    def distinct(self, alive: np.ndarray):
+        """Windows of the last level: first word, document, and which of the distinct ones each is; of those, in the order
+        of their hashes, both hashes and the smallest id."""
         width = self.levels[-1]
-        key = K.hash_windows(self.words, at, width) if len(at) else np.zeros(0, U)
-        more = (K.hash_windows(self.words, at, width, 1) >> U(32)).astype(np.uint32) if len(at) else np.zeros(0, np.uint32)
+        at, doc, key = self.asked(alive, width)
+        # Words of the windows left, one after another: few of all.
+        used = np.zeros(len(self.words) + 1, np.int64)
+        np.add.at(used, at, 1)
+        np.add.at(used, np.minimum(at + width, len(self.words)), -1)
+        rows = np.flatnonzero(np.cumsum(used[:-1]))
+        more = K.hash_windows(self.second(rows), np.searchsorted(rows, at), width)
         order = np.lexsort((more, key))
         sk, sm = key[order], more[order]
         new = np.ones(len(order), bool)
@@ -125,7 +110,7 @@ class _Bucket:
         which[order] = np.cumsum(new) - 1
         first = np.flatnonzero(new)
         low = np.minimum.reduceat(self.ids[doc[order]], first) if len(first) else np.zeros(0, np.int64)
-        return sk[first], sm[first], low, which
+        return at, doc, which, sk[first], sm[first], low
 
 
 def _request(table, to, bodies) -> pa.Table:
@@ -133,14 +118,16 @@ def _request(table, to, bodies) -> pa.Table:
 
 
 def _smallest(requests: DataFrame, parts: int) -> DataFrame:
-    """Answers (key, 32 more bits, smallest id) requests by the smallest id over all buckets."""
+    """Answers (key, 64 more bits, smallest id) requests by the smallest id over all buckets."""
 
     def run(table: pa.Table) -> pa.Table:
-        raw = [K.unsqueeze(x) for x in table["body"].to_pylist()]
-        sizes = [len(x) // 20 for x in raw]
-        key = np.concatenate([np.frombuffer(x, U, n) for x, n in zip(raw, sizes)])
-        low = np.concatenate([np.frombuffer(x, np.int64, n, 8 * n) for x, n in zip(raw, sizes)])
-        more = np.concatenate([np.frombuffer(x, np.uint32, n, 16 * n) for x, n in zip(raw, sizes)])
+        asked = [K.apart(x) for x in table["body"].to_pylist()]
+        key = [K.unsqueeze_keys(x) for x, _ in asked]
+        sizes = [len(x) for x in key]
+        rest = [K.unsqueeze(x) for _, x in asked]
+        key = np.concatenate(key)
+        low = np.concatenate([np.frombuffer(x, np.int64, n) for x, n in zip(rest, sizes)])
+        more = np.concatenate([np.frombuffer(x, U, n, 8 * n) for x, n in zip(rest, sizes)])
         order = np.lexsort((more, key))
         sk, sm = key[order], more[order]
         at = np.flatnonzero(np.concatenate([[True], (sk[1:] != sk[:-1]) | (sm[1:] != sm[:-1])]))
@@ -152,73 +139,86 @@ def _smallest(requests: DataFrame, parts: int) -> DataFrame:
     return requests.repartition(parts, "part").groupBy("part").applyInArrow(run, K.REPLY)
 
 
-def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, first: int | None = None, buckets: int | None = None) -> DataFrame:
-    """One row per row of docs: word counts, the kept words joined by a space, and their hash."""
-    if window < 1 or first is not None and not 1 <= first <= window:
-        raise ValueError("window must be positive, first between 1 and window")
-    n = buckets or K.buckets_of(K.corpus_bytes(docs, text))
-    packed = K.pack(docs, n, doc_id, text)
-    levels = levels_of(window, first)
+def substring_dedup(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, first: int = FIRST, buckets: int | None = None,
+    parts: int | None = None, bucket_bytes: int = K.BUCKET_BYTES,
+) -> DataFrame:
+    """One row per row of docs: word counts, the kept words joined by a space, and their hash.
 
-    def ask(table: pa.Table) -> pa.Table:
-        _, to, bodies = K.ask_repeated(*_Bucket(table, levels).ask_first(), n)
-        return _request(table, to, bodies)
+    buckets, parts: numbers of text buckets and of hash ranges, from the corpus' size and bucket_bytes unless given."""
+    if window < 1 or first < 1:
+        raise ValueError("window and first must be positive")
+    n = buckets or K.buckets_of(K.corpus_bytes(docs, text), bucket_bytes)
+    m = parts or n
+    ids = K.Ids(docs, doc_id)
+    packed = K.pack(docs, n, ids, doc_id, text, bucket_bytes=bucket_bytes)
+    levels = levels_of(window, first)
 
     def of_level(replies: pa.Table, level: int) -> pa.Table:
         part = np.asarray(replies["part"])
-        mine = replies.filter(pa.array(part // n == level))
-        return mine.set_column(mine.schema.get_field_index("part"), "part", pa.array(np.asarray(mine["part"]) % n, pa.int32()))
+        mine = replies.filter(pa.array(part // m == level))
+        return mine.set_column(mine.schema.get_field_index("part"), "part", pa.array(np.asarray(mine["part"]) % m, pa.int32()))
+
+    def request(table: pa.Table, answers: list[pa.Table]) -> pa.Table:
+        b = _Bucket(table, levels)
+        _, doc, h = b.asked(b.alive(answers, m), levels[len(answers)])
+        _, to, bodies = K.ask_repeated(h, b.ids[doc], m)
+        return _request(table, to, bodies)
 
     def extend(level: int):
         def run(table: pa.Table, replies: pa.Table) -> pa.Table:
             if not table.num_rows:
                 return K.rows_of([], [], [], ("part", "bucket"))
-            b = _Bucket(table, levels)
-            at, doc = b.survivors([of_level(replies, x) for x in range(level)], n)
-            h = K.hash_windows(b.words, at, levels[level]) if len(at) else np.zeros(0, U)
-            _, to, bodies = K.ask_repeated(h, b.ids[doc], n)
-            return _request(table, to, bodies)
+            return request(table, [of_level(replies, x) for x in range(level)])
 
         return run
 
-    replies = K.repeated(packed.groupBy("bucket").applyInArrow(ask, K.REQUEST), n)
-    for level in range(1, len(levels) - 1):
-        asked = packed.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(extend(level), K.REQUEST)
-        replies = replies.unionByName(K.repeated(asked, n).selectExpr("bucket", f"CAST(part + {level * n} AS INT) AS part", "body"))
-    last = max(1, len(levels) - 1)
+    last = len(levels) - 1
+    replies = None
+    for level in range(last):
+        if replies is None:
+            asked = packed.groupBy("bucket").applyInArrow(lambda table: request(table, []), K.REQUEST)
+        else:
+            asked = packed.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(extend(level), K.REQUEST)
+        found = K.repeated(asked, m).selectExpr("bucket", f"CAST(part + {level * m} AS INT) AS part", "body")
+        replies = found if replies is None else replies.unionByName(found)
+
+    def answered(replies: pa.Table | None) -> list[pa.Table]:
+        return [of_level(replies, x) for x in range(last)]
 
-    def send(table: pa.Table, replies: pa.Table) -> pa.Table:
+    def send(table: pa.Table, replies: pa.Table | None = None) -> pa.Table:
         if not table.num_rows:
             return K.rows_of([], [], [], ("part", "bucket"))
         b = _Bucket(table, levels)
-        key, more, low, _ = b.distinct(*b.survivors([of_level(replies, x) for x in range(last)], n))
+        *_, key, more, low = b.distinct(b.alive(answered(replies), m))
         to, bodies = [], []
-        for p, x, y in K.cut_by_part(key, n):
+        for p, x, y in K.cut_by_part(key, m):
             to.append(p)
-            bodies.append(K.squeeze(key[x:y].tobytes() + low[x:y].tobytes() + more[x:y].tobytes()))
+            bodies.append(K.together(K.squeeze_keys(key[x:y]), K.squeeze(low[x:y].tobytes() + more[x:y].tobytes())))
         return _request(table, to, bodies)
 
-    owners = _smallest(packed.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(send, K.REQUEST), n)
-    everything = replies.unionByName(owners.selectExpr("bucket", f"CAST(part + {last * n} AS INT) AS part", "body"))
+    by_bucket = packed.groupBy("bucket")
+    sent = by_bucket.applyInArrow(lambda table: send(table), K.REQUEST) if replies is None else by_bucket.cogroup(replies.groupBy("bucket")).applyInArrow(send, K.REQUEST)
+    owners = _smallest(sent, m).selectExpr("bucket", f"CAST(part + {last * m} AS INT) AS part", "body")
+    everything = owners if replies is None else replies.unionByName(owners)
 
     def cover(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return _digest(None, None)
+            return _digest(None, None, ids)
         b = _Bucket(table, levels)
-        at, doc = b.survivors([of_level(replies, x) for x in range(last)], n)
-        key, _, _, which = b.distinct(at, doc)
+        at, doc, which, key, *_ = b.distinct(b.alive(answered(replies), m))
         by = dict(zip(*(of_level(replies, last)[c].to_pylist() for c in ("part", "body"))))
-        low = np.concatenate([np.zeros(0, np.int64)] + [np.frombuffer(K.unsqueeze(by[p]), np.int64) for p, _, _ in K.cut_by_part(key, n)])
+        low = np.concatenate([np.zeros(0, np.int64)] + [np.frombuffer(K.unsqueeze(by[p]), np.int64) for p, _, _ in K.cut_by_part(key, m)])
         where = at[low[which] < b.ids[doc]]
         edge = np.zeros(len(b.words) + 1, np.int32)
         np.add.at(edge, where, 1)
         np.add.at(edge, where + window, -1)
-        return _digest(b, np.cumsum(edge[:-1]) > 0)
+        return _digest(b, np.cumsum(edge[:-1]) > 0, ids)
 
     return packed.groupBy("bucket").cogroup(everything.groupBy("bucket")).applyInArrow(cover, OUT)
 
 
-def _digest(b: _Bucket | None, gone: np.ndarray | None) -> pa.Table:
+def _digest(b: _Bucket | None, gone: np.ndarray | None, ids: K.Ids) -> pa.Table:
     kept, removed = [], np.zeros(0, np.int64)
     if b is not None:
         removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[b.word_off])
@@ -233,7 +233,7 @@ def _digest(b: _Bucket | None, gone: np.ndarray | None) -> pa.Table:
             raw = out.tobytes()
             kept += [raw[x : max(x, y - 1)] for x, y in zip(edges[:-1].tolist(), edges[1:].tolist())]
     return pa.table({
-        "doc_id": K.ids_back(b.ids) if b else pa.array([], pa.int64()), "n_words": pa.array(b.n_words if b else [], pa.int64()),
+        "doc_id": ids.back(b.ids) if b else pa.array([], pa.int64()), "n_words": pa.array(b.n_words if b else [], pa.int64()),
         "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string()),
         "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
     })

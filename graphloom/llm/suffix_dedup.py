@@ -52,68 +52,117 @@ def _types(t: np.ndarray) -> np.ndarray:
     return up
 
 
-def _sort_lms(t: np.ndarray, up: np.ndarray) -> np.ndarray:
-    """Leftmost-smaller positions in the order of their suffixes.
-
-    The substrings between them are named by sorting packed (byte, type) codes, seven to a word; a longer
-    one is cut into sevens.  The string of names is then sorted by recursion on ever longer pairs: round
-    r orders runs of 2**r names, and only names that still tie go on.  Separators rank by position."""
-    n = len(t)
+def _leftmost(up: np.ndarray) -> np.ndarray:
+    """Positions of smaller (S) suffixes right of a larger (L) one."""
     lms = up.copy()
     lms[0] = False
     lms[1:] &= ~up[:-1]
-    base = np.flatnonzero(lms).astype(np.int64)
+    return np.flatnonzero(lms).astype(np.int64)
+
+
+def _order(s: np.ndarray, up: np.ndarray, bits: int, apart: int) -> np.ndarray:
+    """Leftmost-smaller positions of s in the order of their suffixes.
+
+    The substrings between them are named by sorting packed (symbol, type) codes of the given bits, as many as a word
+    holds; a longer substring is cut into such pieces.  Where names repeat, the string of names is sorted by recursion.
+    Symbols below apart are separators: they rank by position, and none repeats in the string of names."""
+    n, width = len(s), 64 // bits
+    base = _leftmost(up)
     gaps = np.diff(np.concatenate([base, [n]]))
-    group, k = K.spread((gaps - 1) // 7 + 1)
-    at = base[group] + 7 * k
+    group, k = K.spread((gaps - 1) // width + 1)
+    at = base[group] + width * k
     main = k == 0
-    code = np.zeros(n + 8, U)
-    code[:n] = t.astype(U) * U(2) + up
+    code = np.zeros(n + width + 1, U)
+    code[:n] = s.astype(U) * U(2) + up
     keys = np.zeros(len(at), U)
-    reach = np.minimum(np.diff(np.concatenate([at, [n - 1]])), 6)
-    for i in range(7):
-        keys = (keys << U(9)) | np.where(i <= reach, code[at + i], U(0))
-    sep = np.flatnonzero(t[at] == 0)
+    reach = np.minimum(np.diff(np.concatenate([at, [n - 1]])), width - 1)
+    for i in range(width):
+        keys = (keys << U(bits)) | np.where(i <= reach, code[at + i], U(0))
+    sep = np.flatnonzero(s[at] < apart)
     keys[sep] = np.arange(len(sep), dtype=U)
     order = np.argsort(keys)
-    rank, idx = _ranks(keys, order, np.arange(len(at)), np.zeros(len(at), np.int64))
-    step = 1
-    while len(idx):
-        pair = (rank[idx].astype(U) << U(32)) | rank[idx + step].astype(U)
-        fresh, left = _ranks(pair, np.argsort(pair), idx, rank)
-        rank, idx = fresh, left
-        step *= 2
-    out = np.empty(len(at), np.int64)
-    out[rank] = np.arange(len(at))
-    return at[out[main[out]]].astype(np.int32)
-
-
-def _ranks(keys, order, idx, rank):
-    """Ranks of the entries idx after sorting within their old ranks by keys; and those that still tie."""
-    sk, who = keys[order], idx[order]
-    old = rank[who]
-    n = len(sk)
-    here = np.arange(n)
-    start = np.maximum.accumulate(np.where(np.concatenate([[True], old[1:] != old[:-1]]), here, 0))
+    sk = keys[order]
     new = np.concatenate([[True], sk[1:] != sk[:-1]])
-    sub = np.maximum.accumulate(np.where(new, here, 0))
-    rank = rank.copy()
-    rank[who] = old + sub - start
-    tied = ~(new & np.concatenate([new[1:], [True]]))
-    return rank, who[tied]
+    if not new.all():
+        names = np.empty(len(at), np.int64)
+        names[order] = np.cumsum(new) - 1
+        order = _sorted_names(names, int(new.sum()))
+    return at[order[main[order]]]
+
+
+def _sorted_names(names: np.ndarray, count: int) -> np.ndarray:
+    """Positions of a string over 0 .. count - 1 in suffix order: the leftmost-smaller ones by recursion, which induce the
+    others.  A shorter suffix comes before those that it begins."""
+    s = np.concatenate([names + 1, [0]])  # with an end smaller than all
+    n = len(s)
+    less, same = s[:-1] < s[1:], s[:-1] == s[1:]
+    up = np.concatenate([less, [True]])
+    if same.any():
+        stop = np.flatnonzero(np.concatenate([~same, [True]]))
+        runs = np.flatnonzero(same)
+        up[runs] = up[stop[np.searchsorted(stop, runs)]]
+    lms = _order(s, up, max(1, (2 * count + 3).bit_length()), 1)
+    counts = np.bincount(s, minlength=count + 1)
+    end = np.cumsum(counts)
+    sa = np.full(n, -1, np.int64)
+    sym = s[lms]
+    tail_rank = np.arange(len(lms)) - np.searchsorted(sym, sym)  # lms ascend by symbol
+    ends = end[sym] - np.searchsorted(sym, sym, side="right") + np.searchsorted(sym, sym) + tail_rank
+    sa[ends] = lms
+    _induce(sa, s, ~up, end - counts, 1)
+    sa[ends] = -1
+    sa[0] = n - 1
+    _induce(sa, s, up, end, -1)
+    return sa[1:]
+
+
+def _induce(sa: np.ndarray, s: np.ndarray, kind: np.ndarray, ptr: np.ndarray, sign: int) -> None:
+    """One scan of induced sorting, from the left (sign 1) or the right (-1): each entry puts its left neighbour, if that
+    is of the kind, at the next free place of its symbol's bucket.
+
+    A scan that reads and writes one entry after another, but many at a time: of a stretch of entries, those before
+    the first place that the stretch itself writes do not depend on one another."""
+    n = len(sa)
+    ptr = ptr.copy()
+    at, width = 0, 256
+    view = sa if sign > 0 else sa[::-1]
+    while at < n:
+        part = view[at : at + width]
+        here = np.flatnonzero(part > 0)
+        before = part[here] - 1
+        keep = kind[before]
+        here, before = here[keep], before[keep]
+        if not len(here):
+            at, width = at + width, min(2 * width, 1 << 16)
+            continue
+        ch = s[before]
+        o = np.argsort(ch, kind="stable")
+        sc = ch[o]
+        k = np.arange(len(sc))
+        first = np.concatenate([[True], sc[1:] != sc[:-1]])
+        k -= np.maximum.accumulate(np.where(first, k, 0))
+        place = np.empty(len(sc), np.int64)
+        place[o] = ptr[sc] + k if sign > 0 else n - ptr[sc] + k  # as places of the view
+        low = np.minimum.accumulate(place) - at
+        free = np.concatenate([[True], here[1:] < low[:-1]])
+        m = len(free) if free.all() else int(np.argmin(free))
+        view[place[:m]] = before[:m]
+        np.add.at(ptr, ch[:m], sign)
+        step = min(width, int(low[m - 1]))
+        at, width = at + step, min(2 * width, 1 << 16) if step == width else max(64, 2 * step)
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
     """Positions of t (uint8; 0 separates strings and ends t) in suffix order, separators left out.
 
-    Induced sorting: the sorted leftmost-smaller suffixes induce the larger (L) ones bucket by bucket from
-    the left, these the smaller (S) ones from the right.  A bucket is scanned in vectorised rounds, as many
-    as its longest run of one byte."""
+    Induced sorting: the leftmost-smaller suffixes, sorted by recursion on the names of the substrings between them,
+    induce the larger (L) ones bucket by bucket from the left, these the smaller (S) ones from the right.  A bucket
+    is scanned in vectorised rounds, as many as its longest run of one byte."""
     n = len(t)
     if not n:
         return np.zeros(0, np.int32)
     up = _types(t)
-    lms = _sort_lms(t, up)
+    lms = _order(t, up, 9, 1).astype(np.int32)
     counts = np.bincount(t, minlength=256)
     end = np.cumsum(counts)
     begin = end - counts
@@ -263,27 +312,37 @@ def _candidates(table: pa.Table, replies: pa.Table, parts: int, window: int, gra
     return ids, buf, off, doc, start, n_win, anchor, print_, first, unique_of
 
 
-def suffix_array_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, buckets: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of docs: sizes, the kept bytes, the removed spans, and the columns to carry."""
+def suffix_array_dedup(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, buckets: int | None = None,
+    carry: tuple[str, ...] = (), parts: int | None = None, bucket_bytes: int = K.BUCKET_BYTES,
+) -> DataFrame:
+    """One row per row of docs: sizes, the kept bytes, the removed spans, and the columns to carry.
+
+    buckets, parts: numbers of text buckets and of hash ranges, from the corpus' size and bucket_bytes unless given.
+    Columns to carry that are named like the operator's own are refused."""
+    if clash := {c.lower() for c in carry} & {f.split()[0] for f in OUT.split(", ")}:
+        raise ValueError(f"columns to carry clash with the result's: {', '.join(sorted(clash))}")
     if not 1 <= gram <= window or gram % 8 and gram > 8:
         raise ValueError("gram must be at most window, and a multiple of 8 above 8")
-    n = buckets or K.buckets_of(K.corpus_bytes(docs, text))
-    shards = 2 * n  # a shard's suffix array takes about 60 bytes a byte of its distinct strings
-    packed = K.pack(docs, n, doc_id, text, carry)
+    n = buckets or K.buckets_of(K.corpus_bytes(docs, text), bucket_bytes)
+    m_parts = parts or n
+    shards = 2 * m_parts  # a shard's suffix array takes about 60 bytes a byte of its distinct strings
+    code = K.Ids(docs, doc_id)
+    packed = K.pack(docs, n, code, doc_id, text, carry, bucket_bytes)
     carried = [docs.schema[c] for c in carry]
 
     def ask(table: pa.Table) -> pa.Table:
         ids, buf, off = K.unpack(table)
         doc, _, _, anchor = _strings(buf, off, window, gram)
-        _, to, bodies = K.ask_repeated(anchor, ids[doc], n)
+        _, to, bodies = K.ask_repeated(anchor, ids[doc], m_parts)
         return K.rows_of(to, [table["bucket"][0].as_py()] * len(to), bodies, ("part", "bucket"))
 
-    repeated = K.repeated(packed.groupBy("bucket").applyInArrow(ask, K.REQUEST), n)
+    repeated = K.repeated(packed.groupBy("bucket").applyInArrow(ask, K.REQUEST), m_parts)
 
     def send(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
             return K.rows_of([], [], [], ("part", "bucket"))
-        ids, buf, off, doc, start, n_win, anchor, prints, first, _ = _candidates(table, replies, n, window, gram)
+        ids, buf, off, doc, start, n_win, anchor, prints, first, _ = _candidates(table, replies, m_parts, window, gram)
         to, bodies = [], []
         for p, a, b in K.cut_by_part(anchor[first], shards):
             f = first[a:b]
@@ -334,15 +393,15 @@ def suffix_array_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             bodies.append(b"".join((len(w).to_bytes(8, "little"), len(r).to_bytes(8, "little"), K.squeeze(n_runs[w].astype(np.int32).tobytes() + run_len[r].astype(np.int32).tobytes() + run_low[r].tobytes()))))
         return K.rows_of(table["bucket"].to_pylist(), table["part"].to_pylist(), bodies, ("bucket", "part"))
 
-    owners = strings.repartition(n, "part").groupBy("part").applyInArrow(shard, K.REPLY)
+    owners = strings.repartition(m_parts, "part").groupBy("part").applyInArrow(shard, K.REPLY)
     # Both replies of a bucket come back in one table; the part of a bitmap is stored as is, of owners as ~part.
     both = repeated.unionByName(owners.selectExpr("bucket", "~part AS part", "body"))
 
     def cover(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return K.beside(_empty(), None, carry)
+            return K.beside(_empty(code), None, carry)
         part = np.asarray(replies["part"])
-        ids, buf, off, doc, start, n_win, anchor, _, first, unique_of = _candidates(table, replies.filter(pa.array(part >= 0)), n, window, gram)
+        ids, buf, off, doc, start, n_win, anchor, _, first, unique_of = _candidates(table, replies.filter(pa.array(part >= 0)), m_parts, window, gram)
         late = replies.filter(pa.array(part < 0)).sort_by([("part", "descending")])
         runs, lens, low = [], [], []
         for x in late["body"].to_pylist():
@@ -361,16 +420,16 @@ def suffix_array_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             np.add.at(edge, where, 1)
             np.add.at(edge, where + window, -1)
         gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
-        return K.beside(_digest(ids, buf, off, gone), K.carried(table) if carry else None, carry)
+        return K.beside(_digest(ids, buf, off, gone, code), K.carried(table) if carry else None, carry)
 
     return packed.groupBy("bucket").cogroup(both.groupBy("bucket")).applyInArrow(cover, OUT + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in carried))
 
 
-def _empty() -> pa.Table:
-    return _digest(np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, bool))
+def _empty(code: K.Ids) -> pa.Table:
+    return _digest(np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, bool), code)
 
 
-def _digest(ids: np.ndarray, buf: np.ndarray, off: np.ndarray, gone: np.ndarray) -> pa.Table:
+def _digest(ids: np.ndarray, buf: np.ndarray, off: np.ndarray, gone: np.ndarray, code: K.Ids) -> pa.Table:
     rise = gone.copy()
     rise[1:] &= ~gone[:-1]
     first = off[:-1][off[:-1] < off[1:]]
@@ -391,7 +450,7 @@ def _digest(ids: np.ndarray, buf: np.ndarray, off: np.ndarray, gone: np.ndarray)
         pa.StructArray.from_arrays([pa.array(rise - base, pa.int64()), pa.array(fall - base, pa.int64())], names=["start", "end"]),
     )
     return pa.table({
-        "doc_id": K.ids_back(ids), "n_bytes": pa.array(np.diff(off), pa.int64()), "n_removed": pa.array(np.diff(removed), pa.int64()),
+        "doc_id": code.back(ids), "n_bytes": pa.array(np.diff(off), pa.int64()), "n_removed": pa.array(np.diff(removed), pa.int64()),
         "n_spans": pa.array(np.diff(span_off), pa.int64()), "kept": pa.array(pieces, pa.binary()),
         "spans": spans,
     })

@@ -270,7 +270,36 @@ def test_rebuilt_unigram_model(tmp_path):
 
 
 def test_levels():
-    assert substring_dedup.levels_of(13) == [7, 13] and substring_dedup.levels_of(50, 4) == [4, 8, 16, 32, 50] and substring_dedup.levels_of(1) == [1]
+    assert substring_dedup.levels_of(13) == [4, 8, 13] and substring_dedup.levels_of(50, 4) == [4, 8, 16, 32, 50] and substring_dedup.levels_of(1) == [1]
+
+
+def thue_morse(n, flip=False):
+    return bytes(97 + ((i.bit_count() + flip) & 1) for i in range(n))
+
+
+@pytest.mark.parametrize("n", [64, 256, 1024, 2048, 4096])
+def test_no_structured_collisions(n):
+    """Words that collide under every polynomial modulo 2**64, as bytes and as sequences of words."""
+    a, b = thue_morse(n), thue_morse(n, True)
+    buf = np.frombuffer(a + b, np.uint8)
+    s, e = np.array([0, n]), np.array([n, 2 * n])
+    for seed in (0, 1):
+        h = K.hash_spans(buf, s, e, seed)
+        assert h[0] != h[1]
+    words = K.hash_spans(np.frombuffer(b"ab", np.uint8), np.array([0, 1]), np.array([1, 2]))
+    values = words[np.array([x - 97 for x in a + b])]
+    h = K.hash_windows(values, s, n)
+    assert h[0] != h[1]
+
+
+def test_spans_hash_by_content():
+    text = b"abcdefgh" * 80 + b"\0" * 30
+    buf = np.frombuffer(text + b"xyz" + text, np.uint8)
+    for k in (0, 1, 7, 8, 9, 16, 255, 256, 257, 600):
+        h = K.hash_spans(buf, np.array([0, len(text) + 3]), np.array([k, len(text) + 3 + k]))
+        assert h[0] == h[1]
+    n = np.arange(1, 30)
+    assert len(set(K.hash_spans(np.zeros(40, np.uint8), 0 * n, n).tolist())) == len(n)
 
 
 def test_trigrams_stay_inside_documents():
@@ -282,4 +311,8 @@ def test_trigrams_stay_inside_documents():
 def test_squeeze():
     for x in (b"", b"abc" * 1000):
         assert K.unsqueeze(K.squeeze(x)) == x
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0") and lm_score.ORDER == 2
+    keys = np.sort(np.random.default_rng(1).integers(0, 2**64, 1000, np.uint64))
+    for x in (keys, keys[:1], keys[:0]):
+        assert (K.unsqueeze_keys(K.squeeze_keys(x)) == x).all()
+    assert K.apart(K.together(b"", b"ab", b"c")) == [b"", b"ab", b"c"]
+    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")

@@ -68,7 +68,7 @@ def test_suffix_array_dedup(docs, none, window, gram, buckets):
     assert suffix_dedup.suffix_array_dedup(none).count() == 0
 
 
-@pytest.mark.parametrize("window,first,buckets", [(13, None, 6), (13, 3, 2), (4, 1, 1), (1, None, 2)])
+@pytest.mark.parametrize("window,first,buckets", [(13, 4, 6), (13, 3, 2), (13, 2, 2), (4, 1, 1), (1, 4, 2), (3, 7, 1)])
 def test_substring_dedup(docs, none, window, first, buckets):
     got = substring_dedup.substring_dedup(docs, window=window, first=first, buckets=buckets).collect()
     want = []
@@ -79,26 +79,66 @@ def test_substring_dedup(docs, none, window, first, buckets):
     assert substring_dedup.substring_dedup(none).count() == 0
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_lm_score(docs, none, order):
+@pytest.mark.parametrize("order,out,least", [(1, True, 1), (2, True, 1), (3, True, 1), (2, False, 2), (3, False, 1)])
+def test_lm_score(docs, none, order, out, least):
     words = [(i, WORD.findall(bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode()))) for i, t in ROWS]
-    counts = Counter(tuple(w[k - n : k]) for _, w in words for n in range(1, order + 1) for k in range(n, len(w) + 1))
+    grams = lambda w: Counter(tuple(w[k - n : k]) for n in range(1, order + 1) for k in range(n, len(w) + 1))
+    corpus = sum((grams(w) for _, w in words), Counter())
     total = sum(len(w) for _, w in words)
 
-    def log(w, k):
-        n, penalty = min(order, k), 0.0
-        while n > 1 and counts[tuple(w[k - n : k])] < 2:
-            n, penalty = n - 1, penalty + math.log(0.4)
-        below = counts[tuple(w[k - n : k - 1])] if n > 1 else total
-        return penalty + math.log(counts[tuple(w[k - n : k])] / below)
+    def score(w):
+        counts = corpus - grams(w) if out else corpus
+        every = max(total - len(w) * out, 1)
 
-    want = sorted((str(i), len(w), round(sum(log(w, k) for k in range(1, len(w) + 1)), 6)) for i, w in words)
-    got = lm_score.lm_score(docs, order=order, buckets=3).collect()
+        def log(k):
+            n, penalty = min(order, k), 0.0
+            while n > 1 and counts[tuple(w[k - n : k])] < least:
+                n, penalty = n - 1, penalty + math.log(0.4)
+            if n == 1:
+                return penalty + math.log((counts[(w[k - 1],)] if counts[(w[k - 1],)] >= least else 0.4) / every)
+            return penalty + math.log(counts[tuple(w[k - n : k])] / counts[tuple(w[k - n : k - 1])])
+
+        return sum(log(k) for k in range(1, len(w) + 1))
+
+    want = sorted((str(i), len(w), round(score(w), 6)) for i, w in words)
+    got = lm_score.lm_score(docs, order=order, leave_one_out=out, min_count=least, buckets=3).collect()
     assert sorted((str(r.doc_id), r.n_words, round(r.log_score, 6)) for r in got) == want
     assert all((r.mean_log_score is None) == (r.n_words == 0) for r in got)
     assert lm_score.lm_score(none).count() == 0
 
 
+LEAST = -(2**63)
+
+
+@pytest.mark.parametrize("ids", [(NO, None), (LEAST, NO, None), (LEAST, LEAST + 1, 5, NO, None), (NO, 4), (None, None)])
+def test_extreme_ids(spark, ids):
+    """The largest long beside null: each sorts where it should and comes back as it was."""
+    t = "one two three four five six seven eight nine ten eleven twelve thirteen and some more bytes"
+    df = spark.createDataFrame([(i, t) for i in ids] * 2, "doc_id long, text string")
+    kept = sorted(2 * [(i is None, i or 0) for i in ids])[0]
+    for out in (substring_dedup.substring_dedup(df, buckets=2), suffix_dedup.suffix_array_dedup(df, buckets=2)):
+        got = out.collect()
+        assert sorted(map(str, (r.doc_id for r in got))) == sorted(map(str, ids + ids))
+        assert all((r.n_removed == 0) == ((r.doc_id is None, r.doc_id or 0) == kept) for r in got)
+    assert sorted(str(r.doc_id) for r in lm_score.lm_score(df, buckets=2).collect()) == sorted(map(str, ids + ids))
+
+
+def test_words_that_fool_polynomials(spark):
+    a = "".join("ab"[i.bit_count() & 1] for i in range(2048))
+    tail = " ".join(f"w{i}" for i in range(12))
+    df = spark.createDataFrame([(1, f"{a} {tail}"), (2, f"{a.translate({97: 98, 98: 97})} {tail}")], "doc_id long, text string")
+    assert [r.n_removed for r in substring_dedup.substring_dedup(df).collect()] == [0, 0]
+
+
+def test_rows_without_ids_spread(spark):
+    """Half of the rows have no id, a quarter one id: no bucket holds much more than its share."""
+    from graphloom.llm import blocks as K
+
+    df = spark.range(4000).selectExpr("CASE WHEN id % 2 = 0 THEN null WHEN id % 4 = 1 THEN 7 ELSE id END AS doc_id", "concat('text of ', id) AS text")
+    sizes = [r[0] for r in K.pack(df, 8, K.Ids(df)).selectExpr("octet_length(ids) / 8 AS n", "bucket").groupBy("bucket").sum("n").select("sum(n)").collect()]
+    assert len(sizes) == 8 and max(sizes) < 700
+
+
 def test_simhash(docs, none):
     import xxhash
 
