@@ -8,18 +8,22 @@ l for a language and evidence taken as independent given l:
 * text(l): byte-trigram log likelihood (letters only, lower-cased), its mean times min(n, EFFECTIVE) so
   that dependent trigrams do not count as independent.  The trigram table is fitted on a bounded sample of
   labelled rows: at most ``train_rows`` distinct texts, the same quota for each label, so that every label of
-  the table is in the model (with one text at least); whole texts are scored.
+  the table is in the model (with one text at least); whole texts are counted on the executors, and the driver gets
+  one vector of BINS counts a label.  Whole texts are scored.
 * The other terms come from grouped aggregation over all rows, with each row counted under the language of
-  its text alone.  Tables smooth towards their parents: language <- corpus, site <- corpus, host <- site
-  for the prior, (declared, l) and (suffix, l) with add-one.
+  its text alone.  P(key | l) = (c(key, l) + KEY_WEIGHT P(key)) / (c(l) + KEY_WEIGHT), where c(l) counts the rows that
+  have such a key and P(key) is its share of all languages' rows, so that the terms of a language sum to one and a
+  language without rows takes those of all; a key that only rows without trigrams have says nothing.  The prior is
+  smoothed towards its parents likewise, host <- site <- corpus.
 
-Evidence keys are aggregated before anything is joined; rows meet the host table by a salted join (each host
-repeated SALT times), so one host with a third of all rows is spread over SALT partitions.
+Evidence keys are aggregated before anything is joined.  Keys with over 1 / HOT of all rows (fewer than HOT) are
+known to the driver; rows meet their evidence on (key, salt), where hot keys have SALT salts and others one.
 
 Defined cases: null or empty text: text(l) = 0 for all l; missing declared, suffix or host: no such term (no
 host: the corpus prior); a text without trigrams is not accepted; null and repeated ids keep their rows;
 an empty table gives no rows; without any labelled row there is no model: lang and probability are null, nothing is
-accepted.  Columns to keep must not be named declared, suffix, host, score, n, guess, row, s or best.
+accepted.  Columns to keep may have any names; of those named lang, probability or accepted, the result has
+``<name>_kept``.
 """
 
 from __future__ import annotations
@@ -36,8 +40,8 @@ from .components import checkpointed
 TRAIN_ROWS = 4000
 BINS = 1 << 16
 EFFECTIVE = 40
-SITE_WEIGHT, HOST_WEIGHT = 20.0, 10.0
-SALT = 32
+SITE_WEIGHT, HOST_WEIGHT, KEY_WEIGHT = 20.0, 10.0, 5.0
+SALT, HOT = 32, 1000
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[65:91] = np.arange(97, 123)
 _FOLD[97:123] = np.arange(97, 123)
@@ -62,12 +66,13 @@ def trigrams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class TextModel:
-    def __init__(self, languages: list[str], texts: list[str], labels: list[str]):
-        self.languages = languages
-        self.table = np.empty((BINS, len(languages)), np.float32)
-        for i, lang in enumerate(languages):
-            buf, off = K.string_buffer(pa.array([t for t, x in zip(texts, labels) if x == lang], pa.large_string()))
-            c = np.bincount(trigrams(buf, off)[0], minlength=BINS) + 0.5
+    """counts: a vector of BINS trigram counts for each language."""
+
+    def __init__(self, counts: dict[str, np.ndarray]):
+        self.languages = sorted(counts)
+        self.table = np.empty((BINS, len(counts)), np.float32)
+        for i, lang in enumerate(self.languages):
+            c = counts[lang] + 0.5
             self.table[:, i] = np.log(c / c.sum())
 
     def score(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,9 +102,24 @@ def sample(labelled: DataFrame, text: str = "text", label: str = "lang", train_r
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang", train_rows: int = TRAIN_ROWS) -> TextModel:
     """Fits the text model on a sample of distinct texts of every label."""
-    # Driver-side: the rows of sample(), at most train_rows or one a label.
-    rows = sorted(sample(labelled, text, label, train_rows).collect())
-    return TextModel(sorted({r[1] for r in rows}), [r[0] for r in rows], [r[1] for r in rows])
+
+    def partial(batches):
+        for batch in batches:
+            labels = np.array(batch.column(1).to_pylist(), object)
+            buf, off = K.string_buffer(batch.column(0))
+            bins, n = trigrams(buf, off)
+            doc = np.repeat(np.arange(len(n)), n)
+            for lang in dict.fromkeys(labels.tolist()):
+                c = np.bincount(bins[(labels == lang)[doc]], minlength=BINS)
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([K.squeeze(c.astype(np.int64))], pa.binary())], names=["l", "counts"])
+
+    def added(table: pa.Table) -> pa.Table:
+        c = sum(np.frombuffer(K.unsqueeze(x), np.int64) for x in table["counts"].to_pylist())
+        return pa.table({"l": table["l"].slice(0, 1), "counts": pa.array([K.squeeze(c)], pa.binary())})
+
+    counts = K.small_batches(sample(labelled, text, label, train_rows)).mapInArrow(K.tidy(partial), "l string, counts binary").groupBy("l").applyInArrow(added, "l string, counts binary")
+    # Driver-side: one vector a label.
+    return TextModel({r[0]: np.frombuffer(K.unsqueeze(bytes(r[1])), np.int64) for r in counts.collect()})
 
 
 def host_of(url: Column) -> Column:
@@ -142,10 +162,12 @@ def _smoothed(rows: DataFrame, key: str, parent: DataFrame | Column, weight: flo
 def language_id(rows: DataFrame, model: TextModel, keep: tuple[str, ...] = ("doc_id",), text: str = "text", declared: str | None = None, suffix: str | None = None, host: str | None = None, threshold: float = 0.5) -> DataFrame:
     """The columns to keep, with lang, probability and accepted (a text that has trigrams, at the threshold)."""
     langs, n = model.languages, len(model.languages)
+    back = [(f"__keep{i}", f"{c}_kept" if c.lower() in ("lang", "probability", "accepted") else c) for i, c in enumerate(keep)]
+    kept = [F.col(c).alias(h) for c, (h, _) in zip(keep, back)]
     if not n:
-        return rows.select(*keep, F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("probability"), F.lit(False).alias("accepted"))
+        return rows.select(*[F.col(c).alias(o) for c, (_, o) in zip(keep, back)], F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("probability"), F.lit(False).alias("accepted"))
     col = lambda c: F.col(c).cast("string") if c else F.lit(None).cast("string")
-    slim = rows.select(*keep, col(text).alias("__t"), col(declared).alias("declared"), col(suffix).alias("suffix"), col(host).alias("host"))
+    slim = rows.select(*kept, col(text).alias("__t"), col(declared).alias("declared"), col(suffix).alias("suffix"), col(host).alias("host"))
     at = len(keep)
     data = rows.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields if f.name != "__t")
@@ -167,27 +189,31 @@ def language_id(rows: DataFrame, model: TextModel, keep: tuple[str, ...] = ("doc
             yield pa.RecordBatch.from_arrays([*rest, lists, pa.array(c, pa.int64()), pa.array(s.argmax(axis=1) if len(s) else [], pa.int32())], names=[*names, "score", "n", "guess"])
 
     # The texts are read and scored once; what follows moves scores and keys only.
-
-
     scored = checkpointed(K.small_batches(slim).mapInArrow(K.tidy(run), schema + ", score array<double>, n long, guess int"))
-    # The corpus prior and the tables of declared languages: one small row a language each.
-    totals = {r[0]: r[1] for r in scored.where("n > 0").groupBy("guess").agg(F.count("*")).collect()}
-    every = sum(totals.values())
-    corpus = [(totals.get(i, 0) + 1) / (every + n) for i in range(n)]
-    spark = rows.sparkSession
-    root = F.array(*[F.lit(p) for p in corpus])
     known = scored.where("n > 0")
+    # Driver-side, one small row a language: the corpus prior, and the tables of declared languages and suffixes.
+    totals = {r[0]: r[1:] for r in known.groupBy("guess").agg(F.count("*"), F.count("declared"), F.count("suffix")).collect()}
+    every = sum(t[0] for t in totals.values())
+    root = F.array(*[F.lit((totals.get(i, (0,))[0] + 1) / (every + n)) for i in range(n)])
 
     def likelihood(key: str) -> DataFrame:
-        """(key, add): log P(key | l) with add-one over keys, relative to the most likely language."""
+        """(key, add): log P(key | l)."""
         counts = known.where(f"{key} IS NOT NULL").groupBy(key, "guess").agg(F.count("*").alias("c"))
-        counts = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("guess", "c"))).alias("m"))
-        logs = [F.log((F.coalesce(F.col("m")[i], F.lit(0)) + 1) / F.lit(float(totals.get(i, 0) + n))) for i in range(n)]
+        counts = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("guess", "c"))).alias("m"), F.sum("c").alias("all"))  # at most n entries
+        rows_ = [totals.get(i, (0, 0, 0))[1 if key == "declared" else 2] for i in range(n)]
+        share = KEY_WEIGHT * F.col("all") / F.lit(float(max(sum(rows_), 1)))
+        logs = [F.log((F.coalesce(F.col("m")[i], F.lit(0)) + share) / F.lit(rows_[i] + KEY_WEIGHT)) for i in range(n)]
         return counts.select(key, F.array(*logs).alias(f"add_{key}"))
 
+    size = scored.count()
+
     def salted(left: DataFrame, table: DataFrame, key: str) -> DataFrame:
-        table = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        return left.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALT)).cast("int")).join(table, [key, "salt"], "left").drop("salt")
+        # Driver-side: fewer than HOT keys.
+        hot = [r[0] for r in scored.where(f"{key} IS NOT NULL").groupBy(key).count().where(F.col("count") > size / HOT).select(key).collect()]
+        spread = F.col(key).isin(hot) if hot else F.lit(False)
+        table = table.withColumn("salt", F.explode(F.when(spread, F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(F.lit(0)))))
+        salt = F.when(spread, F.pmod(F.xxhash64("row"), F.lit(SALT)).cast("int")).otherwise(F.lit(0))
+        return left.withColumn("salt", salt).join(table, [key, "salt"], "left").drop("salt")
 
     out = scored.withColumn("row", F.monotonically_increasing_id())
     zero = F.array(*[F.lit(0.0)] * n)
@@ -208,7 +234,7 @@ def language_id(rows: DataFrame, model: TextModel, keep: tuple[str, ...] = ("doc
     total = F.aggregate("s", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("best")))
     names = F.array(*[F.lit(x) for x in langs])
     return out.select(
-        *keep, names[F.array_position("s", F.col("best")).cast("int") - 1].alias("lang"), (1 / total).alias("probability"),
+        *[F.col(h).alias(o) for h, o in back], names[F.array_position("s", F.col("best")).cast("int") - 1].alias("lang"), (1 / total).alias("probability"),
         ((F.col("n") > 0) & (1 / total >= threshold)).alias("accepted"),
     )
 

@@ -240,6 +240,64 @@ def test_language_id(spark, docs, none):
     assert [r.accepted for r in language_id.language_id(rows.limit(1), language_id.fit(none)).collect()] == [False]
 
 
+def test_one_odd_row_does_not_speak_for_a_language(spark):
+    """A key seen once, with an English row, says nothing for German."""
+    model = language_id.fit(spark.createDataFrame([("der die das und nicht " * 9, "de"), ("the and of to in " * 9, "en")], "text string, lang string"))
+    rows = spark.range(3000).selectExpr("id AS lang", "concat('the end of the ', id) AS text", "IF(id = 0, 'qq', 'en') AS d", "IF(id = 0, 'zz', 'com') AS s").unionByName(
+        spark.sql("SELECT -1L AS lang, '' AS text, 'qq' AS d, 'zz' AS s"))
+    got = language_id.language_id(rows, model, ("lang",), "text", "d", "s")
+    assert got.columns == ["lang_kept", "lang", "probability", "accepted"]
+    odd = got.where("lang_kept = -1").first()
+    assert odd["lang"] == "en" and odd["probability"] > 0.9
+
+
+def test_fusion_equals_plain_bayes(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from graphloom.llm import blocks as K
+
+    words = {"en": "the of and to in is that".split(), "de": "der die und das ist nicht ein".split(), "fr": "le la les des est une pas".split()}
+    rng = np.random.default_rng(3)
+    model = language_id.fit(spark.createDataFrame([(" ".join(rng.choice(w, 60)), k) for k, w in words.items()], "text string, lang string"))
+    rows = []
+    for i in range(240):
+        lang = str(rng.choice(["en", "en", "de", "fr"]))
+        text = " ".join(rng.choice(words[str(rng.choice([lang] * 9 + ["en"]))], rng.integers(1, 4))) if rng.random() < 0.9 else [None, "", "123"][i % 3]
+        host = [None, f"{lang}.a.com", "www.mixed.org", f"x{i % 5}.mixed.org"][int(rng.integers(4))]
+        rows.append((i if i % 50 else None, text, str(rng.choice([lang, "xx", "en"])) if rng.random() < 0.5 else None, [None, "com", "de", "rare" if i == 7 else "fr"][int(rng.integers(4))], host))
+    langs = model.languages
+    buf, off = K.string_buffer(pa.array([r[1] for r in rows], pa.string()))
+    score, n = model.score(buf, off)
+    guess = score.argmax(axis=1)
+    known = [i for i in range(len(rows)) if n[i]]
+    corpus = [(sum(guess[i] == k for i in known) + 1) / (len(known) + len(langs)) for k in range(len(langs))]
+    site = lambda h: ".".join(h.split(".")[-2:])
+
+    def smoothed(have, parent, weight):
+        return [(sum(guess[i] == k for i in have) + weight * parent[k]) / (len(have) + weight) for k in range(len(langs))]
+
+    want = []
+    for i, (d, _, *keys, host) in enumerate(rows):
+        s = list(score[i])
+        for c, key in zip((2, 3), keys):
+            if key is not None:
+                held = [j for j in known if rows[j][c] is not None]
+                share = language_id.KEY_WEIGHT * sum(rows[j][c] == key for j in held) / len(held)
+                for k in range(len(langs) * (share > 0)):
+                    s[k] += math.log((sum(rows[j][c] == key and guess[j] == k for j in held) + share) / (sum(guess[j] == k for j in held) + language_id.KEY_WEIGHT))
+        prior = corpus
+        if host is not None and any(rows[j][4] == host for j in known):
+            prior = smoothed([j for j in known if rows[j][4] and site(rows[j][4]) == site(host)], corpus, language_id.SITE_WEIGHT)
+            prior = smoothed([j for j in known if rows[j][4] == host], prior, language_id.HOST_WEIGHT)
+        s = np.array(s) + np.log(prior)
+        p = np.exp(s - s.max())
+        want.append((str(d), langs[int(s.argmax())], round(float(1 / p.sum()), 6), bool(n[i] > 0 and 1 / p.sum() >= 0.5)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, d string, s string, h string").repartition(3)
+    got = language_id.language_id(df, model, ("doc_id",), "text", "d", "s", "h").collect()
+    assert sorted((str(r.doc_id), r.lang, round(r.probability, 6), r.accepted) for r in got) == sorted(want)
+
+
 def test_address_parts(spark):
     row = spark.createDataFrame([("https://user@WWW.Foo.example.org:80/en/1?x", '<!DOCTYPE html><html class="a" lang="De-AT"><script>var t="</p>"</script><p>Hi &amp; you</p>')], "url string, html string")
     r = row.select(language_id.host_of(F.col("url")), language_id.site_of(language_id.host_of(F.col("url"))), language_id.suffix_of(F.col("url")), language_id.declared_of(F.col("html")), language_id.visible_text(F.col("html"))).first()
