@@ -5,7 +5,8 @@ from __future__ import annotations
 import threading
 import time
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
+from statistics import fmean, pstdev
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from .graph import Graph
 from .operators import match
 from .patterns import Pattern
-from .plans.inclusion_exclusion import SuffixCount, suffix_count
+from .plans.inclusion_exclusion import SuffixCount, last_count, suffix_count
 from .plans.pruning import PRUNING, Auxiliary, place
 from .plans.schedule import SCHEDULERS, Schedule, Stats, schedule
 
@@ -39,7 +40,9 @@ class RunResult:
     finished: bool = True
     threads: int = 0
     query_type: str = ""
-    levels: dict[str, int] = field(default_factory=dict)
+    #: Of the tasks, if asked for: seconds (least, mean, most, standard deviation), and bytes of execution memory.
+    task_seconds: tuple[float, float, float, float] | None = None
+    allocated: int | None = None
 
     @property
     def result(self) -> int:
@@ -102,8 +105,9 @@ class CompiledPlan:
     def explain(self, mode: str = "formatted") -> None:
         self.counts().explain(mode)
 
-    def run(self, graph: Graph | None = None, num_threads: int = 0, timeout: float | None = None) -> RunResult:
-        """Counts. num_threads is recorded only: parallelism is the cluster's. After timeout seconds the job is cancelled."""
+    def run(self, graph: Graph | None = None, num_threads: int = 0, timeout: float | None = None, metrics: bool = False) -> RunResult:
+        """Counts. num_threads is recorded only: parallelism is the cluster's. After timeout seconds the job is cancelled.
+        metrics: with the times of up to TASKS tasks and the execution memory of the stages, as Spark's status store has them."""
         spark = (graph or self.graph).edges.sparkSession
         out: dict = {}
         tag = f"graphloom-{uuid.uuid4().hex}"
@@ -130,7 +134,8 @@ class CompiledPlan:
                 return RunResult(0, time.perf_counter() - began, False, num_threads, self.query_type)
         if "error" in out:
             raise out["error"]
-        return RunResult(out["n"], time.perf_counter() - began, True, num_threads, self.query_type)
+        result = RunResult(out["n"], time.perf_counter() - began, True, num_threads, self.query_type)
+        return replace(result, **_task_metrics(spark, tag)) if metrics else result
 
     def profile(self, graph: Graph | None = None) -> DataFrame:
         """(level, vid, reads): how often each vertex's list is read at each level, for degree, offset or
@@ -144,6 +149,42 @@ class CompiledPlan:
             out = part if out is None else out.unionByName(part)
         return out
 
+    def work(self, graph: Graph | None = None) -> DataFrame:
+        """(level, vid, reads, neighbours, auxiliary, tests): work by the vertex whose list a level reads (match.work)."""
+        return match.work(self.schedule, self.relations(graph), self.query_type == "vertex", self.auxiliary)
+
+
+TASKS = 2000
+
+
+def _task_metrics(spark, tag: str) -> dict:
+    """Figures of the jobs with a tag."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(10_000)
+    store, times, allocated = sc.statusStore(), [], 0
+    jobs = store.jobsList(None).iterator()
+    while jobs.hasNext():
+        job = jobs.next()
+        if not any(tag in str(t) for t in _each(job.jobTags())):
+            continue
+        for stage in _each(job.stageIds()):
+            for data in _each(store.stageData(int(str(stage)), False, spark.sparkContext._jvm.java.util.ArrayList(), False, _doubles(spark))):
+                allocated += data.peakExecutionMemory()
+                for task in _each(store.taskList(data.stageId(), data.attemptId(), max(0, TASKS - len(times)))):
+                    if task.duration().isDefined():
+                        times.append(task.duration().get() / 1000)
+    return {"task_seconds": (min(times), fmean(times), max(times), pstdev(times)) if times else None, "allocated": allocated}
+
+
+def _doubles(spark):
+    return spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+
+def _each(seq):
+    it = seq.iterator()
+    while it.hasNext():
+        yield it.next()
+
 
 def compile_plan(graph: Graph, query_adjmat: str, query_type: str, pruning_type: str = "eager", parallel_type: str = "nested_rt", scheduler: str = "cost", lowering: str = "join") -> CompiledPlan:
     """Plans a pattern on a graph. scheduler: structural ignores the graph, cost and density use its statistics."""
@@ -151,9 +192,10 @@ def compile_plan(graph: Graph, query_adjmat: str, query_type: str, pruning_type:
     kind, pruning = token(query_type, QUERY_TYPES, "query type"), token(pruning_type, PRUNING, "pruning type")
     parallel, how = token(parallel_type, PARALLEL, "parallel type"), token(scheduler, SCHEDULERS, "scheduler")
     pattern = Pattern(query_adjmat)
-    stats = graph.metadata.stats if how != "structural" or pruning == "costmodel" else Stats()
+    stats = graph.stats if pruning == "costmodel" else graph.metadata.stats if how != "structural" else Stats()
     s = schedule(pattern, how, stats)
-    suffix = suffix_count(s) if kind == "edge_iep" else None
-    aux = place(s, pruning, stats, suffix.prefix if suffix else None)
-    return CompiledPlan(graph, s, kind, pruning, parallel, aux, suffix, token(lowering, LOWERINGS, "lowering"), time.perf_counter() - began)
+    lower = token(lowering, LOWERINGS, "lowering")
+    suffix = suffix_count(s) if kind == "edge_iep" else last_count(s) if kind == "edge" and lower == "join" else None
+    aux = place(s, pruning, stats, suffix.prefix if suffix and kind == "edge_iep" else None)
+    return CompiledPlan(graph, s, kind, pruning, parallel, aux, suffix, lower, time.perf_counter() - began)
 

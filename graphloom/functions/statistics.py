@@ -29,7 +29,7 @@ def directed(edges: DataFrame) -> DataFrame:
 
 def triangle_list(edges: DataFrame) -> DataFrame:
     """(a, b, c) of every triangle once, over edges directed by degree."""
-    e = directed(edges)
+    e = directed(edges)  # twice a list, once a test: one exchange each where it is reused
     ab = e.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     ac = e.select(F.col("src").alias("a"), F.col("dst").alias("c"))
     return ab.join(ac, "a").where("b <> c").join(e, (F.col("b") == F.col("src")) & (F.col("c") == F.col("dst")), "left_semi")

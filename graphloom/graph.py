@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 from functools import cached_property
 
 import numpy as np
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import statistics as S
 from .plans.schedule import Stats
-from .sources import binary, edges as E
+from .sources import binary, edges as E, files
 
 
 @dataclass(frozen=True)
@@ -61,8 +60,9 @@ class Graph:
     @classmethod
     def from_snap(cls, spark: SparkSession, path: str, reorder_by_degree: bool = False, dense: bool = True) -> Graph:
         """From an edge-list text file, or a folder that holds snap.txt."""
-        file = os.path.join(path, "snap.txt") if os.path.isdir(path) else path
-        return cls.from_edges(E.read_text(spark, file), reorder_by_degree=reorder_by_degree, dense=dense, name=os.path.basename(os.path.dirname(file)) or "graph")
+        folder = files.is_folder(spark, path)
+        name = files.base(path if folder else path.rpartition("/")[0]) or "graph"
+        return cls.from_edges(E.read_text(spark, files.join(path, "snap.txt") if folder else path), reorder_by_degree=reorder_by_degree, dense=dense, name=name)
 
     @classmethod
     def from_csr(cls, spark: SparkSession, indptr: Sequence[int], indices: Sequence[int], offsets: Sequence[int] | None = None, triangles: Sequence[int] | None = None, reorder_by_degree: bool = False) -> Graph:
@@ -73,13 +73,12 @@ class Graph:
     @classmethod
     def from_preprocessed(cls, spark: SparkSession, folder: str, reorder_by_degree: bool = False) -> Graph:
         """From a folder written by save (Parquet) or save_binary (raw arrays and meta.txt)."""
-        name = os.path.basename(os.path.normpath(folder))
-        if os.path.exists(os.path.join(folder, "meta.json")):
-            with open(os.path.join(folder, "meta.json")) as f:
-                meta = MetaData(**json.load(f))
+        name = files.base(folder)
+        if files.exists(spark, files.join(folder, "meta.json")):
+            meta = MetaData(**json.loads(files.read(spark, files.join(folder, "meta.json"))))
             g = cls(binary.read_parquet(spark, folder), meta=meta, name=name)
         else:
-            kv, arrays = binary.read_meta(folder), binary.read_arrays(folder)
+            kv, arrays = binary.read_meta(spark, folder), binary.read_arrays(spark, folder)
             meta = MetaData(int(kv["NUM_VERTEX"]), int(kv["NUM_EDGE"]), int(kv["NUM_TRIANGLE"]) // 6, int(kv.get("MAX_DEGREE", 0)), int(kv.get("MAX_OFFSET", 0)), int(kv.get("MAX_TRIANGLE", 0)), float(kv.get("SCHEDULER_AVG_DEGREE", 0)))
             g = cls(E.from_csr(spark, arrays["indptr"], arrays["indices"]), meta=meta, name=name)
         return g.reordered() if reorder_by_degree else g
@@ -124,6 +123,12 @@ class Graph:
         average = e / v if v and self._triangles is not None else (self._estimate[1] if v else 0.0)
         return MetaData(v, e, self.num_triangles, degree, offset, degree, average)
 
+    @cached_property
+    def stats(self) -> Stats:
+        """What cost models know: the metadata, and the mean degree of edges' ends."""
+        d = S.degrees(self.persisted()).agg(F.sum(F.col("degree") * F.col("degree")).cast("double")).first()[0]
+        return replace(self.metadata.stats, end_degree=(d or 0.0) / max(self.num_edges, 1))
+
     def exact_metadata(self) -> MetaData:
         """Statistics with exact triangle counts, as preprocessing stores them."""
         v, e, degree, offset = self._summary
@@ -166,16 +171,13 @@ class Graph:
 
     def save(self, folder: str) -> MetaData:
         """Adjacency with triangle counts as Parquet, and exact metadata."""
-        os.makedirs(folder, exist_ok=True)
         e, meta = self.persisted(), self.exact_metadata()
         binary.write_parquet(S.adjacency(e).join(S.raw_triangles(e), "vid"), folder)
-        with open(os.path.join(folder, "meta.json"), "w") as f:
-            json.dump(asdict(meta), f)
+        files.write(e.sparkSession, files.join(folder, "meta.json"), json.dumps(asdict(meta)).encode())
         return meta
 
     def save_binary(self, folder: str) -> MetaData:
         """Raw CSR arrays and meta.txt, for graphs that fit one machine; ids must be dense."""
-        os.makedirs(folder, exist_ok=True)
         e, meta = self.persisted(), self.exact_metadata()
         rows = e.toPandas().sort_values(["src", "dst"])
         src, dst = rows["src"].to_numpy(), rows["dst"].to_numpy()
@@ -186,6 +188,6 @@ class Graph:
         tri = np.zeros(n, np.int64)
         for vid, t in S.raw_triangles(e).collect():
             tri[vid] = t
-        binary.write_arrays(folder, {"indptr": np.concatenate([[0], np.cumsum(degree)]), "indices": dst, "triangle": tri, "offset": np.bincount(src[dst < src], minlength=n), "degree": degree})
-        binary.write_meta(folder, dict(zip(binary.FIELDS, (n, meta.num_edge, int(tri.sum()), meta.max_degree, meta.max_offset, meta.max_triangle, meta.scheduler_avg_degree))))
+        binary.write_arrays(e.sparkSession, folder, {"indptr": np.concatenate([[0], np.cumsum(degree)]), "indices": dst, "triangle": tri, "offset": np.bincount(src[dst < src], minlength=n), "degree": degree})
+        binary.write_meta(e.sparkSession, folder, dict(zip(binary.FIELDS, (n, meta.num_edge, int(tri.sum()), meta.max_degree, meta.max_offset, meta.max_triangle, meta.scheduler_avg_degree))))
         return meta

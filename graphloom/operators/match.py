@@ -12,11 +12,12 @@ larger ones are left to shuffled joins and adaptive execution.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import permutations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.statistics import adjacency, degrees
+from ..functions.statistics import adjacency, degrees, triangle_list
 from ..plans.inclusion_exclusion import SuffixCount
 from ..plans.pruning import Auxiliary
 from ..plans.schedule import Schedule
@@ -59,8 +60,54 @@ class Relations:
 
         return self.kept(("reduced", least), make, persist)
 
-    def wedges(self, edges: DataFrame, persist: bool) -> DataFrame:
-        return self.kept(("wedges", edges.semanticHash()), lambda: closed_wedges(self, edges), persist)
+    def triangles(self) -> DataFrame:
+        """(a, b, c): every triangle once, a > b > c; of the whole graph, kept for all plans."""
+
+        def make() -> DataFrame:
+            t = F.sort_array(F.array("a", "b", "c"), asc=False)
+            return triangle_list(self.edges).select(t.alias("t")).select(*[F.col("t")[i].alias(n) for i, n in enumerate("abc")])
+
+        return self.kept("triangles", make, True)
+
+    def cliques(self) -> DataFrame:
+        """(a, b, c, d): every 4-clique once, a > b > c > d, from three triangles each."""
+
+        def make() -> DataFrame:
+            t = self.triangles()
+            one = t.select("a", "b", "c", self.key("a", "b").alias("e"))
+            two = t.select(self.key("a", "b").alias("e2"), F.col("c").alias("d"))
+            three = t.select(self.key("a", "b").alias("f"), F.col("c").alias("d3"))
+            both = one.join(two, (F.col("e") == F.col("e2")) & (F.col("d") < F.col("c")))
+            return both.join(three, (self.key("b", "c") == F.col("f")) & (F.col("d") == F.col("d3")), "left_semi").select("a", "b", "c", "d")
+
+        return self.kept("cliques", make, True)
+
+    def closed(self, size: int, bounded: bool, persist: bool) -> DataFrame:
+        """(e[, f], x): the common neighbours x of two adjacent vertices (by their edge's key) or of a triangle (its third
+        vertex is f); bounded: with vertices and x descending only."""
+        names = "abcd"[: size + 1]
+
+        def make() -> DataFrame:
+            rows = self.triangles() if size == 2 else self.cliques()
+            if not bounded:
+                orders = [F.struct(*[F.col(c).alias(n) for n, c in zip(names, o)]) for o in permutations(names)]
+                rows = rows.select(F.explode(F.array(*orders)).alias("o")).select("o.*")
+            third = [F.col("c").alias("f")] if size == 3 else []
+            return rows.select(self.key("a", "b").alias("e"), *third, F.col(names[-1]).alias("x"))
+
+        return self.kept(("closed", size, bounded), make, persist)
+
+    def degrees(self) -> DataFrame:
+        return self.kept("degrees", lambda: degrees(self.edges), True)
+
+    def support(self) -> DataFrame:
+        """(e, n): how many common neighbours the ends of each directed edge have that has any."""
+
+        def make() -> DataFrame:
+            ends = F.array(*[self.key(a, b) for a, b in permutations("abc", 2)])
+            return self.triangles().select(F.explode(ends).alias("e")).groupBy("e").agg(F.count("*").alias("n"))
+
+        return self.kept("support", make, True)
 
     def lists(self) -> DataFrame:
         if self._adjacency is None:
@@ -68,14 +115,6 @@ class Relations:
         return self._adjacency
 
 
-def closed_wedges(r: Relations, edges: DataFrame) -> DataFrame:
-    """(e, c): for every directed edge, by its key, the common neighbours of its ends."""
-    ab = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    ac = r.sized(edges.select(F.col("src").alias("a"), F.col("dst").alias("c")))
-    test = r.sized(edges.select((F.col("src") * r.shift + F.col("dst")).alias("k")))
-    return ab.join(ac, "a").where("b <> c").join(test, r.key("b", "c") == F.col("k"), "left_semi").select(r.key("a", "b").alias("e"), "c")
-
-
 def _level_predicates(s: Schedule, u: int, induced: bool, restrictions) -> list[Column]:
     p, out, apart = s.pattern, [], set()
     for a, b in restrictions:
@@ -99,41 +138,81 @@ def matches(s: Schedule, r: Relations, induced: bool, aux: Auxiliary | None = No
         least = min(p.degree(i) for i in range(p.size))
         if least > 1:
             edges = r.reduced(least, aux.persist)
-    wedges = None
-    if aux and any(u < k for u in aux.closed):
-        wedges = r.wedges(edges, aux.persist)
     if k == 1:
         return edges.select(F.col("src").alias("v0")).distinct()
     out = edges.select(F.col("src").alias("v0"), F.col("dst").alias("v1"))
     for c in _level_predicates(s, 1, induced, pairs):
         out = out.where(c)
     for u in range(2, k):
-        near = [i for i in range(u) if p.edge(u, i)]
-        cols = [f"v{i}" for i in range(u)]
-        conds = _level_predicates(s, u, induced, pairs)
-        if wedges is not None and u in aux.closed:
-            i, j = aux.closed[u]
-            read = wedges.select(F.col("e").alias("__e"), F.col("c").alias(f"v{u}"))
-            out = out.join(read, reduce(Column.__and__, conds, r.key(f"v{i}", f"v{j}") == F.col("__e"))).select(*cols, f"v{u}")
-            rest = [x for x in near if x not in (i, j)]
-        else:
-            # The list to extend: an upper-bounded neighbour first (its list is cut by the bound), else the latest.
-            bound = [i for i in near if (i, u) in pairs]
-            i = (bound or near)[-1]
-            read = r.sized(edges.select(F.col("src").alias("__s"), F.col("dst").alias(f"v{u}")))
-            out = out.join(read, reduce(Column.__and__, conds, F.col(f"v{i}") == F.col("__s"))).select(*cols, f"v{u}")
-            rest = [x for x in near if x != i]
-        for x in rest:
-            test = r.sized(edges.select((F.col("src") * r.shift + F.col("dst")).alias("__k")))
-            out = out.join(test, r.key(f"v{x}", f"v{u}") == F.col("__k"), "left_semi")
-        if induced:
-            for x in range(u):
-                if not p.edge(u, x):
-                    test = r.sized(r.edges.select((F.col("src") * r.shift + F.col("dst")).alias("__k")))
-                    out = out.join(test, r.key(f"v{x}", f"v{u}") == F.col("__k"), "left_anti")
+        out = _tested(s, r, _extended(s, r, edges, out, u, induced, pairs, aux), edges, u, induced, aux)
+    return out
+
+
+def source(s: Schedule, u: int, pairs, aux: Auxiliary | None) -> tuple[int, ...]:
+    """The earlier vertices whose list a level reads: one neighbour, or some whose common neighbours are known."""
+    if aux and u in aux.closed:
+        return aux.closed[u]
+    near = [i for i in range(u) if s.pattern.edge(u, i)]
+    # An upper-bounded neighbour first (its list is cut by the bound), else the latest.
+    return (([i for i in near if (i, u) in pairs] or near)[-1],)
+
+
+def _extended(s: Schedule, r: Relations, edges: DataFrame, out: DataFrame, u: int, induced: bool, pairs, aux: Auxiliary | None) -> DataFrame:
+    """Rows of earlier levels with the candidates that the level reads."""
+    at = source(s, u, pairs, aux)
+    cols, ids, conds = [f"v{i}" for i in range(u)], [f"v{i}" for i in at], _level_predicates(s, u, induced, pairs)
+    if len(at) == 1:
+        read = r.sized(edges.select(F.col("src").alias("__s"), F.col("dst").alias(f"v{u}")))
+        return out.join(read, reduce(Column.__and__, conds, F.col(ids[0]) == F.col("__s"))).select(*cols, f"v{u}")
+    read = r.closed(len(at), u in aux.bounded, aux.persist)
+    read = read.select(F.col("e").alias("__e"), *[F.col("f").alias("__f")] * (len(at) == 3), F.col("x").alias(f"v{u}"))
+    on = [r.key(*ids[:2]) == F.col("__e"), *([F.col(ids[2]) == F.col("__f")] if len(at) == 3 else [])]
+    return out.join(read, reduce(Column.__and__, [*on, *conds])).select(*cols, f"v{u}")
+
+
+def tests(s: Schedule, u: int, induced: bool, pairs, aux: Auxiliary | None) -> tuple[list[int], list[int]]:
+    """The earlier vertices that a candidate is tested against: those it must be adjacent to, and must not."""
+    at = source(s, u, pairs, aux)
+    return [x for x in range(u) if s.pattern.edge(u, x) and x not in at], [x for x in range(u) if induced and not s.pattern.edge(u, x)]
+
+
+def _tested(s: Schedule, r: Relations, out: DataFrame, edges: DataFrame, u: int, induced: bool, aux: Auxiliary | None) -> DataFrame:
+    present, absent = tests(s, u, induced, s.implied, aux)
+    for how, ends, of in (("left_semi", present, edges), ("left_anti", absent, r.edges)):
+        for x in ends:
+            test = r.sized(of.select(r.key("src", "dst").alias("__k")))
+            out = out.join(test, r.key(f"v{x}", f"v{u}") == F.col("__k"), how)
     return out
 
 
+def work(s: Schedule, r: Relations, induced: bool, aux: Auxiliary | None = None) -> DataFrame:
+    """(level, vid, reads, neighbours, auxiliary, tests) by the vertex whose list is read when a level is bound: how often,
+    elements of neighbour lists and of auxiliary relations that this reads, and edge tests of the candidates."""
+    parts = []
+    for u in range(1, s.pattern.size):
+        at = source(s, u, s.implied, aux)
+        rows = matches(s, r, induced, aux, u)
+        owner = F.col(f"v{at[-1]}").alias("vid")
+        n_tests = sum(map(len, tests(s, u, induced, s.implied, aux))) if u > 1 else 0
+        reads = rows.groupBy(owner).agg(F.count("*").alias("reads"))
+        if len(at) == 1:
+            reads = reads.join(r.degrees().select("vid", "degree"), "vid").select("vid", "reads", (F.col("reads") * F.col("degree")).alias("neighbours"), F.lit(0).cast("long").alias("auxiliary"))
+        else:
+            size = r.closed(len(at), u in aux.bounded, aux.persist)
+            on = [c for c in size.columns if c != "x"]
+            size = size.groupBy(*[F.col(c).alias(f"__{c}") for c in on]).agg(F.count("*").alias("size"))
+            keys = [r.key(f"v{at[0]}", f"v{at[1]}") == F.col("__e"), *([F.col(f"v{at[2]}") == F.col("__f")] if len(at) == 3 else [])]
+            read = rows.join(size, reduce(Column.__and__, keys)).groupBy(owner).agg(F.sum("size").alias("auxiliary"))
+            reads = reads.join(read, "vid", "left").select("vid", "reads", F.lit(0).cast("long").alias("neighbours"), F.coalesce("auxiliary", F.lit(0)).alias("auxiliary"))
+        if n_tests:
+            found = _extended(s, r, r.edges, rows, u, induced, s.implied, aux).groupBy(owner).agg((n_tests * F.count("*")).alias("tests"))
+            reads = reads.join(found, "vid", "left")
+        else:
+            reads = reads.withColumn("tests", F.lit(0))
+        parts.append(reads.select(F.lit(u).alias("level"), "vid", "reads", "neighbours", "auxiliary", F.coalesce("tests", F.lit(0)).cast("long").alias("tests")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def array_matches(s: Schedule, r: Relations, induced: bool, levels: int | None = None) -> DataFrame:
     """The same rows by set algebra on neighbour lists: candidates are array intersections and differences."""
     p, k = s.pattern, levels or s.pattern.size
@@ -160,17 +239,44 @@ def array_matches(s: Schedule, r: Relations, induced: bool, levels: int | None =
 
 
 def suffix_counts(s: Schedule, iep: SuffixCount, r: Relations, aux: Auxiliary | None = None) -> DataFrame:
-    """One row: matches, by matching the prefix and adding up products of set sizes."""
-    out = matches(s, r, False, aux, iep.prefix, iep.restrictions)
-    used = sorted({i for _, blocks in iep.terms for b in blocks for i in b})
-    for i in used:
+    """One row: matches, by matching the prefix and adding up products of set sizes.
+
+    The candidates of one neighbour number its degree, those of two adjacent ones their edge's support, both less the
+    matched vertices among them; neighbour lists are read for other sets only."""
+    p, k = s.pattern, iep.prefix
+    blocks = sorted({b for _, bs in iep.terms for b in bs})
+    sized_ = {b for b in blocks if len(b) == 1 or len(b) == 2 and p.edge(*b)}
+    if k == 1:
+        out = r.degrees().select(F.col("vid").alias("v0"), F.col("degree").alias("d0"))
+    else:
+        out = matches(s, r, False, aux, k, iep.restrictions)
+        for i in sorted({b[0] for b in sized_ if len(b) == 1}):
+            read = r.sized(r.degrees().select(F.col("vid").alias("__v"), F.col("degree").alias(f"d{i}")))
+            out = out.join(read, F.col(f"v{i}") == F.col("__v")).drop("__v")
+    for i, j in sorted(b for b in sized_ if len(b) == 2):
+        read = r.support().select(F.col("e").alias("__e"), F.col("n").alias(f"d{i}_{j}"))
+        out = out.join(read, r.key(f"v{i}", f"v{j}") == F.col("__e"), "left").drop("__e")
+    # Matched vertices that are not adjacent in the pattern may be in the graph.
+    unsure = sorted({tuple(sorted((t, i))) for b in sized_ for t in range(k) if t not in b for i in b if not p.edge(t, i)})
+    for i, j in unsure:
+        test = r.sized(r.edges.select(r.key("src", "dst").alias("__k"), F.lit(1).alias(f"x{i}_{j}")))
+        out = out.join(test, r.key(f"v{i}", f"v{j}") == F.col("__k"), "left").drop("__k")
+    for i in sorted({i for b in blocks if b not in sized_ for i in b}):
         read = r.sized(r.lists().select(F.col("vid").alias(f"__v{i}"), F.col("nbrs").alias(f"n{i}")))
         out = out.join(read, F.col(f"v{i}") == F.col(f"__v{i}")).drop(f"__v{i}")
-    taken = F.array(*[f"v{i}" for i in range(iep.prefix)])
-    blocks = sorted({b for _, bs in iep.terms for b in bs})
-    for n, b in enumerate(blocks):
-        out = out.withColumn(f"s{n}", F.size(F.array_except(reduce(intersect, (F.col(f"n{i}") for i in b)), taken)).cast("long"))
-    out = out.select(*[f"s{n}" for n in range(len(blocks))])
+    taken = F.array(*[f"v{i}" for i in range(k)])
+
+    def size(b: tuple[int, ...]) -> Column:
+        if b not in sized_:
+            return F.size(F.array_except(reduce(intersect, (F.col(f"n{i}") for i in b)), taken)).cast("long")
+        found = F.coalesce(F.col("d" + "_".join(map(str, b))), F.lit(0).cast("long"))
+        for t in range(k):
+            if t not in b:
+                tests = [F.coalesce(F.col("x{}_{}".format(*sorted((t, i)))), F.lit(0)) for i in b if not p.edge(t, i)]
+                found = found - (reduce(Column.__mul__, tests) if tests else F.lit(1))
+        return found
+
+    out = out.select(*[size(b).alias(f"s{n}") for n, b in enumerate(blocks)])
     name = {b: f"s{n}" for n, b in enumerate(blocks)}
     total = reduce(Column.__add__, (F.lit(c).cast("long") * reduce(Column.__mul__, (F.col(name[b]) for b in bs)) for c, bs in iep.terms))
     # A sum of products can exceed 64 bits before the division.

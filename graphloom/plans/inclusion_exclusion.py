@@ -34,14 +34,24 @@ class SuffixCount:
         return f"prefix of {self.prefix}: ({' '.join(f'{c:+d} * {sizes(b)}' for c, b in self.terms)}) / {self.divisor}"
 
 
-def suffix_count(s: Schedule) -> SuffixCount | None:
-    """None if the suffix is a single vertex.
+def last_count(s: Schedule) -> SuffixCount | None:
+    """The last vertex alone, counted by its one neighbour's degree; None if it has several, or if restrictions on it
+    would be lost."""
+    k = s.pattern.size
+    single = sum(s.pattern.edge(k - 1, i) for i in range(k - 1)) == 1
+    return suffix_count(s, 1) if single and not any(k - 1 in pair for pair in s.restrictions) else None
+
+
+def suffix_count(s: Schedule, t: int | None = None) -> SuffixCount | None:
+    """The last t vertices, the whole suffix unless given; then None if that is a single vertex.
 
     Restrictions on suffix vertices cannot be kept.  An occurrence is then found as often as automorphic
     images of it satisfy the surviving ones; if that number depends on the ids, none is kept."""
-    k, t = s.pattern.size, s.suffix
-    if t < 2:
-        return None
+    k = s.pattern.size
+    if t is None:
+        t = s.suffix
+        if t < 2:
+            return None
     prefix = k - t
     kept = tuple(p for p in s.implied if max(p) < prefix)
     divisor = surviving_images(s.pattern, kept)

@@ -4,6 +4,7 @@ The data graph links the parts on consecutive lines of an order, over all of ``l
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,10 @@ from .graph import Graph
 from .operators import vertex_sets as V
 from .patterns import CATALOGUE, Pattern
 from .plans.schedule import schedule
+from .sources import edges as E
+from .sources import files
 from .sources.edges import normalised
+from .sources.tables import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,8 +82,12 @@ for _name, _adjacency in CATALOGUE.items():
     SQL[f"match_edge_{_name}"] = SQL[f"match_edge_iep_{_name}"] = matching_sql(_adjacency, False)
     SQL[f"match_vertex_{_name}"] = matching_sql(_adjacency, True)
 for _kind in ("static", "eager", "online", "costmodel"):
-    QUERIES[f"pruning_{_kind}_p3"] = _matching(CATALOGUE["p3"], "edge", pruning_type=_kind)
-    SQL[f"pruning_{_kind}_p3"] = SQL["match_edge_p3"]
+    for _name in ("p2", "p3", "p4", "p5", "p7"):
+        QUERIES[f"pruning_{_kind}_{_name}"] = _matching(CATALOGUE[_name], "edge", pruning_type=_kind)
+        SQL[f"pruning_{_kind}_{_name}"] = SQL[f"match_edge_{_name}"]
+for _name in ("p2", "p5"):
+    QUERIES[f"pruning_eager_iep_{_name}"] = _matching(CATALOGUE[_name], "edge_iep", pruning_type="eager", scheduler="cost")
+    SQL[f"pruning_eager_iep_{_name}"] = SQL[f"match_edge_{_name}"]
 for _kind in ("cost", "density"):
     QUERIES[f"scheduler_{_kind}_p1"] = _matching(CATALOGUE["p1"], "vertex", scheduler=_kind)
     SQL[f"scheduler_{_kind}_p1"] = SQL["match_vertex_p1"]
@@ -180,3 +188,74 @@ def enumerate_triangles(spark, sf_dir):
 def profile_reads(spark, sf_dir):
     """How often each vertex's list is read at each level of the triangle plan."""
     return compile_plan(graph(spark, sf_dir), CATALOGUE["triangle"], "edge", "none", scheduler="structural").profile()
+
+
+_DENSE = ", m AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS r FROM (SELECT DISTINCT s FROM e)) SELECT a.r AS src, b.r AS dst FROM e JOIN m a ON a.s = e.s JOIN m b ON b.s = e.d"
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return files.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+@_query(_DENSE)
+def source_edge_list(spark, sf_dir):
+    """The links written as an edge-list text, with a comment and loops in it, and read again."""
+    path = _folder(spark, "edges")
+    lines = linked_parts(spark, sf_dir).select(F.concat_ws("\t", "src", "dst", F.lit("more")).alias("value"))
+    spark.createDataFrame([("# src dst",), ("",)], "value string").unionByName(lines).write.text(path)
+    return Graph.from_edges(E.read_text(spark, path), dense=True).edges
+
+
+def _arrays(g: Graph) -> tuple[list[int], list[int]]:
+    rows = sorted((r.src, r.dst) for r in g.edges.collect())  # what from_csr takes is on the driver
+    ends = [0]
+    for v in range(g.num_vertices):
+        ends.append(ends[-1])
+        while ends[-1] < len(rows) and rows[ends[-1]][0] == v:
+            ends[-1] += 1
+    return ends, [d for _, d in rows]
+
+
+@_query(_DENSE)
+def source_csr(spark, sf_dir):
+    """The links as index arrays."""
+    return Graph.from_csr(spark, *_arrays(Graph.from_edges(linked_parts(spark, sf_dir), dense=True))).edges
+
+
+@_query(_DENSE)
+def stored_parquet(spark, sf_dir):
+    """The graph saved as Parquet and read again."""
+    folder = _folder(spark, "graph")
+    Graph.from_edges(linked_parts(spark, sf_dir), dense=True).save(folder)
+    return Graph.from_preprocessed(spark, folder).edges
+
+
+@_query(_DENSE)
+def stored_binary(spark, sf_dir):
+    """The graph saved as raw arrays with metadata and read again."""
+    folder = _folder(spark, "graph")
+    Graph.from_edges(linked_parts(spark, sf_dir), dense=True).save_binary(folder)
+    return Graph.from_preprocessed(spark, folder).edges
+
+
+@_query("""
+, g AS (SELECT s, count(*) AS n, count(*) FILTER (d < s) AS o FROM e GROUP BY s), t AS (SELECT a.s, count(*) AS t FROM e a JOIN e b ON b.s = a.d JOIN e c ON c.s = a.s AND c.d = b.d GROUP BY a.s)
+SELECT count(*) AS num_vertex, CAST(sum(n) AS BIGINT) AS num_edge, CAST((SELECT sum(t) FROM t) // 6 AS BIGINT) AS num_triangle, max(n) AS max_degree, max(o) AS max_offset,
+       greatest((SELECT max(t) FROM t), max(n)) AS max_triangle, round(sum(n) / count(*), 6) AS scheduler_avg_degree FROM (SELECT g.n, (SELECT count(*) FROM e x WHERE x.s = g.s AND x.d < x.s) AS o FROM g) g""")
+def stored_metadata(spark, sf_dir):
+    """Exact metadata, saved and read again."""
+    folder = _folder(spark, "graph")
+    Graph.from_edges(linked_parts(spark, sf_dir)).save(folder)
+    meta = Graph.from_preprocessed(spark, folder).metadata
+    out = spark.createDataFrame([tuple(vars(meta).values())], "num_vertex long, num_edge long, num_triangle long, max_degree long, max_offset long, max_triangle long, scheduler_avg_degree double")
+    return out.withColumn("scheduler_avg_degree", F.round("scheduler_avg_degree", 6))
+
+
+@_query("""
+, g AS (SELECT s, count(*) AS n FROM e GROUP BY s), w AS (
+  SELECT 1 AS level, s AS vid, n AS elements, 1 AS reads, 0 AS tests FROM g UNION ALL
+  SELECT 2, e.d, g.n, 1, (SELECT count(*) FROM e x WHERE x.s = e.d AND x.d < e.d) FROM e JOIN g ON g.s = e.d WHERE e.s > e.d)
+SELECT CAST(level AS INTEGER) AS level, vid, CAST(sum(reads) AS BIGINT) AS reads, CAST(sum(elements) AS BIGINT) AS neighbours, CAST(0 AS BIGINT) AS auxiliary, CAST(sum(tests) AS BIGINT) AS tests FROM w GROUP BY level, vid""")
+def profile_work(spark, sf_dir):
+    """Elements read and edges tested by each vertex's list, at each level of the triangle plan."""
+    return compile_plan(graph(spark, sf_dir), CATALOGUE["triangle"], "edge", "none", scheduler="structural").work()

@@ -2,66 +2,65 @@
 
 from __future__ import annotations
 
-import os
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import files
+
 FIELDS = ("NUM_VERTEX", "NUM_EDGE", "NUM_TRIANGLE", "MAX_DEGREE", "MAX_OFFSET", "MAX_TRIANGLE", "SCHEDULER_AVG_DEGREE")
 ARRAYS = ("indptr", "indices", "triangle", "offset", "degree")
 
 
-def write_meta(folder: str, values: dict[str, float]) -> None:
+def write_meta(spark: SparkSession, folder: str, values: dict[str, float]) -> None:
     """One tab-separated name and value a line."""
-    with open(os.path.join(folder, "meta.txt"), "w") as f:
-        f.writelines(f"{k}\t{values[k]}\n" for k in FIELDS)
+    files.write(spark, files.join(folder, "meta.txt"), "".join(f"{k}\t{values[k]}\n" for k in FIELDS).encode())
 
 
-def read_meta(folder: str) -> dict[str, float]:
+def read_meta(spark: SparkSession, folder: str) -> dict[str, float]:
     """NUM_TRIANGLE is stored as the sum over vertices (six a triangle)."""
     out: dict[str, float] = {}
-    with open(os.path.join(folder, "meta.txt")) as f:
-        for line in f:
-            if line.strip():
-                k, v = line.split()
-                out[k] = float(v) if k == FIELDS[-1] else int(float(v))
+    for line in files.read(spark, files.join(folder, "meta.txt")).decode().splitlines():
+        if line.strip():
+            k, v = line.split()
+            out[k] = float(v) if k == FIELDS[-1] else int(float(v))
     if missing := set(FIELDS[:3]) - set(out):
         raise ValueError(f"meta.txt lacks {', '.join(sorted(missing))}")
     return out
 
 
-def _load(folder: str, name: str) -> np.ndarray | None:
+def _load(spark: SparkSession, folder: str, name: str) -> np.ndarray | None:
     for bits in (64, 32):
-        path = os.path.join(folder, f"{name}_u{bits}.bin")
-        if os.path.exists(path):
-            if os.path.getsize(path) % (bits // 8):
+        path = files.join(folder, f"{name}_u{bits}.bin")
+        if files.exists(spark, path):
+            data = files.read(spark, path)
+            if len(data) % (bits // 8):
                 raise ValueError(f"{path} does not hold whole numbers of {bits} bits")
-            return np.fromfile(path, f"<u{bits // 8}").astype(np.int64)
+            return np.frombuffer(data, f"<u{bits // 8}").astype(np.int64)
     return None
 
 
-def read_arrays(folder: str) -> dict[str, np.ndarray | None]:
-    out = {name: _load(folder, name) for name in ARRAYS}
+def read_arrays(spark: SparkSession, folder: str) -> dict[str, np.ndarray | None]:
+    out = {name: _load(spark, folder, name) for name in ARRAYS}
     if out["indptr"] is None or out["indices"] is None:
         raise ValueError(f"{folder} has no indptr and indices")
     return out
 
 
-def write_arrays(folder: str, arrays: dict[str, np.ndarray]) -> None:
+def write_arrays(spark: SparkSession, folder: str, arrays: dict[str, np.ndarray]) -> None:
     """64-bit files of every array, and 32-bit ones where all values fit."""
     for name, a in arrays.items():
-        a.astype("<u8").tofile(os.path.join(folder, f"{name}_u64.bin"))
+        files.write(spark, files.join(folder, f"{name}_u64.bin"), a.astype("<u8").tobytes())
         if not len(a) or int(a.max()) < 1 << 32:
-            a.astype("<u4").tofile(os.path.join(folder, f"{name}_u32.bin"))
+            files.write(spark, files.join(folder, f"{name}_u32.bin"), a.astype("<u4").tobytes())
 
 
-def write_parquet(adjacency: DataFrame, folder: str, files: int | None = None) -> None:
+def write_parquet(adjacency: DataFrame, folder: str, parts: int | None = None) -> None:
     """(vid, nbrs, degree, offset, triangles), range-partitioned and sorted by vid: the layout for large graphs."""
-    ranged = adjacency.repartitionByRange(files, "vid") if files else adjacency.repartitionByRange("vid")
-    ranged.sortWithinPartitions("vid").write.mode("overwrite").parquet(os.path.join(folder, "adjacency.parquet"))
+    ranged = adjacency.repartitionByRange(parts, "vid") if parts else adjacency.repartitionByRange("vid")
+    ranged.sortWithinPartitions("vid").write.mode("overwrite").parquet(files.join(folder, "adjacency.parquet"))
 
 
 def read_parquet(spark: SparkSession, folder: str) -> DataFrame:
     """(src, dst) of a stored graph."""
-    return spark.read.parquet(os.path.join(folder, "adjacency.parquet")).select(F.col("vid").alias("src"), F.explode("nbrs").alias("dst"))
+    return spark.read.parquet(files.join(folder, "adjacency.parquet")).select(F.col("vid").alias("src"), F.explode("nbrs").alias("dst"))

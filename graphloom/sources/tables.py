@@ -4,12 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir. Where that is unset, a temporary one if all runs on this
+    machine, else an error: other machines could not read it."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def stable(df: DataFrame) -> DataFrame:
-    """df checkpointed to the session's spark.checkpoint.dir (a temporary folder where that is unset)."""
+    """df written to the shared folder and read from it: a lost executor costs no recomputation."""
     sc = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

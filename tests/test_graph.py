@@ -93,6 +93,10 @@ def test_command_line(spark, text, tmp_path, capsys):
     assert main(["run", "--path_to_graph", stored, "--query", "triangle", "--query_type", "vertex", "--log_dir", log, "--exp_id", "7"]) == 0
     assert "1 matches" in capsys.readouterr().out
     assert main(["compare", "--path_to_graph", stored, "--query", "010101010"]) == 0
+    (tmp_path / "q.csv").write_text("exp_id,query,query_type,pruning_type\na,wedge,edge_iep,\nb,0,,\nc,triangle,,eager\n")
+    assert main(["batch", "--path_to_graph", stored, "--queries", str(tmp_path / "q.csv"), "--log_dir", log]) == 1
+    out = capsys.readouterr().out
+    assert "a: 5 matches" in out and "b: ValueError" in out and "c: 1 matches" in out
     assert main(["profile", "--path_to_graph", stored, "--query", "triangle", "--out", log, "--prunings", "none"]) == 0
     lines = open(f"{log}/run_log.csv").read().splitlines()
     assert lines[0].split(",") == list(logs.RUN_COLUMNS) and lines[1].startswith("7,")

@@ -1,4 +1,5 @@
 import random
+import time
 from itertools import permutations
 
 import pytest
@@ -46,7 +47,7 @@ def test_counts(small, name):
 @pytest.mark.parametrize("pruning", ["static", "eager", "online", "costmodel"])
 def test_pruning_does_not_change_counts(small, pruning):
     g, adj = small
-    for name in ("diamond", "p2"):
+    for name in ("diamond", "p2", "p4"):
         p = Pattern(CATALOGUE[name])
         assert compile_plan(g, CATALOGUE[name], "vertex", pruning).run().result == brute(adj, p, True)
         assert compile_plan(g, CATALOGUE[name], "edge_iep", pruning).run().result == brute(adj, p, False)
@@ -91,19 +92,78 @@ def test_empty_graph(spark):
     assert compile_plan(g, CATALOGUE["star3"], "edge_iep", scheduler="structural").run().result == 0
 
 
-def test_shuffled_plans_give_the_same(small):
-    """Beyond the broadcast bound."""
+@pytest.mark.parametrize("pruning", ["none", "eager"])
+def test_shuffled_plans_give_the_same(spark, small, pruning):
+    """Beyond the broadcast bound: no join is broadcast."""
     from graphloom.operators import match
 
     g, adj = small
-    plan = compile_plan(g, CATALOGUE["p3"], "vertex", "none")
-    r = match.Relations(g.persisted(), g.num_edges, g.largest_id, broadcast_rows=0)
-    assert match.matches(plan.schedule, r, True).count() == brute(adj, Pattern(CATALOGUE["p3"]), True)
+    g.unpersist()  # relations of other tests hold broadcasts
+    plan = compile_plan(g, CATALOGUE["p3"], "vertex", pruning)
+    bounds = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    old = {k: spark.conf.get(k, None) for k in bounds}
+    try:
+        for k in bounds:
+            spark.conf.set(k, "-1")
+        r = match.Relations(g.persisted(), g.num_edges, g.largest_id, broadcast_rows=0)
+        rows = match.matches(plan.schedule, r, True, plan.auxiliary)
+        assert rows.count() == brute(adj, Pattern(CATALOGUE["p3"]), True)
+        text = rows._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in text and "SortMergeJoin" in text
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_last_vertex_is_counted_by_degree(small):
+    g, adj = small
+    plan = compile_plan(g, CATALOGUE["p7"], "edge", "none")
+    for name in ("p6", "p7"):
+        plan = compile_plan(g, CATALOGUE[name], "edge", "none")
+        assert plan.run().result == plan.matches().count()
+    tail = "0111" "1010" "1100" "1000"  # a triangle with a tail
+    plan = compile_plan(g, tail, "edge", "none", scheduler="structural")
+    assert plan.suffix and plan.suffix.prefix == 3 and plan.run().result == brute(adj, Pattern(tail), False) == plan.matches().count()
+
+
+def test_common_neighbours_of_cliques(spark):
+    """Bounded and unbounded relations of edges and triangles, and a plan that reads both."""
+    from itertools import combinations
+
+    from graphloom.operators import match
+
+    rng = random.Random(11)
+    rows = [(i, j) for i in range(10) for j in range(i) if rng.random() < 0.8]
+    adj = [{j for e in rows for j in e if i in e and j != i} for i in range(10)]
+    g = Graph.from_edges(spark.createDataFrame(rows, "src long, dst long"))
+    plan = compile_plan(g, CATALOGUE["p4"], "edge", "eager", scheduler="structural")
+    assert {len(at) for at in plan.auxiliary.closed.values()} == {2, 3} and plan.auxiliary.bounded
+    assert plan.run().result == brute(adj, Pattern(CATALOGUE["p4"]), False) > 0
+    r = match.Relations(g.persisted(), g.num_edges, g.largest_id)
+    for size in (2, 3):
+        cliques = [c for c in combinations(range(10), size + 1) if all(b in adj[a] for a, b in combinations(c, 2))]
+        for bounded in (True, False):
+            orders = [c[::-1] for c in cliques] if bounded else [p for c in cliques for p in permutations(c)]
+            want = sorted((p[0] * r.shift + p[1], *p[2:]) for p in orders)
+            assert sorted(map(tuple, r.closed(size, bounded, False).collect())) == want and want
+
+
+def test_metrics(small):
+    g, _ = small
+    r = compile_plan(g, CATALOGUE["triangle"], "edge", "none").run(metrics=True)
+    low, mean, high, std = r.task_seconds
+    assert 0 <= low <= mean <= high and std >= 0 and r.allocated >= 0
 
 
 def test_timeout(small):
     g, _ = small
     slow = compile_plan(g, CATALOGUE["triangle"], "edge", "none")
-    slow.counts = lambda graph=None: g.edges.sparkSession.sql("SELECT count(java_method('java.lang.Thread', 'sleep', 20000L + id)) AS n FROM range(4)")
+    slow.counts = lambda graph=None: g.edges.sparkSession.sql("SELECT count(x) AS n FROM (SELECT java_method('java.lang.Thread', 'sleep', 20000L + id) AS x FROM range(4))")
     r = slow.run(timeout=0.5)
     assert not r.finished and "timed out" in repr(r)
+    tracker = g.edges.sparkSession.sparkContext.statusTracker()
+    for _ in range(50):
+        if not tracker.getActiveJobsIds():
+            break
+        time.sleep(0.1)
+    assert not tracker.getActiveJobsIds()
