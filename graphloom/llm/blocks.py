@@ -95,15 +95,23 @@ def unsqueeze(data: bytes) -> bytes:
     return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True) if data else b""
 
 
+def squeeze_planes(values: np.ndarray) -> bytes:
+    """Integers, a byte plane after another: those of the high bytes are mostly zero."""
+    return squeeze(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T))
+
+
+def unsqueeze_planes(data: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(unsqueeze(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def squeeze_keys(keys: np.ndarray) -> bytes:
-    """Ascending keys as differences, a byte plane after another: those of the high bytes are mostly zero."""
-    gaps = np.diff(keys, prepend=U(0))
-    return squeeze(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T))
+    """Ascending keys, by their differences."""
+    return squeeze_planes(np.diff(keys, prepend=U(0)))
 
 
 def unsqueeze_keys(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(unsqueeze(data), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(U).ravel(), dtype=U)
+    return np.cumsum(unsqueeze_planes(data, U), dtype=U)
 
 
 def together(*parts: bytes) -> bytes:

@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 from . import blocks as K
 from .blocks import U
 
-ORDER, ALPHA = 2, 0.4
+ORDER, ALPHA = 3, 0.4
+#: Bytes of text in a bucket. The larger it is, the fewer distinct n-grams a byte has.
+BUCKET_BYTES = 16 << 20
 OUT = "doc_id long, n_words long, log_score double, mean_log_score double"
 
 
@@ -61,14 +63,6 @@ def _distinct(h: np.ndarray, there: np.ndarray):
     return np.unique(h[there], return_inverse=True, return_counts=True)
 
 
-def _squeeze_counts(counts: np.ndarray) -> bytes:
-    return K.squeeze(np.ascontiguousarray(counts.astype(np.uint32).view(np.uint8).reshape(-1, 4).T))
-
-
-def _unsqueeze_counts(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(K.unsqueeze(data), np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
-
-
 def count_words(docs: DataFrame, text: str = "text") -> int:
     """Words of the corpus: one aggregate."""
 
@@ -83,7 +77,7 @@ def count_words(docs: DataFrame, text: str = "text") -> int:
 
 def lm_score(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, alpha: float = ALPHA, leave_one_out: bool = True, min_count: int = 1,
-    buckets: int | None = None, parts: int | None = None, bucket_bytes: int = K.BUCKET_BYTES,
+    buckets: int | None = None, parts: int | None = None, bucket_bytes: int = BUCKET_BYTES,
 ) -> DataFrame:
     """One row per row of docs: words, sum of log scores (natural), and their mean.
 
@@ -103,7 +97,7 @@ def lm_score(
             keys, _, counts = _distinct(h, place >= k - 1)
             for p, a, b in K.cut_by_part(keys, m):
                 to.append(p * order + k - 1)
-                bodies.append(K.together(K.squeeze_keys(keys[a:b]), _squeeze_counts(counts[a:b])))
+                bodies.append(K.together(K.squeeze_keys(keys[a:b]), K.squeeze_planes(counts[a:b].astype(np.uint32))))
         return K.rows_of(to, [bucket] * len(to), bodies, ("part", "bucket"))
 
     def total(table: pa.Table) -> pa.Table:
@@ -112,13 +106,13 @@ def lm_score(
         keys = [K.unsqueeze_keys(x) for x, _ in asked]
         sizes = [len(x) for x in keys]
         keys = np.concatenate(keys)
-        counts = np.concatenate([_unsqueeze_counts(x) for _, x in asked])
+        counts = np.concatenate([K.unsqueeze_planes(x, np.uint32) for _, x in asked]).astype(np.int64)
         by_key = np.argsort(keys, kind="stable")
         sk = keys[by_key]
         at = np.flatnonzero(np.concatenate([[True], sk[1:] != sk[:-1]]))
         sums = np.empty(len(keys), np.int64)
         sums[by_key] = np.repeat(np.add.reduceat(counts[by_key], at), np.diff(np.concatenate([at, [len(sk)]])))
-        bodies = [_squeeze_counts(x) for x in np.split(sums - counts, np.cumsum(sizes)[:-1])]
+        bodies = [K.squeeze_planes(x.astype(np.uint32)) for x in np.split(sums - counts, np.cumsum(sizes)[:-1])]
         return K.rows_of(table["bucket"].to_pylist(), table["part"].to_pylist(), bodies, ("bucket", "part"))
 
     requests = packed.groupBy("bucket").applyInArrow(ask, K.REQUEST)
@@ -134,7 +128,7 @@ def lm_score(
         for k, h in enumerate(grams, 1):
             there = place >= k - 1
             keys, which, here = _distinct(h, there)
-            sums = here + np.concatenate([np.zeros(0, np.int64)] + [_unsqueeze_counts(by[p * order + k - 1]) for p, _, _ in K.cut_by_part(keys, m)])
+            sums = here + np.concatenate([np.zeros(0, np.int64)] + [K.unsqueeze_planes(by[p * order + k - 1], np.uint32) for p, _, _ in K.cut_by_part(keys, m)])
             c = np.zeros(len(h), np.int64)
             c[there] = sums[which]
             if leave_one_out and len(keys):
@@ -171,17 +165,20 @@ SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id,
                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 b AS (SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS w FROM d),
-p AS (SELECT r, i, w, lag(w) OVER (PARTITION BY r ORDER BY i) AS v FROM b),
-u AS (SELECT w, count(*) AS c FROM b GROUP BY w),
-g AS (SELECT v, w, count(*) AS c FROM p WHERE v IS NOT NULL GROUP BY v, w),
-ou AS (SELECT r, w, count(*) AS c FROM b GROUP BY r, w),
-og AS (SELECT r, v, w, count(*) AS c FROM p WHERE v IS NOT NULL GROUP BY r, v, w),
+p AS (SELECT r, i, w, lag(w) OVER (PARTITION BY r ORDER BY i) AS v, lag(w, 2) OVER (PARTITION BY r ORDER BY i) AS t FROM b),
+o1 AS (SELECT r, w, count(*) AS c FROM p GROUP BY r, w),
+o2 AS (SELECT r, v, w, count(*) AS c FROM p WHERE v IS NOT NULL GROUP BY r, v, w),
+o3 AS (SELECT r, t, v, w, count(*) AS c FROM p WHERE t IS NOT NULL GROUP BY r, t, v, w),
+e1 AS (SELECT r, w, sum(c) OVER (PARTITION BY w) - c AS c FROM o1),
+e2 AS (SELECT r, v, w, sum(c) OVER (PARTITION BY v, w) - c AS c FROM o2),
+e3 AS (SELECT r, t, v, w, sum(c) OVER (PARTITION BY t, v, w) - c AS c FROM o3),
 n AS (SELECT d.r, greatest((SELECT count(*) FROM b) - len(w), 1) AS n FROM d),
-s AS (SELECT p.r, ln(CASE WHEN g.c > og.c THEN (g.c - og.c) / (h.c - oh.c)
-                          ELSE CASE WHEN p.v IS NULL THEN 1::DOUBLE ELSE 0.4::DOUBLE END * CASE WHEN u.c > ou.c THEN (u.c - ou.c)::DOUBLE ELSE 0.4::DOUBLE END / n.n END) AS x
-      FROM p JOIN n ON n.r = p.r JOIN u ON u.w = p.w JOIN ou ON ou.r = p.r AND ou.w = p.w
-      LEFT JOIN g ON g.v = p.v AND g.w = p.w LEFT JOIN og ON og.r = p.r AND og.v = p.v AND og.w = p.w
-      LEFT JOIN u AS h ON h.w = p.v LEFT JOIN ou AS oh ON oh.r = p.r AND oh.w = p.v),
+s AS (SELECT p.r, ln(CASE WHEN e3.c > 0 THEN e3.c / h2.c ELSE CASE WHEN p.t IS NULL THEN 1::DOUBLE ELSE 0.4::DOUBLE END *
+                     CASE WHEN e2.c > 0 THEN e2.c / h1.c ELSE CASE WHEN p.v IS NULL THEN 1::DOUBLE ELSE 0.4::DOUBLE END *
+                     CASE WHEN e1.c > 0 THEN e1.c::DOUBLE ELSE 0.4::DOUBLE END / n.n END END) AS x
+      FROM p JOIN n ON n.r = p.r JOIN e1 ON e1.r = p.r AND e1.w = p.w
+      LEFT JOIN e2 ON e2.r = p.r AND e2.v = p.v AND e2.w = p.w LEFT JOIN e3 ON e3.r = p.r AND e3.t = p.t AND e3.v = p.v AND e3.w = p.w
+      LEFT JOIN e1 AS h1 ON h1.r = p.r AND h1.w = p.v LEFT JOIN e2 AS h2 ON h2.r = p.r AND h2.v = p.t AND h2.w = p.v),
 a AS (SELECT r, sum(x) AS x FROM s GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(x, 0), 3) AS log_score, round(x / len(w), 5) AS mean_log_score
 FROM d LEFT JOIN a USING (r)
