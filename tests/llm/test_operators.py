@@ -177,6 +177,9 @@ def test_sharding(docs, none):
         want.append((k, min(3, (2 * at + s) * 4 // (2 * total))))
         at += s
     assert sorted((key(r.doc_id), r.shard) for r in got) == sorted(want)
+    both = [(None, "a"), (NO, "b"), (None, "c"), (NO, "d")]
+    got_ = sharding.shard_by_bytes(docs.sparkSession.createDataFrame(both, "doc_id long, text string"), shards=1).orderBy("slot").collect()
+    assert [r.doc_id for r in got_] == [NO, NO, None, None]
     for s in range(4):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
     assert sharding.shard_by_bytes(none).count() == 0
@@ -189,6 +192,15 @@ def test_overfull_ranges_are_cut(spark):
     assert len(sums) == 8 and max(sums) - min(sums) <= 102
 
 
+@pytest.mark.parametrize("one", ["5", "null"])
+def test_one_row_many_times_is_subdivided(spark, one):
+    """All rows equal, or without an id: ranges stay small, and the shards come out even."""
+    df = spark.range(4000).selectExpr(f"CAST({one} AS BIGINT) AS doc_id", "'same text' AS text")
+    ranges = [r[1] for r in sharding._placed(df, "doc_id", "text", 4, None).groupBy("range").count().collect()]
+    assert len(ranges) > 16 and max(ranges) < 400
+    assert sorted(r[1] for r in sharding.shard_by_bytes(df, shards=4).groupBy("shard").count().collect()) == [1000] * 4
+
+
 def test_media(docs, none):
     got = media_jpeg.media_columns(docs).collect()
     for r in got:
@@ -204,6 +216,26 @@ def test_token_counts(docs, none):
     got = wordpiece_len.token_counts(docs).collect()
     assert sorted((str(r.doc_id), r.n_words) for r in got) == sorted((str(i), len(WORD.findall((t or "").encode()))) for i, t in ROWS)
     assert all(r.n_tokens >= r.n_words for r in got) and wordpiece_len.token_counts(none).count() == 0
+    first, rest = map(set, wordpiece_len.vocabulary())
+    longest = max(map(len, first | rest))
+
+    def pieces(word):
+        """Greedy longest match, piece by piece."""
+        at = n = 0
+        while at < len(word):
+            known = rest if at else first
+            end = next((e for e in range(min(len(word), at + longest), at, -1) if word[at:e] in known), None)
+            if end is None:
+                return 1
+            at, n = end, n + 1
+        return n
+
+    texts = [*(t for _, t in ROWS), "unbelievably internationalisation \u6f22\u5b57 qqqq\U0001f600x caf\u00e9s " + "long" * 700]
+    if os.path.isdir("/root/testdata/sf0.001"):
+        texts += [r[0] for r in docs.sparkSession.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    df = docs.sparkSession.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = {i: sum(pieces(w.decode()) for w in WORD.findall((t or "").encode())) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.n_tokens for r in wordpiece_len.token_counts(df).collect()} == want
 
 
 def test_sentencepiece(docs, none):
