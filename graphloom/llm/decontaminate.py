@@ -11,8 +11,9 @@ pair, however long the document is.  A symmetric MinHash signature would: an ite
 document of 20,000 has a Jaccard similarity of 0.002.  Documents look their shingles up in the sketches;
 candidates are verified by all shingles' hashes first, then by exact shingles.
 
-Items come in blocks of at most ``block_bytes`` of text, each broadcast and run over all documents; a
-benchmark beyond one block takes several passes.
+A benchmark of at most ``block_bytes`` of text (measured) is broadcast, and documents are read once.  A larger one
+stays on the executors: its sketches are a table that documents' shingles meet in a join by hash, and only documents
+and items that share one are brought together and verified, a pair at a time.
 
 Defined cases: null or empty item texts match nothing, null or empty documents hold nothing; repeated item
 ids are separate items, repeated document ids separate documents; other columns are ignored.
@@ -21,7 +22,6 @@ ids are separate items, repeated document ids separate documents; other columns
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as K
 from .blocks import U
+from .components import checkpointed
 
 WIDTH, THRESHOLD = 5, 0.8
 BLOCK_BYTES = 32 << 20
@@ -43,6 +44,11 @@ def _words(buf: np.ndarray, off: np.ndarray):
     return part, *K.word_spans(part, off, _APART)
 
 
+def sketched(size: int, threshold: float) -> int:
+    """How many smallest hashes an item of so many distinct shingles keeps, by the largest size in its partition."""
+    return math.floor((1 - threshold) * (1 << (size - 1).bit_length()) + 1e-9) + 1
+
+
 class Items:
     """Sketches and shingles of one block of items."""
 
@@ -52,7 +58,7 @@ class Items:
         part, s, e, wo = _words(buf, off)
         raw = part.tobytes()
         words = [[raw[a:b] for a, b in zip(s[x:y].tolist(), e[x:y].tolist())] for x, y in zip(wo[:-1], wo[1:])]
-        h = K.hash_spans(part, s, e) if len(s) else np.zeros(0, U)
+        h = K.hash_spans(part, s, e)
         self.ids, self.shingles, self.size = ids, [], []
         sketch: dict[int, list] = {}
         full: dict[int, list] = {}
@@ -63,9 +69,7 @@ class Items:
             if not k:
                 continue
             keys = np.unique(K.hash_windows(h, np.arange(wo[i], wo[i + 1] - k + 1), k))
-            upper = 1 << (len(keys) - 1).bit_length()  # the partition's largest size
-            keep = math.floor((1 - threshold) * upper + 1e-9) + 1
-            sketch.setdefault(k, []).append((keys[:keep], i))
+            sketch.setdefault(k, []).append((keys[: sketched(len(keys), threshold)], i))
             full.setdefault(k, []).append((keys, i))
         flat = lambda t: {k: self._table(v) for k, v in t.items()}
         self.sketch, self.full = flat(sketch), flat(full)
@@ -103,7 +107,7 @@ class Items:
         m = len(self.ids)
         for k in self.sketch:
             doc, j = K.spread(np.maximum(n_words - k + 1, 0))
-            h = K.hash_windows(words, wo[doc] + j, k) if len(doc) else np.zeros(0, U)
+            h = K.hash_windows(words, wo[doc] + j, k)
             at, item = self.lookup(self.sketch[k], h)
             pairs = np.unique(doc[at] * m + item)
             if not len(pairs):
@@ -137,26 +141,80 @@ def decontaminate(
         raise ValueError("width must be positive and threshold in (0, 1]")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t"))
-    blocks = max(1, math.ceil(K.corpus_bytes(items, "t") / block_bytes))
-    sc = docs.sparkSession.sparkContext
-
-    def one(block: int) -> DataFrame:
-        part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).orderBy("i", "t").collect()
-        data = sc.broadcast(Items([r[0] for r in part], [r[1] for r in part], width, threshold))
-
-        def run(batches):
-            table = data.value
-            for batch in batches:
-                buf, off = K.string_buffer(batch.column(1))
-                for i, j in K.chunks(off):
-                    found = table.search(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                    ids = batch.column(0).take(pa.array([i + d for d, _, _ in found], pa.int64()))
-                    cols = [[table.ids[k] for _, k, _ in found], [n for _, _, n in found], [table.size[k] for _, k, _ in found]]
-                    yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, pa.int64()) for c in cols]], names=["doc_id", "item_id", "n_shared", "n_shingles"])
-
-        return K.small_batches(rows).mapInArrow(K.tidy(run), OUT)
-
-    return reduce(DataFrame.unionByName, [one(b) for b in range(blocks)])
+    count, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
+    if size + 64 * count > block_bytes:
+        return _joined(rows, items, width, threshold)
+    part = items.orderBy("i", "t").collect()
+    data = docs.sparkSession.sparkContext.broadcast(Items([r[0] for r in part], [r[1] for r in part], width, threshold))
+
+    def run(batches):
+        table = data.value
+        for batch in batches:
+            buf, off = K.string_buffer(batch.column(1))
+            for i, j in K.chunks(off):
+                found = table.search(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                ids = batch.column(0).take(pa.array([i + d for d, _, _ in found], pa.int64()))
+                cols = [[table.ids[k] for _, k, _ in found], [n for _, _, n in found], [table.size[k] for _, k, _ in found]]
+                yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, pa.int64()) for c in cols]], names=["doc_id", "item_id", "n_shared", "n_shingles"])
+
+    return K.small_batches(rows).mapInArrow(K.tidy(run), OUT)
+
+
+def _keys(batches, of):
+    """(row, k, h) rows from (row, text) batches: of gives, for each text's words, the lengths and hashes to look up."""
+    for batch in batches:
+        buf, off = K.string_buffer(batch.column(1))
+        for i, j in K.chunks(off):
+            part, s, e, wo = _words(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+            doc, k, h = of(K.hash_spans(part, s, e), wo)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + i)), pa.array(k, pa.int32()), pa.array(h.view(np.int64))], names=["row", "k", "h"])
+
+
+def _joined(rows: DataFrame, items: DataFrame, width: int, threshold: float) -> DataFrame:
+    """The same pairs where the benchmark is a table: nothing of it reaches the driver but the lengths of its shingles."""
+    docs = checkpointed(rows.withColumn("row", F.monotonically_increasing_id()))
+    items = checkpointed(items.withColumn("row", F.monotonically_increasing_id()))
+
+    def sketch(words: np.ndarray, wo: np.ndarray):
+        out = []
+        for i in range(len(wo) - 1):
+            k = min(width, int(wo[i + 1] - wo[i]))
+            if k:
+                keys = np.unique(K.hash_windows(words, np.arange(wo[i], wo[i + 1] - k + 1), k))
+                keys = keys[: sketched(len(keys), threshold)]
+                out.append((np.full(len(keys), i), np.full(len(keys), k), keys))
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U))
+
+    known = checkpointed(K.small_batches(items.select("row", "t")).mapInArrow(K.tidy(lambda b: _keys(b, sketch)), "row long, k int, h long"))
+    lengths = sorted(r[0] for r in known.select("k").distinct().collect())  # at most width of them
+
+    def shingles(words: np.ndarray, wo: np.ndarray):
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U))]
+        for k in lengths:
+            doc, j = K.spread(np.maximum(np.diff(wo) - k + 1, 0))
+            h = K.hash_windows(words, wo[doc] + j, k)
+            order = np.lexsort((h, doc))
+            h, doc = h[order], doc[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+            out.append((doc[new], np.full(int(new.sum()), k), h[new]))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    asked = K.small_batches(docs.select("row", "text")).mapInArrow(K.tidy(lambda b: _keys(b, shingles)), "row long, k int, h long")
+    pairs = asked.join(known.select(F.col("row").alias("item"), "k", "h"), ["k", "h"]).select("row", "item").distinct()
+    texts = pairs.join(items.select(F.col("row").alias("item"), "i", "t"), "item").join(docs, "row").select("doc_id", "i", "text", "t")
+
+    def verify(batches):
+        for batch in batches:
+            found = []
+            for n in range(batch.num_rows):
+                table = Items([0], [batch.column(3)[n].as_py()], width, threshold)
+                for _, _, shared in table.search(*K.string_buffer(batch.column(2)[n : n + 1])):
+                    found.append((n, shared, table.size[0]))
+            at = pa.array([x[0] for x in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *[pa.array([x[c] for x in found], pa.int64()) for c in (1, 2)]], names=["doc_id", "item_id", "n_shared", "n_shingles"])
+
+    return K.small_batches(texts).mapInArrow(K.tidy(verify), OUT)
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -84,8 +84,8 @@ def lm_score(
     buckets, parts: numbers of text buckets and of hash ranges, from the corpus' size and bucket_bytes unless given."""
     if order < 1 or not 0 < alpha <= 1 or min_count < 1:
         raise ValueError("order and min_count must be positive and alpha in (0, 1]")
-    n = buckets or K.buckets_of(K.corpus_bytes(docs, text), bucket_bytes)
-    m = parts or n
+    size = K.corpus_bytes(docs, text)
+    n, m = buckets or K.buckets_of(size, bucket_bytes), parts or K.buckets_of(size)
     words = count_words(docs, text)
     code = K.Ids(docs, doc_id)
     packed = K.pack(docs, n, code, doc_id, text, bucket_bytes=bucket_bytes)

@@ -256,12 +256,29 @@ def test_decontaminate(spark, docs, none):
             k = min(5, len(w))
             if k and len(sh(w, k) & sh(words(t), k)) >= 0.8 * len(sh(w, k)):
                 want.append((str(i), j, len(sh(w, k) & sh(words(t), k)), len(sh(w, k))))
-    for block in (1 << 25, 20):  # one pass, and several
+    for block in (1 << 25, 20):  # broadcast, and joined
         got = decontaminate.decontaminate(docs, items, block_bytes=block).collect()
         assert sorted((str(r.doc_id), r.item_id, r.n_shared, r.n_shingles) for r in got) == sorted(want)
     assert decontaminate.decontaminate(none, items).count() == 0 == decontaminate.decontaminate(docs, items.limit(0)).count()
 
 
+def test_large_benchmark_stays_off_the_driver(spark, docs):
+    """100 MB of items, none of which the driver could collect."""
+    items = spark.range(1600).selectExpr("id AS item_id", "concat('item ', id, ' ', repeat(concat('word', id % 7, ' '), 9000)) AS text").unionByName(spark.createDataFrame([(-1, SHARED)], "item_id long, text string"))
+    got = decontaminate.decontaminate(docs, items).collect()
+    assert {r.item_id for r in got} == {-1} and len(got) == sum(SHARED in (t or "") for _, t in ROWS)
+    from graphloom.llm import decontaminate as D
+
+    calls = []
+    real = D.Items
+    try:
+        D.Items = lambda ids, *a: calls.append(len(ids)) or real(ids, *a)
+        D.decontaminate(docs, items)
+    finally:
+        D.Items = real
+    assert not calls
+
+
 def test_language_id(spark, docs, none):
     model = language_id.fit(spark.createDataFrame([("der die das und nicht " * 9, "de"), ("the and of to in " * 9, "en"), (None, "en"), ("x", None)], "text string, lang string"))
     rows = spark.createDataFrame([(1, "the house of the king", None, "com", "a.b.com"), (2, "", "de", "de", "b.de"), (3, None, None, None, None), (4, "und das haus", "de", "de", None), (4, "und das haus", "de", "de", "b.de"), (None, "of the", "en", "com", "a.b.com")], "doc_id long, text string, d string, s string, h string")
