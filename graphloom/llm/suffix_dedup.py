@@ -32,6 +32,7 @@ from .blocks import U
 
 WINDOW = 50
 GRAM = 16
+_FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,end:long>>"
 
 
@@ -116,40 +117,43 @@ def _sorted_names(names: np.ndarray, count: int) -> np.ndarray:
     return sa[1:]
 
 
+#: Entries that one step of a scan takes.
+STEP_BITS = 11
+STEP = 1 << STEP_BITS
+
+
 def _induce(sa: np.ndarray, s: np.ndarray, kind: np.ndarray, ptr: np.ndarray, sign: int) -> None:
     """One scan of induced sorting, from the left (sign 1) or the right (-1): each entry puts its left neighbour, if that
     is of the kind, at the next free place of its symbol's bucket.
 
-    A scan that reads and writes one entry after another, but many at a time: of a stretch of entries, those before
-    the first place that the stretch itself writes do not depend on one another."""
+    The scan reads and writes one entry after another, STEP of them at a time: what a step's entries put inside the step
+    itself is added and the step is done again, until that no longer changes (as often as entries depend on
+    one another; an entry is right once those before it are)."""
     n = len(sa)
     ptr = ptr.copy()
-    at, width = 0, 256
     view = sa if sign > 0 else sa[::-1]
-    while at < n:
-        part = view[at : at + width]
-        here = np.flatnonzero(part > 0)
-        before = part[here] - 1
-        keep = kind[before]
-        here, before = here[keep], before[keep]
-        if not len(here):
-            at, width = at + width, min(2 * width, 1 << 16)
-            continue
-        ch = s[before]
-        o = np.argsort(ch, kind="stable")
-        sc = ch[o]
-        k = np.arange(len(sc))
-        first = np.concatenate([[True], sc[1:] != sc[:-1]])
-        k -= np.maximum.accumulate(np.where(first, k, 0))
-        place = np.empty(len(sc), np.int64)
-        place[o] = ptr[sc] + k if sign > 0 else n - ptr[sc] + k  # as places of the view
-        low = np.minimum.accumulate(place) - at
-        free = np.concatenate([[True], here[1:] < low[:-1]])
-        m = len(free) if free.all() else int(np.argmin(free))
-        view[place[:m]] = before[:m]
-        np.add.at(ptr, ch[:m], sign)
-        step = min(width, int(low[m - 1]))
-        at, width = at + step, min(2 * width, 1 << 16) if step == width else max(64, 2 * step)
+    for at in range(0, n, STEP):
+        part, inside = view[at : at + STEP], np.zeros((2, 0), np.int64)
+        while True:
+            before = part[part > 0] - 1
+            before = before[kind[before]]
+            if not len(before):
+                break
+            ch = s[before]
+            packed = np.sort((ch << STEP_BITS) | np.arange(len(ch)))  # a stable sort by symbol
+            sc, o = packed >> STEP_BITS, packed & (STEP - 1)
+            k = np.arange(len(sc))
+            k -= np.maximum.accumulate(np.where(np.concatenate([[True], sc[1:] != sc[:-1]]), k, 0))
+            place, before = (ptr[sc] if sign > 0 else n - ptr[sc]) + k, before[o]
+            here = place < at + STEP
+            again = np.stack([place[here], before[here]])
+            if np.array_equal(again, inside):
+                view[place] = before
+                np.add.at(ptr, ch, sign)
+                break
+            inside = again
+            part = view[at : at + STEP].copy()
+            part[again[0] - at] = again[1]
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
@@ -268,10 +272,9 @@ def _strings(buf: np.ndarray, off: np.ndarray, window: int, gram: int):
         pad = np.concatenate([buf[a:b], np.zeros(gram + 16, np.uint8)])
         h = np.zeros(n, U)
         for k in range(0, gram, 8):
-            w = K.loads(pad, min(k, max(0, gram - 8)), n)
-            if gram - k < 8 and gram < 8:
-                w = w & U((1 << (8 * gram)) - 1)
-            h = K.mix(h ^ (w * K._C1 + U(k + 1)))
+            w = K.loads(pad, k, n)
+            h += (w & U((1 << (8 * gram)) - 1) if gram < 8 else w) * U(_FACTORS[k // 8 % len(_FACTORS)] + 2 * (k // 8 // len(_FACTORS)))
+        h = K.mix(h)
         low = K.slide((h & U(0xFFFFFFFF00000000)) | np.arange(n, dtype=U), width, np.minimum)
         anchor = (low & U(0xFFFFFFFF)).astype(np.int64)
         lens = np.maximum(np.diff(off[i : j + 1]) - window + 1, 0)
