@@ -1,23 +1,11 @@
-"""Connected components of a link table, and the folder that cuts lineage."""
+"""Connected components of a link table."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read from it: a lost executor costs no recomputation.
-
-    The folder is the one the session names in spark.checkpoint.dir; only where that is unset (in tests) a
-    temporary one is made."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
-    return df.checkpoint(eager=True)
+from ..sources.tables import stable as checkpointed
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

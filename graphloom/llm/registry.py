@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
-from . import decontaminate, language_id, lm_score, media_jpeg, sentencepiece_backend, sharding, simhash, substring_dedup, suffix_dedup, wordpiece_len
-
-
-def _pipeline(spark, sf_dir: str):
-    return corpus_pipeline.run(spark, sf_dir)
+from . import decontaminate, language_id, lm_score, media_jpeg, pipeline, sentencepiece_backend, sharding, simhash, substring_dedup, suffix_dedup, wordpiece_len
 
 
 QUERIES = {
-    "pipeline": _pipeline,
+    "pipeline": pipeline.run,
     "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_language_id": language_id.op3_language_id,
@@ -31,5 +25,5 @@ SQL = {
     "op6_sharding": sharding.SQL,
     "op9_lm_score": lm_score.SQL,
 }
-if corpus_pipeline.ORACLE_SQL:
-    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
+if pipeline.ORACLE_SQL:
+    SQL["pipeline"] = pipeline.ORACLE_SQL

@@ -8,7 +8,7 @@ windows repeated at one length are extended to twice that length.
 * First level: every window of ``first`` words is looked up, a distinct one once a bucket.
 * Each middle level looks up the windows whose two halves the level before found repeated; a level without
   candidates sends nothing, and neither do those after it.
-* The last level exchanges each bucket's distinct windows for their smallest id, by two independent 64-bit hashes
+* The last level exchanges each bucket's distinct windows for their smallest id, by 96 bits of two independent hashes
   of the words.
 
 Defined cases: null text = no words (nothing removed, ``kept`` empty); null id = larger than every other
@@ -101,7 +101,7 @@ class _Bucket:
         np.add.at(used, at, 1)
         np.add.at(used, np.minimum(at + width, len(self.words)), -1)
         rows = np.flatnonzero(np.cumsum(used[:-1]))
-        more = K.hash_windows(self.second(rows), np.searchsorted(rows, at), width)
+        more = (K.hash_windows(self.second(rows), np.searchsorted(rows, at), width) >> U(32)).astype(np.uint32)
         order = np.lexsort((more, key))
         sk, sm = key[order], more[order]
         new = np.ones(len(order), bool)
@@ -118,22 +118,21 @@ def _request(table, to, bodies) -> pa.Table:
 
 
 def _smallest(requests: DataFrame, parts: int) -> DataFrame:
-    """Answers (key, 64 more bits, smallest id) requests by the smallest id over all buckets."""
+    """Answers (key, 32 more bits, smallest id) requests by the smallest id over all buckets."""
 
     def run(table: pa.Table) -> pa.Table:
         asked = [K.apart(x) for x in table["body"].to_pylist()]
-        key = [K.unsqueeze_keys(x) for x, _ in asked]
+        key = [K.unsqueeze_keys(x) for x, *_ in asked]
         sizes = [len(x) for x in key]
-        rest = [K.unsqueeze(x) for _, x in asked]
         key = np.concatenate(key)
-        low = np.concatenate([np.frombuffer(x, np.int64, n) for x, n in zip(rest, sizes)])
-        more = np.concatenate([np.frombuffer(x, U, n, 8 * n) for x, n in zip(rest, sizes)])
+        low = np.concatenate([K.unsqueeze_planes(x, np.int64) for _, x, _ in asked])
+        more = np.concatenate([K.unsqueeze_planes(x, np.uint32) for *_, x in asked])
         order = np.lexsort((more, key))
         sk, sm = key[order], more[order]
         at = np.flatnonzero(np.concatenate([[True], (sk[1:] != sk[:-1]) | (sm[1:] != sm[:-1])]))
         out = np.empty(len(key), np.int64)
         out[order] = np.repeat(np.minimum.reduceat(low[order], at), np.diff(np.concatenate([at, [len(sk)]])))
-        bodies = [K.squeeze(x) for x in np.split(out, np.cumsum(sizes)[:-1])]
+        bodies = [K.squeeze_planes(x) for x in np.split(out, np.cumsum(sizes)[:-1])]
         return K.rows_of(table["bucket"].to_pylist(), table["part"].to_pylist(), bodies, ("bucket", "part"))
 
     return requests.repartition(parts, "part").groupBy("part").applyInArrow(run, K.REPLY)
@@ -194,7 +193,7 @@ def substring_dedup(
         to, bodies = [], []
         for p, x, y in K.cut_by_part(key, m):
             to.append(p)
-            bodies.append(K.together(K.squeeze_keys(key[x:y]), K.squeeze(low[x:y].tobytes() + more[x:y].tobytes())))
+            bodies.append(K.together(K.squeeze_keys(key[x:y]), K.squeeze_planes(low[x:y]), K.squeeze_planes(more[x:y])))
         return _request(table, to, bodies)
 
     by_bucket = packed.groupBy("bucket")
@@ -208,7 +207,7 @@ def substring_dedup(
         b = _Bucket(table, levels)
         at, doc, which, key, *_ = b.distinct(b.alive(answered(replies), m))
         by = dict(zip(*(of_level(replies, last)[c].to_pylist() for c in ("part", "body"))))
-        low = np.concatenate([np.zeros(0, np.int64)] + [np.frombuffer(K.unsqueeze(by[p]), np.int64) for p, _, _ in K.cut_by_part(key, m)])
+        low = np.concatenate([np.zeros(0, np.int64)] + [K.unsqueeze_planes(by[p], np.int64) for p, _, _ in K.cut_by_part(key, m)])
         where = at[low[which] < b.ids[doc]]
         edge = np.zeros(len(b.words) + 1, np.int32)
         np.add.at(edge, where, 1)

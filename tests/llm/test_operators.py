@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
+from graphloom.llm import pipeline as corpus_pipeline
 from graphloom.llm import components, decontaminate, language_id, lm_score, media_jpeg, sentencepiece_backend, sharding, simhash, substring_dedup, suffix_dedup, wordpiece_len
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-import corpus_pipeline
+from graphloom.llm import pipeline as corpus_pipeline
 from graphloom.llm import near_copies, simhash
 from tests.llm.test_operators import ROWS
 
