@@ -86,6 +86,12 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def kept_names(keep: tuple[str, ...], schema: str) -> list[str]:
+    """Names of columns to keep beside an operator's own (of its schema): those that clash have _kept behind them."""
+    own = {f.split()[0].lower() for f in schema.split(", ")}
+    return [f"{c}_kept" if c.lower() in own else c for c in keep]
+
+
 def squeeze(data: bytes | np.ndarray) -> bytes:
     raw = data if isinstance(data, bytes) else np.ascontiguousarray(data).tobytes()
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True) if raw else b""

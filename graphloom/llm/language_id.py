@@ -162,7 +162,7 @@ def _smoothed(rows: DataFrame, key: str, parent: DataFrame | Column, weight: flo
 def language_id(rows: DataFrame, model: TextModel, keep: tuple[str, ...] = ("doc_id",), text: str = "text", declared: str | None = None, suffix: str | None = None, host: str | None = None, threshold: float = 0.5) -> DataFrame:
     """The columns to keep, with lang, probability and accepted (a text that has trigrams, at the threshold)."""
     langs, n = model.languages, len(model.languages)
-    back = [(f"__keep{i}", f"{c}_kept" if c.lower() in ("lang", "probability", "accepted") else c) for i, c in enumerate(keep)]
+    back = [(f"__keep{i}", c) for i, c in enumerate(K.kept_names(keep, "lang string, probability double, accepted boolean"))]
     kept = [F.col(c).alias(h) for c, (h, _) in zip(keep, back)]
     if not n:
         return rows.select(*[F.col(c).alias(o) for c, (_, o) in zip(keep, back)], F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("probability"), F.lit(False).alias("accepted"))

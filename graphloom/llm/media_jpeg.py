@@ -370,11 +370,15 @@ def media_columns(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return K.small_batches(rows).mapInArrow(K.tidy(run), OUT)
 
 
+FOUND = "width long, height long, thumbnail binary, thumbnail_hash string"
+
+
 def decode_column(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ()) -> DataFrame:
-    """width, height, thumbnail and thumbnail_hash of a column of JPEG bytes, with the columns to keep."""
-    kept = df.select(*keep, F.col(media).cast("binary").alias("__media"))
+    """width, height, thumbnail and thumbnail_hash of a column of JPEG bytes, with the columns to keep (those with one of
+    these names as <name>_kept)."""
+    kept = df.select(*[F.col(c).alias(n) for c, n in zip(keep, K.kept_names(keep, FOUND))], F.col(media).cast("binary").alias("__media"))
     schema = kept.schema
-    fields = [f.simpleString().replace(":", " ", 1) for f in schema.fields[:-1]]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields[:-1]]
 
     def run(batches):
         for batch in batches:
@@ -383,7 +387,7 @@ def decode_column(df: DataFrame, media: str = "media", keep: tuple[str, ...] = (
                 (lambda r: r[0], pa.int64()), (lambda r: r[1], pa.int64()), (lambda r: r[2].tobytes(), pa.binary()), (lambda r: thumbnail_hash(r[2]), pa.string()))]
             yield pa.RecordBatch.from_arrays(batch.columns[:-1] + cols, names=batch.schema.names[:-1] + ["width", "height", "thumbnail", "thumbnail_hash"])
 
-    return K.small_batches(kept).mapInArrow(K.tidy(run), ", ".join(fields + ["width long", "height long", "thumbnail binary", "thumbnail_hash string"]))
+    return K.small_batches(kept).mapInArrow(K.tidy(run), ", ".join([*fields, FOUND]))
 
 
 def op10_media_jpeg(spark, sf_dir: str) -> DataFrame:

@@ -322,9 +322,7 @@ def suffix_array_dedup(
     """One row per row of docs: sizes, the kept bytes, the removed spans, and the columns to carry.
 
     buckets, parts: numbers of text buckets and of hash ranges, from the corpus' size and bucket_bytes unless given.
-    Columns to carry that are named like the operator's own are refused."""
-    if clash := {c.lower() for c in carry} & {f.split()[0] for f in OUT.split(", ")}:
-        raise ValueError(f"columns to carry clash with the result's: {', '.join(sorted(clash))}")
+    Columns to carry that are named like one of the operator's own are <name>_kept in the result."""
     if not 1 <= gram <= window or gram % 8 and gram > 8:
         raise ValueError("gram must be at most window, and a multiple of 8 above 8")
     n = buckets or K.buckets_of(K.corpus_bytes(docs, text), bucket_bytes)
@@ -332,7 +330,8 @@ def suffix_array_dedup(
     shards = 2 * m_parts  # a shard's suffix array takes about 60 bytes a byte of its distinct strings
     code = K.Ids(docs, doc_id)
     packed = K.pack(docs, n, code, doc_id, text, carry, bucket_bytes)
-    carried = [docs.schema[c] for c in carry]
+    names = K.kept_names(carry, OUT.replace("<start:long,end:long>", ""))
+    carried = "".join(f", `{n}` {docs.schema[c].dataType.simpleString()}" for c, n in zip(carry, names))
 
     def ask(table: pa.Table) -> pa.Table:
         ids, buf, off = K.unpack(table)
@@ -402,7 +401,7 @@ def suffix_array_dedup(
 
     def cover(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return K.beside(_empty(code), None, carry)
+            return K.beside(_empty(code), None, names)
         part = np.asarray(replies["part"])
         ids, buf, off, doc, start, n_win, anchor, _, first, unique_of = _candidates(table, replies.filter(pa.array(part >= 0)), m_parts, window, gram)
         late = replies.filter(pa.array(part < 0)).sort_by([("part", "descending")])
@@ -423,9 +422,9 @@ def suffix_array_dedup(
             np.add.at(edge, where, 1)
             np.add.at(edge, where + window, -1)
         gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
-        return K.beside(_digest(ids, buf, off, gone, code), K.carried(table) if carry else None, carry)
+        return K.beside(_digest(ids, buf, off, gone, code), K.carried(table) if carry else None, names)
 
-    return packed.groupBy("bucket").cogroup(both.groupBy("bucket")).applyInArrow(cover, OUT + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in carried))
+    return packed.groupBy("bucket").cogroup(both.groupBy("bucket")).applyInArrow(cover, OUT + carried)
 
 
 def _empty(code: K.Ids) -> pa.Table:

@@ -58,7 +58,8 @@ def brute_windows(rows, units, window):
 
 @pytest.mark.parametrize("window,gram,buckets", [(50, 16, 6), (50, 16, 1), (20, 8, 3), (6, 4, 3)])
 def test_suffix_array_dedup(docs, none, window, gram, buckets):
-    got = suffix_dedup.suffix_array_dedup(docs, window=window, gram=gram, buckets=buckets, carry=("source",)).collect()
+    got = suffix_dedup.suffix_array_dedup(docs, window=window, gram=gram, buckets=buckets, carry=("source", "kept")).collect()
+    assert "kept_kept" in got[0] and "source" in got[0]
     want = []
     for i, u, gone in brute_windows(ROWS, lambda t: list((t or "").encode()), window):
         spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
@@ -123,6 +124,30 @@ def test_extreme_ids(spark, ids):
     assert sorted(str(r.doc_id) for r in lm_score.lm_score(df, buckets=2).collect()) == sorted(map(str, ids + ids))
 
 
+def test_texts_longer_than_a_bucket(spark):
+    """Texts of up to 130 KB, in buckets of 4 KB; as media they take several images."""
+    import random
+
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choices("abcdefgh\u00e9", k=rng.randint(1, 9))) for _ in range(900)]
+    long = " ".join(rng.choices(vocabulary, k=20000))
+    rows = [(1, long[5000:9000]), (2, long), (3, "x" * 60000), (4, "x" * 400), (5, long[80000:81000] + " y"), (6, "w" * 700 + " z " + "w" * 700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in suffix_dedup.suffix_array_dedup(df, bucket_bytes=4096).collect()}
+    want = {i: (len(u), bytes(b for b, g in zip(u, gone) if not g)) for i, u, gone in brute_windows(rows, lambda t: list(t.encode()), 50)}
+    assert {i: (r.n_bytes, bytes(r.kept)) for i, r in got.items()} == want
+    got = {r.doc_id: (r.n_words, r.kept) for r in substring_dedup.substring_dedup(df, bucket_bytes=4096).collect()}
+    words = brute_windows(rows, lambda t: WORD.findall(t.encode()), 13)
+    assert got == {i: (len(u), b" ".join(w for w, g in zip(u, gone) if not g).decode()) for i, u, gone in words}
+    assert {r.doc_id: r.n_words for r in lm_score.lm_score(df, bucket_bytes=4096).collect()} == {i: len(t.split()) for i, t in rows}
+    media = {r.doc_id: r for r in media_jpeg.media_columns(df.unionByName(spark.createDataFrame([(7, "q" * 1_200_000)], "doc_id long, text string"))).collect()}
+    assert all(bytes(media[i].thumbnail).rstrip(b"\0") == t.encode() for i, t in [*rows, (7, "q" * 1_200_000)])
+    import xxhash
+
+    fp = {r.doc_id: r.fp % 2**64 for r in simhash.fingerprints(df).collect()}
+    assert fp[6] == xxhash.xxh64_intdigest(rows[5][1], 42)
+
+
 def test_words_that_fool_polynomials(spark):
     a = "".join("ab"[i.bit_count() & 1] for i in range(2048))
     tail = " ".join(f"w{i}" for i in range(12))
