@@ -1,171 +1,6 @@
-"""From raw documents to encoded, deduplicated, decontaminated ones: five stages of graphloom.llm.
+"""From raw documents to encoded, deduplicated, decontaminated ones: the stages of graphloom.llm.pipeline, where they are
+described.  This module belongs to that subpackage and cannot be imported without it."""
 
-Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the columns of
-``documents``.  Between stages the rows are written as Parquet, so each works on all that its predecessor
-kept and a lost executor costs at most one stage.
+from graphloom.llm.pipeline import ORACLE_SQL, STAGES, run
 
-Language ID, near copies and leaks are decided by row: each of these stages numbers the rows of its input, so
-rows without an id and rows that repeat one are judged like all others.
-"""
-
-from __future__ import annotations
-
-import os
-import tempfile
-import uuid
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from graphloom.llm import blocks as K
-from graphloom.llm import decontaminate as _bench
-from graphloom.llm import language_id as _lang
-from graphloom.llm import near_copies as _near
-from graphloom.llm import sentencepiece_backend as _pieces
-from graphloom.llm import simhash as _simhash
-from graphloom.llm import suffix_dedup as _suffix
-from graphloom.llm.components import checkpointed, components
-
-#: Rows to drop are broadcast up to this number (8 bytes each); beyond it they meet the rows in a shuffle.
-BROADCAST_IDS = 1_000_000
-
-
-def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with a number for each row, written once so that all uses see the same numbers."""
-    return checkpointed(docs.withColumn("__row", F.monotonically_increasing_id()))
-
-
-def _without(rows: DataFrame, drop: DataFrame) -> DataFrame:
-    """Numbered rows but those whose numbers (the first column of drop) are given, without numbers."""
-    drop = checkpointed(drop.select(F.col(drop.columns[0]).alias("__drop")).distinct())
-    small = drop.count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(drop) if small else drop.hint("merge"), rows["__row"] == drop["__drop"], "left_anti").drop("__row")
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language: no letters, or none that is more likely than all others together.
-
-    Without labelled documents there is no model, and none is rejected."""
-    model = _lang.fit(docs)
-    if not model.languages:
-        return docs
-    rows = _numbered(docs)
-    judged = _lang.language_id(rows, model, ("__row",), text="text", host="source")
-    return _without(rows, judged.where("NOT accepted").select("__row"))
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the smallest id of each component of near copies (null ids last, one row of equal ids).
-
-    Two documents are near copies if op8's fingerprints are within its radius, or if the Jaccard similarity of
-    their five-word shingles is at least 0.8, which a radius does not decide."""
-    rows = _numbered(docs)
-    members = checkpointed(_components(rows, "__row").join(rows.select("__row", "doc_id"), "__row"))
-    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first"))
-    return _without(rows, members.join(first, "component_id").where("__row <> first.__row").select("__row"))
-
-
-def _components(docs: DataFrame, key: str) -> DataFrame:
-    """(key, component_id) over links of fingerprints and of shingle sets; component_id is the smallest key."""
-    prints = _simhash.simhash_dedup(docs, key).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    sets = _near.near_copies(docs, key).select(F.col("key").alias("a"), F.col("group").alias("b"))
-    found = components(prints.unionByName(sets).where("a <> b"))
-    return found.select(F.col("node").alias(key), F.col("root").alias("component_id"))
-
-
-def trim_edges(buf: np.ndarray, off: np.ndarray, edge: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Which bytes of texts (from off) belong to a character that was cut at one of the edges (ascending, with their rows).
-
-    Before an edge, a lead byte and what follows it go if they are fewer than the lead byte asks for; behind it, the
-    continuation bytes up to the first other byte.  Neither looks beyond the next edge or the text's end."""
-    gone = np.zeros(len(buf), bool)
-    lead = np.select([buf >= 0xF0, buf >= 0xE0, buf >= 0xC0], [4, 3, 2], 1)
-    tail = (buf & 0xC0) == 0x80
-    same = row[1:] == row[:-1]
-    low, high = off[row].copy(), off[row + 1].copy()
-    low[1:][same] = edge[:-1][same]
-    high[:-1][same] = edge[1:][same]
-    for step, end in ((-1, low), (1, high)):
-        at = np.arange(len(edge))
-        for k in range(1, 4):
-            place = edge[at] - k if step < 0 else edge[at] + k - 1
-            inside = place >= end[at] if step < 0 else place < end[at]
-            at, place = at[inside], place[inside]
-            if step > 0:
-                at, place = at[tail[place]], place[tail[place]]
-                gone[place] = True
-            else:
-                cut = lead[place] > k
-                for j in range(k):
-                    gone[place[cut] + j] = True
-                at = at[tail[place]]
-    return gone
-
-
-def _whole_characters():
-    """A function of kept bytes and removed spans: the bytes without the parts of characters that the spans have cut."""
-
-    def run(kept: pa.Array, spans: pa.Array) -> pa.Array:
-        buf, off = K.string_buffer(kept)
-        n = np.asarray(pc.fill_null(pc.list_value_length(spans), 0)).astype(np.int64)
-        flat = pc.list_flatten(spans)
-        start, end = (np.asarray(pc.struct_field(flat, name)).astype(np.int64) for name in ("start", "end"))
-        row, _ = K.spread(n)
-        before = np.cumsum(end - start) - (end - start)
-        first = (np.cumsum(n) - n)[row]
-        gone = trim_edges(buf, off, off[row] + start - (before - before[first]), row)
-        sums = np.concatenate([[0], np.cumsum(~gone)])
-        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(kept), [None, pa.py_buffer(sums[off].astype(np.int64)), pa.py_buffer(buf[~gone])]).cast(pa.binary())
-
-    return F.arrow_udf(run, "binary")
-
-
-def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes bytes of 50-byte strings that documents with smaller ids hold; documents left empty by it go.
-
-    A character that a cut leaves incomplete goes too, and nothing else; n_chars follows the text."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    hidden = tuple(f"__{i}" for i in range(len(others)))  # no clash with the operator's columns
-    rows = docs.select("doc_id", "text", *[F.col(c).alias(h) for c, h in zip(others, hidden)])
-    out = _suffix.suffix_array_dedup(rows, carry=hidden).where("NOT (n_bytes > 0 AND n_removed = n_bytes)")
-    text = _whole_characters()(F.col("kept"), F.col("spans")).cast("string")
-    out = out.select("doc_id", text.alias("text"), *[F.col(h).alias(c) for c, h in zip(others, hidden)])
-    if "n_chars" in others:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
-
-
-def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that contain at least 0.8 of a benchmark item's shingles."""
-    rows = _numbered(docs)
-    leaks = _bench.decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "__row")
-    return _without(rows, leaks.select("doc_id"))
-
-
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, with parity and the decoded text."""
-    return _pieces.sentencepiece_encode(docs).withColumn("n_tokens", F.size("ids").cast("long"))
-
-
-STAGES = [
-    ("language_id", language),
-    ("simhash_near_dedup", near_duplicates),
-    ("suffix_array_dedup", repeated_passages),
-    ("benchmark_decontamination", benchmark_leaks),
-    ("sentencepiece", encode),
-]
-#: SimHash needs XXH64 and language ID a fitted model, which SQL cannot express.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another over documents, each written and read again."""
-    folder = os.path.join(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-pipeline-"), f"pipeline-{uuid.uuid4().hex}")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

@@ -82,8 +82,7 @@ class CompiledPlan:
         return "\n".join(lines + ([self.suffix.describe()] if self.suffix else []))
 
     def relations(self, graph: Graph | None = None) -> match.Relations:
-        g = graph or self.graph
-        return match.Relations(g.persisted(), g.num_edges, g.largest_id, g.auxiliary)
+        return match.Relations(graph or self.graph)
 
     def matches(self, graph: Graph | None = None) -> DataFrame:
         """The occurrences themselves: v0 .. v{k-1} by matching order, each once."""

@@ -132,7 +132,7 @@ class Graph:
     def exact_metadata(self) -> MetaData:
         """Statistics with exact triangle counts, as preprocessing stores them."""
         v, e, degree, offset = self._summary
-        total, most = S.raw_triangles(self.persisted()).agg(F.coalesce(F.sum("triangles"), F.lit(0)), F.coalesce(F.max("triangles"), F.lit(0))).first()
+        total, most = self.raw_triangles().agg(F.coalesce(F.sum("triangles"), F.lit(0)), F.coalesce(F.max("triangles"), F.lit(0))).first()
         return MetaData(v, e, total // 6, degree, offset, max(most, degree), e / v if v else 0.0)
 
     def degrees(self) -> DataFrame:
@@ -141,8 +141,15 @@ class Graph:
     def adjacency(self) -> DataFrame:
         return S.adjacency(self.edges)
 
+    def triangles(self) -> DataFrame:
+        """(a, b, c) of every triangle once; persisted, for statistics and plans."""
+        if "triangles" not in self.auxiliary or not self.auxiliary["triangles"].storageLevel.useMemory:
+            t = F.sort_array(F.array("a", "b", "c"), asc=False)
+            self.auxiliary["triangles"] = S.triangle_list(self.persisted()).select(t.alias("t")).select(*[F.col("t")[i].alias(n) for i, n in enumerate("abc")]).persist()
+        return self.auxiliary["triangles"]
+
     def raw_triangles(self) -> DataFrame:
-        return S.raw_triangles(self.edges)
+        return S.raw_triangles(self.persisted(), self.triangles())
 
     def problems(self) -> DataFrame:
         return S.problems(self.edges)
@@ -172,7 +179,7 @@ class Graph:
     def save(self, folder: str) -> MetaData:
         """Adjacency with triangle counts as Parquet, and exact metadata."""
         e, meta = self.persisted(), self.exact_metadata()
-        binary.write_parquet(S.adjacency(e).join(S.raw_triangles(e), "vid"), folder)
+        binary.write_parquet(S.adjacency(e).join(self.raw_triangles(), "vid"), folder)
         files.write(e.sparkSession, files.join(folder, "meta.json"), json.dumps(asdict(meta)).encode())
         return meta
 
@@ -186,7 +193,7 @@ class Graph:
             raise ValueError("ids must be dense; use from_edges(..., dense=True)")
         degree = np.bincount(src, minlength=n)
         tri = np.zeros(n, np.int64)
-        for vid, t in S.raw_triangles(e).collect():
+        for vid, t in self.raw_triangles().collect():
             tri[vid] = t
         binary.write_arrays(e.sparkSession, folder, {"indptr": np.concatenate([[0], np.cumsum(degree)]), "indices": dst, "triangle": tri, "offset": np.bincount(src[dst < src], minlength=n), "degree": degree})
         binary.write_meta(e.sparkSession, folder, dict(zip(binary.FIELDS, (n, meta.num_edge, int(tri.sum()), meta.max_degree, meta.max_offset, meta.max_triangle, meta.scheduler_avg_degree))))

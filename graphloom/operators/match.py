@@ -17,7 +17,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.statistics import adjacency, degrees, triangle_list
+from ..functions.statistics import adjacency, degrees
 from ..plans.inclusion_exclusion import SuffixCount
 from ..plans.pruning import Auxiliary
 from ..plans.schedule import Schedule
@@ -29,10 +29,10 @@ BROADCAST_ROWS = 2_000_000
 class Relations:
     """The edges that a plan reads, sized."""
 
-    def __init__(self, edges: DataFrame, rows: int, top: int, auxiliary: dict | None = None, broadcast_rows: int = BROADCAST_ROWS):
-        self.edges, self.rows, self.small = edges, rows, rows <= broadcast_rows
-        self.auxiliary: dict = {} if auxiliary is None else auxiliary
-        self.shift = top + 1
+    def __init__(self, graph, broadcast_rows: int = BROADCAST_ROWS):
+        self.graph, self.edges = graph, graph.persisted()
+        self.small, self.auxiliary = graph.num_edges <= broadcast_rows, graph.auxiliary
+        self.shift = graph.largest_id + 1
         if self.shift**2 >= 1 << 63:
             raise ValueError("ids must be below 3037000499; use dense ids")
         self._adjacency: DataFrame | None = None
@@ -62,12 +62,7 @@ class Relations:
 
     def triangles(self) -> DataFrame:
         """(a, b, c): every triangle once, a > b > c; of the whole graph, kept for all plans."""
-
-        def make() -> DataFrame:
-            t = F.sort_array(F.array("a", "b", "c"), asc=False)
-            return triangle_list(self.edges).select(t.alias("t")).select(*[F.col("t")[i].alias(n) for i, n in enumerate("abc")])
-
-        return self.kept("triangles", make, True)
+        return self.graph.triangles()
 
     def cliques(self) -> DataFrame:
         """(a, b, c, d): every 4-clique once, a > b > c > d, from three triangles each."""

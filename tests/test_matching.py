@@ -105,7 +105,7 @@ def test_shuffled_plans_give_the_same(spark, small, pruning):
     try:
         for k in bounds:
             spark.conf.set(k, "-1")
-        r = match.Relations(g.persisted(), g.num_edges, g.largest_id, broadcast_rows=0)
+        r = match.Relations(g, broadcast_rows=0)
         rows = match.matches(plan.schedule, r, True, plan.auxiliary)
         assert rows.count() == brute(adj, Pattern(CATALOGUE["p3"]), True)
         text = rows._jdf.queryExecution().executedPlan().toString()
@@ -139,7 +139,7 @@ def test_common_neighbours_of_cliques(spark):
     plan = compile_plan(g, CATALOGUE["p4"], "edge", "eager", scheduler="structural")
     assert {len(at) for at in plan.auxiliary.closed.values()} == {2, 3} and plan.auxiliary.bounded
     assert plan.run().result == brute(adj, Pattern(CATALOGUE["p4"]), False) > 0
-    r = match.Relations(g.persisted(), g.num_edges, g.largest_id)
+    r = match.Relations(g)
     for size in (2, 3):
         cliques = [c for c in combinations(range(10), size + 1) if all(b in adj[a] for a, b in combinations(c, 2))]
         for bounded in (True, False):
