@@ -11,7 +11,9 @@ distinct one once.  A document without words has an empty set, which equals othe
    decides only how many candidates there are.
 3. The shingles kept go to hash ranges as packed arrays, equal sets once a batch of texts; sets that meet in
    l(n) shingles and whose sizes allow the threshold are candidates.
-4. Candidates are verified by all of their shingles' 64-bit hashes.
+4. Candidates are bounded by bitmaps of their shingles (8 bits and more a shingle): a bit that one set has and the other
+   has not is a shingle that they do not share.  Those that this does not rule out are verified by all of their
+   shingles' 64-bit hashes.
 
 Equal sets are one before candidates are made.  Beyond that, meetings in a shingle grow with the square of the
 distinct sets that have it among those kept.
@@ -114,6 +116,24 @@ def _summed(t: np.ndarray) -> np.ndarray:
     return np.stack([t[0, at], t[1, at], np.add.reduceat(t[2], at), t[3, at]])
 
 
+def bitmap(h: np.ndarray) -> bytes:
+    """A bit for each value of the hashes' last digits; sizes are powers of two, so that a larger one folds to a smaller."""
+    out = np.zeros(max(64, 8 << max(len(h) - 1, 0).bit_length()), bool)
+    out[(h & U(len(out) - 1)).astype(np.int64)] = True
+    return np.packbits(out).tobytes()
+
+
+def most_shared(x: bytes, y: bytes, n_x: int, n_y: int) -> int:
+    """An upper bound of how many shingles two sets share, by their bitmaps and sizes."""
+    a, b = (np.unpackbits(np.frombuffer(v, np.uint8)) for v in (x, y))
+    while len(a) != len(b):
+        if len(a) > len(b):
+            a = a[: len(a) // 2] | a[len(a) // 2 :]
+        else:
+            b = b[: len(b) // 2] | b[len(b) // 2 :]
+    return int(min(n_x - (a > b).sum(), n_y - (b > a).sum()))
+
+
 def near_copies(docs: DataFrame, key: str, text: str = "text", width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
     """(key, group) of every row: group is the smallest key reachable over pairs at the threshold. Keys are distinct longs."""
     sc = docs.sparkSession.sparkContext
@@ -188,29 +208,41 @@ def near_copies(docs: DataFrame, key: str, text: str = "text", width: int = WIDT
     kept = K.small_batches(rows).mapInArrow(K.tidy(send), "part int, body binary").repartition(parts, "part")
     met = kept.groupBy("part").applyInArrow(meet, "a long, b long, shared long, least long")
     pairs = checkpointed(met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("least").alias("least")).where("shared >= least").select("a", "b"))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("of")).distinct()
-    one = checkpointed(sets.join(ends, "of", "left_semi").groupBy("of").agg(F.min("key").alias("key")).select("key"))
-    one = F.broadcast(one) if one.count() <= BROADCAST else one
 
-    def whole(rows_, h, n, of):
-        end = np.cumsum(n)
-        bodies = [h[a:b].tobytes() for a, b in zip((end - n).tolist(), end.tolist())]
-        yield pa.RecordBatch.from_arrays([pa.array(of.view(np.int64)), pa.array(bodies, pa.binary())], names=["of", "body"])
+    def chosen(pairs: DataFrame) -> DataFrame:
+        """(key, text) of one document of every set in the pairs."""
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("of")).distinct()
+        one = checkpointed(sets.join(ends, "of", "left_semi").groupBy("of").agg(F.min("key").alias("key")).select("key"))
+        return rows.join(F.broadcast(one) if one.count() <= BROADCAST else one, "key", "left_semi").select("key", "text")
 
-    chosen = rows.join(one, "key", "left_semi").select("key", "text")
-    bodies = checkpointed(K.small_batches(chosen).mapInArrow(each(late, whole), "of long, body binary"))
+    def of_sets(pairs: DataFrame, make) -> DataFrame:
+        """The pairs, with what make gives for the sets of both: (n, body) as (n_a, x) and (n_b, y)."""
 
-    def verify(batches):
-        for batch in batches:
-            good = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good[i] = both >= threshold * (len(x) + len(y) - both) - 1e-9
-            yield batch.select([0, 1]).filter(pa.array(good))
-
-    full = pairs.join(bodies.select(F.col("of").alias("a"), F.col("body").alias("x")), "a").join(bodies.select(F.col("of").alias("b"), F.col("body").alias("y")), "b")
-    links = K.small_batches(full.select("a", "b", "x", "y")).mapInArrow(K.tidy(verify), "a long, b long")
+        def each_set(rows_, h, n, of):
+            end = np.cumsum(n)
+            bodies = [make(h[i:j]) for i, j in zip((end - n).tolist(), end.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(of.view(np.int64)), pa.array(n, pa.int64()), pa.array(bodies, pa.binary())], names=["of", "n", "body"])
+
+        bodies = K.small_batches(chosen(pairs)).mapInArrow(each(late, each_set), "of long, n long, body binary")
+        left, right = (bodies.select(F.col("of").alias(s), F.col("n").alias(f"n_{s}"), F.col("body").alias(t)) for s, t in (("a", "x"), ("b", "y")))
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "x", "n_b", "y")
+
+    def keep(test):
+        def run(batches):
+            for batch in batches:
+                good = [test(x.as_buffer(), y.as_buffer(), n, m) for n, x, m, y in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4).to_pylist(), batch.column(5))]
+                yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+        return K.tidy(run)
+
+    def near(shared: int, n: int, m: int) -> bool:
+        return shared >= threshold * (n + m - shared) - 1e-9
+
+    def verified(x, y, n, m) -> bool:
+        return near(len(np.intersect1d(np.frombuffer(x, U), np.frombuffer(y, U), assume_unique=True)), n, m)
+
+    possible = checkpointed(K.small_batches(of_sets(pairs, bitmap)).mapInArrow(keep(lambda x, y, n, m: near(most_shared(x, y, n, m), n, m)), "a long, b long"))
+    links = K.small_batches(of_sets(possible, lambda h: h.tobytes())).mapInArrow(keep(verified), "a long, b long")
     found = components(links)
     rooted = sets.join(found, sets["of"] == found["node"], "left").select("key", F.coalesce("root", "of").alias("root"))
     low = rooted.groupBy("root").agg(F.min("key").alias("group"))

@@ -34,8 +34,11 @@ BROADCAST_IDS = 1_000_000
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with a number for each row, written once so that all uses see the same numbers."""
-    return checkpointed(docs.withColumn("__row", F.monotonically_increasing_id()))
+    """docs with a number for each row, the same wherever it is used: files that are read as they are give the same rows in
+    the same order each time; anything else is written once."""
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    files_alone = docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+    return rows if files_alone else checkpointed(rows)
 
 
 def _without(rows: DataFrame, drop: DataFrame) -> DataFrame:

@@ -3,8 +3,13 @@
 import random
 import re
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from graphloom.llm import blocks as K
 from graphloom.llm import pipeline as corpus_pipeline
 from graphloom.llm import near_copies, simhash
 from tests.llm.test_operators import ROWS
@@ -62,6 +67,24 @@ def test_near_copies(spark, monkeypatch, frequent):
     assert near_copies.near_copies(df.limit(0), "i").count() == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.sets(st.integers(0, 400), max_size=90), st.sets(st.integers(0, 400), max_size=30))
+def test_bitmaps_bound_what_is_shared(a, b):
+    x, y = (K.mix(np.array(sorted(v), np.uint64)) for v in (a, b))
+    most = near_copies.most_shared(near_copies.bitmap(x), near_copies.bitmap(y), len(a), len(b))
+    assert len(a & b) <= most <= min(len(a), len(b))
+    assert near_copies.most_shared(near_copies.bitmap(x), near_copies.bitmap(x), len(a), len(a)) == len(a)
+
+
+def test_rows_keep_their_numbers(spark, tmp_path):
+    """Over several files and uses with other columns and filters."""
+    spark.range(5000).selectExpr("id AS doc_id", "concat('t', id) AS text").repartition(7).write.parquet(f"{tmp_path}/d")
+    rows = corpus_pipeline._numbered(spark.read.parquet(f"{tmp_path}/d"))
+    assert "ExistingRDD" not in rows._jdf.queryExecution().toString() and rows.select("__row").distinct().count() == 5000
+    both = rows.select("__row", "doc_id").join(rows.where("text LIKE '%7%'").select(F.col("__row"), F.col("text")), "__row")
+    assert both.count() > 1000 and both.where("text <> concat('t', doc_id)").count() == 0
+
+
 def test_near_duplicates_keeps_one_of_each_component(spark):
     texts = corpus()
     sets = [shingles(t) for t in texts]
