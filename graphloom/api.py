@@ -93,9 +93,10 @@ class CompiledPlan:
 
     def counts(self, graph: Graph | None = None) -> DataFrame:
         """One row, one column: matches. Nothing runs until it is read."""
+        g = (graph or self.graph).ranked()
         if self.suffix is not None:
-            return match.suffix_counts(self.schedule, self.suffix, self.relations(graph), self.auxiliary)
-        return self.matches(graph).agg(F.count("*").alias("matches"))
+            return match.suffix_counts(self.schedule, self.suffix, self.relations(g), self.auxiliary)
+        return self.matches(g).agg(F.count("*").alias("matches"))
 
     @property
     def generated_code(self) -> str:

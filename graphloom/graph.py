@@ -16,6 +16,10 @@ from .plans.schedule import Stats
 from .sources import binary, edges as E, files
 
 
+#: A vertex of so many times the average degree is a hub.
+HUB = 32
+
+
 @dataclass(frozen=True)
 class MetaData:
     """num_edge counts directed entries, num_triangle distinct triangles, max_triangle a vertex's raw count
@@ -45,6 +49,7 @@ class Graph:
         self._triangles, self._meta = triangles, meta
         #: Relations that pruned plans share (operators.match.Relations.kept).
         self.auxiliary: dict = {}
+        self._ranked: Graph | None = None
 
     # -- sources
 
@@ -166,6 +171,17 @@ class Graph:
         e = self.persisted()
         return Graph(S.relabelled(e, S.degree_order(e)), triangles=self._triangles, name=self.name)
 
+    def ranked(self) -> Graph:
+        """The same graph, relabelled by degree if it has hubs (a degree over HUB averages): for counts, which do not depend
+        on ids, upper bounds then cut hubs' lists. Made once."""
+        v, e, degree = (self._meta.num_vertex, self._meta.num_edge, self._meta.max_degree) if self._meta else self._summary[:3]
+        if degree * v <= HUB * e:
+            return self
+        if self._ranked is None:
+            self._ranked = self.reordered()
+            self._ranked._ranked = self._ranked
+        return self._ranked
+
     def persisted(self) -> DataFrame:
         if not self.edges.storageLevel.useMemory:
             self.edges.persist()
@@ -175,6 +191,8 @@ class Graph:
         for df in [self.edges, *self.auxiliary.values()]:
             df.unpersist()
         self.auxiliary.clear()
+        if self._ranked not in (None, self):
+            self._ranked.unpersist()
 
     def save(self, folder: str) -> MetaData:
         """Adjacency with triangle counts as Parquet, and exact metadata."""

@@ -148,6 +148,17 @@ def test_common_neighbours_of_cliques(spark):
             assert sorted(map(tuple, r.closed(size, bounded, False).collect())) == want and want
 
 
+def test_hubs_are_relabelled_for_counts(spark):
+    """A hub of 300 leaves among a few triangles: counts by rank, occurrences by the given ids."""
+    rows = [(0, i) for i in range(1, 301)] + [(i, i + 1) for i in range(1, 40, 3)]
+    g = Graph.from_edges(spark.createDataFrame(rows, "src long, dst long"))
+    assert g.ranked() is not g and g.ranked().ranked() is g.ranked()
+    plan = compile_plan(g, CATALOGUE["triangle"], "edge", "none", scheduler="structural")
+    assert plan.run().result == 13 and {max(r) for r in plan.matches().collect()} == {i + 1 for i in range(1, 40, 3)}
+    assert compile_plan(g, CATALOGUE["star3"], "edge_iep").run().result == 300 * 299 * 298 // 6
+    g.unpersist()
+
+
 def test_metrics(small):
     g, _ = small
     r = compile_plan(g, CATALOGUE["triangle"], "edge", "none").run(metrics=True)
