@@ -35,8 +35,10 @@ REPLY = "bucket int, part int, body binary"
 #: Bytes of text in one bucket. 4 MB suits Python workers of about 200 MB; on executors with more
 #: memory larger buckets mean fewer, larger shuffle blocks.
 BUCKET_BYTES = 4 << 20
+#: Bytes of texts that a task sorts into buckets at once.
+HELD_BYTES = 12 << 20
 #: Bounds of one Arrow batch.
-BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 1000
 _C1, _C2, _C3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -342,7 +344,7 @@ def pack(docs: DataFrame, buckets: int, ids_: Ids, doc_id: str = "doc_id", text:
                     g, k = spread(lens[rows])
                     held.setdefault(int(to[rows[0]]), []).append((ids[rows], lens[rows], buf[off[rows][g] + k], batch.select(range(3, 3 + len(carry))).take(pa.array(rows)) if carry else None))
             size += len(buf)
-            if size > 8 * bucket_bytes:
+            if size > HELD_BYTES:
                 yield from out()
                 held, size = {}, 0
         yield from out()

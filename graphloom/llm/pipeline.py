@@ -12,15 +12,11 @@ from __future__ import annotations
 
 import uuid
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import files
 from ..sources.tables import shared_folder
-from . import blocks as K
 from . import decontaminate as _bench
 from . import language_id as _lang
 from . import near_copies as _near
@@ -79,53 +75,6 @@ def _components(docs: DataFrame, key: str) -> DataFrame:
     return found.select(F.col("node").alias(key), F.col("root").alias("component_id"))
 
 
-def trim_edges(buf: np.ndarray, off: np.ndarray, edge: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Which bytes of texts (from off) belong to a character that was cut at one of the edges (ascending, with their rows).
-
-    Before an edge, a lead byte and what follows it go if they are fewer than the lead byte asks for; behind it, the
-    continuation bytes up to the first other byte.  Neither looks beyond the next edge or the text's end."""
-    gone = np.zeros(len(buf), bool)
-    lead = np.select([buf >= 0xF0, buf >= 0xE0, buf >= 0xC0], [4, 3, 2], 1)
-    tail = (buf & 0xC0) == 0x80
-    same = row[1:] == row[:-1]
-    low, high = off[row].copy(), off[row + 1].copy()
-    low[1:][same] = edge[:-1][same]
-    high[:-1][same] = edge[1:][same]
-    for step, end in ((-1, low), (1, high)):
-        at = np.arange(len(edge))
-        for k in range(1, 4):
-            place = edge[at] - k if step < 0 else edge[at] + k - 1
-            inside = place >= end[at] if step < 0 else place < end[at]
-            at, place = at[inside], place[inside]
-            if step > 0:
-                at, place = at[tail[place]], place[tail[place]]
-                gone[place] = True
-            else:
-                cut = lead[place] > k
-                for j in range(k):
-                    gone[place[cut] + j] = True
-                at = at[tail[place]]
-    return gone
-
-
-def _whole_characters():
-    """A function of kept bytes and removed spans: the bytes without the parts of characters that the spans have cut."""
-
-    def run(kept: pa.Array, spans: pa.Array) -> pa.Array:
-        buf, off = K.string_buffer(kept)
-        n = np.asarray(pc.fill_null(pc.list_value_length(spans), 0)).astype(np.int64)
-        flat = pc.list_flatten(spans)
-        start, end = (np.asarray(pc.struct_field(flat, name)).astype(np.int64) for name in ("start", "end"))
-        row, _ = K.spread(n)
-        before = np.cumsum(end - start) - (end - start)
-        first = (np.cumsum(n) - n)[row]
-        gone = trim_edges(buf, off, off[row] + start - (before - before[first]), row)
-        sums = np.concatenate([[0], np.cumsum(~gone)])
-        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(kept), [None, pa.py_buffer(sums[off].astype(np.int64)), pa.py_buffer(buf[~gone])]).cast(pa.binary())
-
-    return F.arrow_udf(run, "binary")
-
-
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes bytes of 50-byte strings that documents with smaller ids hold; documents left empty by it go.
 
@@ -133,9 +82,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     hidden = tuple(f"__{i}" for i in range(len(others)))  # no clash with the operator's columns
     rows = docs.select("doc_id", "text", *[F.col(c).alias(h) for c, h in zip(others, hidden)])
-    out = _suffix.suffix_array_dedup(rows, carry=hidden).where("NOT (n_bytes > 0 AND n_removed = n_bytes)")
-    text = _whole_characters()(F.col("kept"), F.col("spans")).cast("string")
-    out = out.select("doc_id", text.alias("text"), *[F.col(h).alias(c) for c, h in zip(others, hidden)])
+    out = _suffix.suffix_array_dedup(rows, carry=hidden, characters=True).where("NOT (n_bytes > 0 AND n_removed = n_bytes)")
+    out = out.select("doc_id", F.col("kept").cast("string").alias("text"), *[F.col(h).alias(c) for c, h in zip(others, hidden)])
     if "n_chars" in others:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

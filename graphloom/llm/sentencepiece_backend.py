@@ -32,7 +32,7 @@ from . import blocks as K
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Bytes of text that are encoded together.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 4 << 20
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 

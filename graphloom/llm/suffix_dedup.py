@@ -317,11 +317,12 @@ def _candidates(table: pa.Table, replies: pa.Table, parts: int, window: int, gra
 
 def suffix_array_dedup(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, buckets: int | None = None,
-    carry: tuple[str, ...] = (), parts: int | None = None, bucket_bytes: int = K.BUCKET_BYTES,
+    carry: tuple[str, ...] = (), parts: int | None = None, bucket_bytes: int = K.BUCKET_BYTES, characters: bool = False,
 ) -> DataFrame:
     """One row per row of docs: sizes, the kept bytes, the removed spans, and the columns to carry.
 
     buckets, parts: numbers of text buckets and of hash ranges, from the corpus' size and bucket_bytes unless given.
+    characters: kept is without the parts of characters that a removed span has cut; what counts as removed stays the same.
     Columns to carry that are named like one of the operator's own are <name>_kept in the result."""
     if not 1 <= gram <= window or gram % 8 and gram > 8:
         raise ValueError("gram must be at most window, and a multiple of 8 above 8")
@@ -422,16 +423,45 @@ def suffix_array_dedup(
             np.add.at(edge, where, 1)
             np.add.at(edge, where + window, -1)
         gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
-        return K.beside(_digest(ids, buf, off, gone, code), K.carried(table) if carry else None, names)
+        return K.beside(_digest(ids, buf, off, gone, code, characters), K.carried(table) if carry else None, names)
 
     return packed.groupBy("bucket").cogroup(both.groupBy("bucket")).applyInArrow(cover, OUT + carried)
 
 
+def trim_edges(buf: np.ndarray, off: np.ndarray, edge: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Which bytes of texts (from off) belong to a character that was cut at one of the edges (ascending, with their rows).
+
+    Before an edge, a lead byte and what follows it go if they are fewer than the lead byte asks for; behind it, the
+    continuation bytes up to the first other byte.  Neither looks beyond the next edge or the text's end."""
+    gone = np.zeros(len(buf), bool)
+    lead = np.select([buf >= 0xF0, buf >= 0xE0, buf >= 0xC0], [4, 3, 2], 1)
+    tail = (buf & 0xC0) == 0x80
+    same = row[1:] == row[:-1]
+    low, high = off[row].copy(), off[row + 1].copy()
+    low[1:][same] = edge[:-1][same]
+    high[:-1][same] = edge[1:][same]
+    for step, end in ((-1, low), (1, high)):
+        at = np.arange(len(edge))
+        for k in range(1, 4):
+            place = edge[at] - k if step < 0 else edge[at] + k - 1
+            inside = place >= end[at] if step < 0 else place < end[at]
+            at, place = at[inside], place[inside]
+            if step > 0:
+                at, place = at[tail[place]], place[tail[place]]
+                gone[place] = True
+            else:
+                cut = lead[place] > k
+                for j in range(k):
+                    gone[place[cut] + j] = True
+                at = at[tail[place]]
+    return gone
+
+
 def _empty(code: K.Ids) -> pa.Table:
     return _digest(np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, bool), code)
 
 
-def _digest(ids: np.ndarray, buf: np.ndarray, off: np.ndarray, gone: np.ndarray, code: K.Ids) -> pa.Table:
+def _digest(ids: np.ndarray, buf: np.ndarray, off: np.ndarray, gone: np.ndarray, code: K.Ids, characters: bool = False) -> pa.Table:
     rise = gone.copy()
     rise[1:] &= ~gone[:-1]
     first = off[:-1][off[:-1] < off[1:]]
@@ -443,9 +473,14 @@ def _digest(ids: np.ndarray, buf: np.ndarray, off: np.ndarray, gone: np.ndarray,
     rise, fall = np.flatnonzero(rise), np.flatnonzero(fall) + 1
     span_off = np.searchsorted(rise, off)
     base = np.repeat(off[:-1], np.diff(span_off))
-    kept = buf[~gone].tobytes()
-    removed = np.concatenate([np.zeros(1, np.int32), np.cumsum(gone, dtype=np.int32)])[off].astype(np.int64)
+    kept = buf[~gone]
+    before = np.concatenate([np.zeros(1, np.int32), np.cumsum(gone, dtype=np.int32)])
+    removed = before[off].astype(np.int64)
     kept_off = off - removed
+    if characters:
+        cut = trim_edges(kept, kept_off, rise - before[rise], np.repeat(np.arange(len(ids)), np.diff(span_off)))
+        kept, kept_off = kept[~cut], kept_off - np.concatenate([[0], np.cumsum(cut)])[kept_off]
+    kept = kept.tobytes()
     pieces = [kept[a:b] for a, b in zip(kept_off[:-1].tolist(), kept_off[1:].tolist())]
     spans = pa.ListArray.from_arrays(
         pa.array(span_off, pa.int32()),
