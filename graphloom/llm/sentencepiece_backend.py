@@ -124,8 +124,8 @@ def build(model: Model):
 class Codec:
     """One task's encoder and decoder."""
 
-    #: Bytes of distinct words that are encoded as one string.
-    JOINED = 1 << 15
+    #: Bytes of distinct words that are encoded as one string, and strings of one batch.
+    JOINED, GROUP = 1 << 15, 8
 
     def __init__(self, data: bytes, verify: bool = True, spec: str | None = None):
         import sentencepiece
@@ -214,20 +214,22 @@ class Codec:
         solids = int(solid.sum())
         cut = np.unique(np.concatenate([np.searchsorted(begin[:solids], np.arange(0, begin[solids - 1] + 1, self.JOINED)), [solids]])) if solids else np.zeros(1, np.int64)
         spans = list(zip(cut[:-1].tolist(), cut[1:].tolist()))
-        joined = [raw[begin[a] : end[b - 1]].decode() for a, b in spans]
-        found = [np.array(e.ids, np.int32) for e in self.words.encode_batch_fast([x.replace(" ", MARK) for x in joined], add_special_tokens=False)]
-        want = self.reference.encode([x[1:] for x in joined], num_threads=1) if self.reference else [None] * len(joined)
-        back = self.decode([x.tolist() for x in found]) if decode else [x[1:] for x in joined]
         ids, numbers, good, odd, alone = [], [], np.ones(m, bool), {}, list(range(solids, m))
-        for (a, b), text, x, y, z in zip(spans, joined, found, want, back):
-            upto = np.cumsum(self.size[x])
-            tokens = np.searchsorted(upto, end[a:b] - begin[a], side="right")
-            whole = len(upto) and upto[-1] == end[b - 1] - begin[a] and np.array_equal(upto[tokens - 1], end[a:b] - begin[a])
-            if whole and z == text[1:] and (y is None or np.array_equal(x, np.array(y, np.int32))):
-                ids.append(x)
-                numbers.append(np.diff(np.concatenate([[0], tokens])))
-            else:
-                self._one_by_one(range(a, b), raw, begin, end, ids, numbers, good, odd, decode)
+        for i in range(0, len(spans), self.GROUP):
+            some = spans[i : i + self.GROUP]
+            joined = [raw[begin[a] : end[b - 1]].decode() for a, b in some]
+            found = [np.array(e.ids, np.int32) for e in self.words.encode_batch_fast([x.replace(" ", MARK) for x in joined], add_special_tokens=False)]
+            want = self.reference.encode([x[1:] for x in joined], num_threads=1) if self.reference else [None] * len(joined)
+            back = self.decode([x.tolist() for x in found]) if decode else [x[1:] for x in joined]
+            for (a, b), text, x, y, z in zip(some, joined, found, want, back):
+                upto = np.cumsum(self.size[x])
+                tokens = np.searchsorted(upto, end[a:b] - begin[a], side="right")
+                whole = len(upto) and upto[-1] == end[b - 1] - begin[a] and np.array_equal(upto[tokens - 1], end[a:b] - begin[a])
+                if whole and z == text[1:] and (y is None or np.array_equal(x, np.array(y, np.int32))):
+                    ids.append(x)
+                    numbers.append(np.diff(np.concatenate([[0], tokens])))
+                else:
+                    self._one_by_one(range(a, b), raw, begin, end, ids, numbers, good, odd, decode)
         self._one_by_one(alone, raw, begin, end, ids, numbers, good, odd, decode)
         # Back to the order of the words.
         n = np.concatenate([np.zeros(0, np.int64), *numbers])
