@@ -32,7 +32,7 @@ from . import blocks as K
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Bytes of text that are encoded together.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 
@@ -321,7 +321,7 @@ def sentencepiece_encode(docs: DataFrame, text: str = "text", model: str = MODEL
             flat, n, same, back = codec.encode(batch.column(at), decode)
             off = np.concatenate([[0], np.cumsum(n)])
             size = K.string_buffer(batch.column(at))[1]
-            for i, j in K.chunks(size, 4 << 20):
+            for i, j in K.chunks(size):
                 ids = pa.ListArray.from_arrays(pa.array(off[i : j + 1] - off[i], pa.int32()), pa.array(flat[off[i] : off[j]], pa.int32()))
                 cols = [ids, pa.array(same[i:j], pa.bool_()), *([back[i:j].cast(pa.string())] if decode else [])]
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, *cols], names=[*batch.schema.names, *new])
