@@ -10,7 +10,7 @@ Windows never cross documents and are judged on the input.
    anchor, a distinct string once per bucket.
 3. Each shard sorts the suffixes of its distinct strings by induced sorting (``suffix_array``) and
    computes permuted common prefixes; suffixes that share ``window`` bytes get the smallest id among
-   their owners.  The reply lists these ids, run-length coded, in the order of the request.
+   their owners.  A task takes a range of shards, one after another.  The reply lists these ids, run-length coded, in the order of the request.
 4. The bucket marks the windows whose smallest owner is smaller than their own document.
 
 Texts are shuffled once, compressed; anchors cost about 0.06 x 8 bytes a byte.  A hot passage reaches
@@ -32,6 +32,9 @@ from .blocks import U
 
 WINDOW = 50
 GRAM = 16
+#: Buckets for one hash range, and shards in one: a bucket sends a range one row, which holds its strings of all shards
+#: there, so rows grow with the square of the buckets divided by PER_PART; a shard is sorted on its own.
+PER_PART, SHARDS = 8, 16
 _FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,end:long>>"
 
@@ -257,6 +260,29 @@ def smallest_owner(buf: np.ndarray, lens: np.ndarray, owner: np.ndarray, window:
     return out
 
 
+def string_owners(prints: np.ndarray, owner: np.ndarray, lens: np.ndarray, buf: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Run-length coded smallest owners of the windows of a shard's strings: the distinct string of each string, the
+    number of runs of each distinct one, and the lengths and owners of these runs."""
+    off = np.cumsum(lens) - lens
+    # A string that several buckets sent enters the suffix array once, with its smallest owner.
+    order = np.lexsort((lens, prints))
+    sp, sl = prints[order], lens[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (sp[1:] != sp[:-1]) | (sl[1:] != sl[:-1])
+    at = np.flatnonzero(new)
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    one = order[at]
+    low_owner = np.minimum.reduceat(owner[order], at)
+    g, k = K.spread(lens[one])
+    low = smallest_owner(buf[off[one][g] + k], lens[one], low_owner, window)
+    wg, wk = K.spread(lens[one] - window + 1)
+    start = np.ones(len(low), bool)
+    start[1:] = (low[1:] != low[:-1]) | (wk[1:] == 0)
+    at = np.flatnonzero(start)
+    return which, np.bincount(wg[at], minlength=len(one)), np.diff(np.concatenate([at, [len(low)]])), low[at]
+
+
 # ---------------------------------------------------------------- buckets
 
 
@@ -327,8 +353,8 @@ def suffix_array_dedup(
     if not 1 <= gram <= window or gram % 8 and gram > 8:
         raise ValueError("gram must be at most window, and a multiple of 8 above 8")
     n = buckets or K.buckets_of(K.corpus_bytes(docs, text), bucket_bytes)
-    m_parts = parts or n
-    shards = 2 * m_parts  # a shard's suffix array takes about 60 bytes a byte of its distinct strings
+    m_parts = parts or max(6, -(-n // PER_PART))
+    shards = SHARDS * m_parts  # a shard's suffix array takes about 60 bytes a byte of its distinct strings
     code = K.Ids(docs, doc_id)
     packed = K.pack(docs, n, code, doc_id, text, carry, bucket_bytes)
     names = K.kept_names(carry, OUT.replace("<start:long,end:long>", ""))
@@ -347,56 +373,49 @@ def suffix_array_dedup(
             return K.rows_of([], [], [], ("part", "bucket"))
         ids, buf, off, doc, start, n_win, anchor, prints, first, _ = _candidates(table, replies, m_parts, window, gram)
         to, bodies = [], []
-        for p, a, b in K.cut_by_part(anchor[first], shards):
-            f = first[a:b]
+        in_shard = K.part_of(anchor[first], shards).astype(np.int64)
+        edges = np.searchsorted(in_shard, SHARDS * np.arange(m_parts + 1))
+        for p in np.flatnonzero(np.diff(edges)).tolist():
+            f = first[edges[p] : edges[p + 1]]
+            counts = np.bincount(in_shard[edges[p] : edges[p + 1]] - SHARDS * p, minlength=SHARDS).astype(np.int32)
             lens = n_win[f] + window - 1
             g, k = K.spread(lens)
             to.append(p)
-            bodies.append(len(f).to_bytes(8, "little") + K.squeeze(b"".join(x.tobytes() for x in (prints[f], ids[doc[f]], lens.astype(np.int32), buf[start[f][g] + k]))))
+            bodies.append(counts.tobytes() + K.squeeze(b"".join(x.tobytes() for x in (prints[f], ids[doc[f]], lens.astype(np.int32), buf[start[f][g] + k]))))
         return K.rows_of(to, [table["bucket"][0].as_py()] * len(to), bodies, ("part", "bucket"))
 
     strings = packed.groupBy("bucket").cogroup(repeated.groupBy("bucket")).applyInArrow(send, K.REQUEST)
 
     def shard(table: pa.Table) -> pa.Table:
-        prints, owner, lens, text_ = [], [], [], []
-        sizes = []
-        for x in table["body"].to_pylist():
-            m, raw = int.from_bytes(x[:8], "little"), K.unsqueeze(x[8:])
-            sizes.append(m)
-            prints.append(np.frombuffer(raw, U, m))
-            owner.append(np.frombuffer(raw, np.int64, m, 8 * m))
-            lens.append(np.frombuffer(raw, np.int32, m, 16 * m).astype(np.int64))
-            text_.append(np.frombuffer(raw, np.uint8, -1, 20 * m))
-        prints, owner, lens, buf = (np.concatenate(x) for x in (prints, owner, lens, text_))
-        off = np.cumsum(lens) - lens
-        # A string that several buckets sent enters the suffix array once, with its smallest owner.
-        order = np.lexsort((lens, prints))
-        sp, sl = prints[order], lens[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (sp[1:] != sp[:-1]) | (sl[1:] != sl[:-1])
-        at = np.flatnonzero(new)
-        which = np.empty(len(order), np.int64)
-        which[order] = np.cumsum(new) - 1
-        one = order[at]
-        low_owner = np.minimum.reduceat(owner[order], at)
-        g, k = K.spread(lens[one])
-        low = smallest_owner(buf[off[one][g] + k], lens[one], low_owner, window)
-        # Run-length code each string's windows.
-        wg, wk = K.spread(lens[one] - window + 1)
-        start = np.ones(len(low), bool)
-        start[1:] = (low[1:] != low[:-1]) | (wk[1:] == 0)
-        at = np.flatnonzero(start)
-        run_len, run_low = np.diff(np.concatenate([at, [len(low)]])), low[at]
-        n_runs = np.bincount(wg[at], minlength=len(one))
-        run_at = np.cumsum(n_runs) - n_runs
+        sent = []
+        for x in table["body"]:
+            x = x.as_buffer()
+            at = np.concatenate([[0], np.cumsum(np.frombuffer(x, np.int32, SHARDS))])
+            m, raw = int(at[-1]), K.unsqueeze(x[4 * SHARDS :])
+            lens = np.frombuffer(raw, np.int32, m, 16 * m).astype(np.int64)
+            off = np.concatenate([[0], np.cumsum(lens)])
+            sent.append((at, np.frombuffer(raw, U, m), np.frombuffer(raw, np.int64, m, 8 * m), lens, off, np.frombuffer(raw, np.uint8, -1, 20 * m)))
+        replies = [[] for _ in sent]
+        for k in range(SHARDS):
+            some = [(i, int(x[0][k]), int(x[0][k + 1])) for i, x in enumerate(sent) if x[0][k] < x[0][k + 1]]
+            if not some:
+                continue
+            prints, owner, lens = (np.concatenate([sent[i][c][a:b] for i, a, b in some]) for c in (1, 2, 3))
+            buf = np.concatenate([sent[i][5][sent[i][4][a] : sent[i][4][b]] for i, a, b in some])
+            which, n_runs, run_len, run_low = string_owners(prints, owner, lens, buf, window)
+            run_at = np.cumsum(n_runs) - n_runs
+            for (i, _, _), w in zip(some, np.split(which, np.cumsum([b - a for _, a, b in some])[:-1])):
+                g, j = K.spread(n_runs[w])
+                r = run_at[w][g] + j
+                replies[i].append((n_runs[w].astype(np.int32), run_len[r].astype(np.int32), run_low[r]))
         bodies = []
-        for w in np.split(which, np.cumsum(sizes)[:-1]):
-            g, k = K.spread(n_runs[w])
-            r = run_at[w][g] + k
-            bodies.append(b"".join((len(w).to_bytes(8, "little"), len(r).to_bytes(8, "little"), K.squeeze(n_runs[w].astype(np.int32).tobytes() + run_len[r].astype(np.int32).tobytes() + run_low[r].tobytes()))))
+        for x in replies:
+            n_runs, run_len, run_low = (np.concatenate(y) for y in zip(*x))
+            bodies.append(b"".join((len(n_runs).to_bytes(8, "little"), len(run_low).to_bytes(8, "little"), K.squeeze(n_runs.tobytes() + run_len.tobytes() + run_low.tobytes()))))
         return K.rows_of(table["bucket"].to_pylist(), table["part"].to_pylist(), bodies, ("bucket", "part"))
 
-    owners = strings.repartition(m_parts, "part").groupBy("part").applyInArrow(shard, K.REPLY)
+    # Ranges are few and large: a task takes one, where a hash of their numbers would give it several.
+    owners = strings.repartitionById(m_parts, F.col("part")).groupBy("part").applyInArrow(shard, K.REPLY)
     # Both replies of a bucket come back in one table; the part of a bitmap is stored as is, of owners as ~part.
     both = repeated.unionByName(owners.selectExpr("bucket", "~part AS part", "body"))
 

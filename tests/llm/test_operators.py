@@ -3,6 +3,7 @@
 import hashlib
 import math
 import os
+import random
 import re
 import zlib
 from collections import Counter
@@ -10,6 +11,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.llm import blocks as K
 from graphloom.llm import pipeline as corpus_pipeline
 from graphloom.llm import components, decontaminate, language_id, lm_score, media_jpeg, sentencepiece_backend, sharding, simhash, substring_dedup, suffix_dedup, wordpiece_len
 
@@ -124,6 +126,24 @@ def test_extreme_ids(spark, ids):
     assert sorted(str(r.doc_id) for r in lm_score.lm_score(df, buckets=2).collect()) == sorted(map(str, ids + ids))
 
 
+def test_passages_take_few_rows(spark, monkeypatch):
+    """A range of hashes serves several buckets, so that rows between buckets and ranges are not the square of the buckets."""
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    common = [text(70) for _ in range(40)]
+    rows = [(i, text(900) + rng.choice(common) + text(900)) for i in range(300)]
+    seen, repeated = [], K.repeated
+    monkeypatch.setattr(K, "repeated", lambda requests, parts: seen.append((requests, parts)) or repeated(requests, parts))
+    got = suffix_dedup.suffix_array_dedup(spark.createDataFrame(rows, "doc_id long, text string"), buckets=64).collect()
+    requests, parts = seen[0]
+    assert parts == 8 and requests.count() <= 64 * 8
+    for r in got:
+        mine = dict(rows)[r.doc_id].encode()
+        smaller = {t.encode()[k : k + 50] for i, t in rows if i < r.doc_id for k in range(len(t) - 49)}
+        gone = {k + j for k in range(len(mine) - 49) if mine[k : k + 50] in smaller for j in range(50)}
+        assert r.kept == bytes(c for k, c in enumerate(mine) if k not in gone)
+
+
 def test_texts_longer_than_a_bucket(spark):
     """Texts of up to 130 KB, in buckets of 4 KB; as media they take several images."""
     import random
