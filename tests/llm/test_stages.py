@@ -67,6 +67,64 @@ def test_near_copies(spark, monkeypatch, frequent):
     assert near_copies.near_copies(df.limit(0), "i").count() == 0
 
 
+def families():
+    """Edited copies of two texts, at both sides of the threshold, and of one text between them."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    out = []
+    for size in (60, 90):
+        base = [word() for _ in range(size)]
+        for _ in range(70):
+            w = list(base)
+            for at in rng.sample(range(size), rng.choice([0, 1, 1, 2, 2, 3, 4, 8])):
+                w[at] = word()
+            out.append(" ".join(w))
+    return out + [" ".join(out[0].split()[:30] + out[70].split()[:30])]
+
+
+def test_families_of_near_copies(spark, monkeypatch):
+    """Families in several blocks, compared with columns of a matrix and without, link like all pairs."""
+    texts = families() + corpus()
+    sets = [shingles(t) for t in texts]
+    group = linked(len(texts), lambda a, b: jaccard(sets[a], sets[b]) >= 0.8 - 1e-9)
+    low = {g: min(i for i, x in enumerate(group) if x == g) for g in group}
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string").repartition(3)
+    for least, block, columns in ((4, 16, 8), (32, 1024, 1024)):
+        monkeypatch.setattr(near_copies, "FAMILY", least)
+        monkeypatch.setattr(near_copies, "BLOCK_SETS", block)
+        monkeypatch.setattr(near_copies, "COLUMNS", columns)
+        got = {r.key: r.group for r in near_copies.near_copies(df, "i").collect()}
+        assert got == {i: low[g] for i, g in enumerate(group)}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 40), min_size=1, max_size=12), min_size=2, max_size=24), st.integers(1, 24), st.integers(2, 5))
+def test_compared_blocks_link_like_all_pairs(xs, left, dense):
+    left = min(left, len(xs))
+    h = np.concatenate([np.array(sorted(v), np.uint64) for v in xs])
+    before, near_copies.DENSE = near_copies.DENSE, dense
+    try:
+        links = list(zip(*near_copies.compared(h, np.array([len(v) for v in xs]), left, 0.5)))
+    finally:
+        near_copies.DENSE = before
+    side = lambda i: left == len(xs) or i < left
+    want = linked(len(xs), lambda a, b: (left == len(xs) or side(a) != side(b)) and jaccard(xs[a], xs[b]) >= 0.5 - 1e-9)
+    got = linked(len(xs), lambda a, b: (a, b) in links or (b, a) in links)
+    assert [got.index(g) for g in got] == [want.index(g) for g in want]
+
+
+def test_meetings_of_many_are_bounded(monkeypatch):
+    """Sets of one family do not meet, and what others give is handed out in pieces."""
+    monkeypatch.setattr(near_copies, "PAIRS", 1 << 10)
+    m = 300
+    h, key, n = np.zeros(m, np.uint64), np.arange(1, m + 1).astype(np.uint64), np.full(m, 9)
+    family = np.where(np.arange(m) < 200, 7, key).astype(np.uint64)
+    pieces = list(near_copies._meetings(h, key, n, family, 0.8))
+    assert max(p.shape[1] for p in pieces) <= 2 << 10
+    met = {(a, b) for p in pieces for a, b in zip(p[0].tolist(), p[1].tolist())}
+    assert met == {(a, b) for a in range(1, m + 1) for b in range(max(a, 200) + 1, m + 1)}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.sets(st.integers(0, 400), max_size=90), st.sets(st.integers(0, 400), max_size=30))
 def test_bitmaps_bound_what_is_shared(a, b):
