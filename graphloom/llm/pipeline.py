@@ -10,6 +10,7 @@ rows without an id and rows that repeat one are judged like all others.
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,22 @@ from .components import checkpointed, components
 BROADCAST_IDS = 1_000_000
 
 
+def small_heaps(spark: SparkSession) -> None:
+    """Has the executors collect their garbage: a heap gives memory back to the system only then, and what one stage has
+    left of it unused would stand beside the Python workers of the next."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc")).alias("x")).write.format("noop").mode("overwrite").save()
+
+
+def _with_small_heaps(stage):
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_heaps(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
     """docs with a number for each row, the same wherever it is used: files that are read as they are give the same rows in
     the same order each time; anything else is written once."""
@@ -108,6 +125,7 @@ STAGES = [
     ("benchmark_decontamination", benchmark_leaks),
     ("sentencepiece", encode),
 ]
+STAGES = [(name, _with_small_heaps(stage)) for name, stage in STAGES]
 #: SimHash needs XXH64 and language ID a fitted model, which SQL cannot express.
 ORACLE_SQL = None
 

@@ -200,3 +200,13 @@ def test_passages_leave_other_bytes_alone(spark):
                 kept.append(c)
             at += size
         assert (got[i].text, got[i].n_chars) == ("".join(kept), len(kept)), i
+
+
+def test_stages_start_with_small_heaps(spark):
+    """Executors collect their garbage before each stage; here they are the driver."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    done = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    docs = spark.createDataFrame([(1, "a text")], "doc_id long, text string")
+    before = done()
+    dict(corpus_pipeline.STAGES)["language_id"](spark, docs.withColumn("lang", F.lit(None).cast("string")).withColumn("source", F.lit("x")), "")
+    assert done() > before
