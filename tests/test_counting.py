@@ -75,3 +75,41 @@ def test_ids_beyond_32_bits_are_relabelled_for_counts(spark):
     g = Graph.from_edges(spark.createDataFrame([(-5, 1 << 40), (1 << 40, 7), (7, -5), (7, 8)], "src long, dst long"))
     assert [_plan(g, n, "vertex").run().result for n in ("triangle", "wedge", "square")] == [1, 2, 0]
     g.unpersist()
+
+
+@pytest.mark.parametrize("most", [1, 4000])
+def test_plans_beyond_the_broadcast_bound(spark, most, monkeypatch):
+    """All pruning types read triangles there; rows that are few (most: 4000) are broadcast to the edges, others shuffled."""
+    from graphloom.operators import match
+
+    rng = random.Random(13)
+    rows = [(i, j) for i in range(9) for j in range(i) if rng.random() < 0.75]
+    adj = [{j for e in rows for j in e if i in e and j != i} for i in range(9)]
+    g = Graph.from_edges(spark.createDataFrame(rows, "src long, dst long"))
+    monkeypatch.setattr(match, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(Graph, "num_edges", property(lambda self: 5000 if self is g else self._summary[1]))
+    for name in ("p2", "p3", "p5", "p6", "p7"):
+        p = Pattern(CATALOGUE[name])
+        edge, vertex = brute(adj, p, False), brute(adj, p, True)
+        assert edge
+        for kind, want in (("edge", edge), ("vertex", vertex), ("edge_iep", edge)):
+            plan = _plan(g, name, kind)
+            assert plan.run().result == want, (name, kind)
+    plan = compile_plan(g, CATALOGUE["p4"], "edge", "static", scheduler="structural")
+    assert plan.run().result == brute(adj, Pattern(CATALOGUE["p4"]), False) == plan.matches().count()
+    for pruning in ("static", "online", "costmodel"):
+        assert compile_plan(g, CATALOGUE["p3"], "edge", pruning, scheduler="structural").run().result == brute(adj, Pattern(CATALOGUE["p3"]), False)
+    g.unpersist()
+
+
+def test_no_wedge_is_shuffled(spark, monkeypatch):
+    """Hubs without triangles: 80,000 vertices that two hubs share have 6.4 billion wedges, and no triangle."""
+    from graphloom.operators import match
+
+    monkeypatch.setattr(match, "BROADCAST_ROWS", 1000)
+    pairs_ = spark.range(80000).selectExpr("explode(array(0, 1)) AS src", "id + 2 AS dst")
+    g = Graph.from_edges(pairs_)
+    for pruning in ("none", "static"):
+        r = compile_plan(g, CATALOGUE["p2"], "vertex", pruning, scheduler="structural").run(timeout=60)
+        assert r.finished and r.result == 0
+    g.unpersist()
