@@ -67,3 +67,28 @@ def test_pieces_hold_whole_lists(monkeypatch):
     ptr = np.concatenate([[0], np.cumsum(of("degree"))])
     lists = list(binary._lists(ptr, np.array(of("indices")), 0))
     assert len(lists) == len(pieces) and [(int(a), int(b)) for x, y in lists for a, b in zip(x, y)] == rows
+
+
+def test_edges_are_shuffled_once_for_storage(spark, tmp_path, monkeypatch):
+    """The written plan ranges the edges, groups them where they are and joins nothing; dense ids are given to an edge once."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    rows = [(i, (i * 7 + k) % 90) for i in range(90) for k in range(1, 6)]
+    g = Graph.from_edges(spark.createDataFrame(rows, "src long, dst long"), dense=True)
+    assert g._base.storageLevel.useMemory and g._base.count() * 2 == g.num_edges
+    plans, write = [], DataFrameWriter.parquet
+
+    def seen(self, path, *a, **k):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return write(self, path, *a, **k)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", seen)
+    meta = g.save(str(tmp_path / "g"))
+    assert "Join" not in plans[0].split("InMemoryRelation")[0] and plans[0].split("InMemoryRelation")[0].count("rangepartitioning") == 1
+    h = Graph.from_preprocessed(spark, str(tmp_path / "g"))
+    assert h.metadata == meta and sorted(map(tuple, h.edges.collect())) == sorted(map(tuple, g.edges.collect()))
+    stored = {r.vid: r for r in spark.read.parquet(str(tmp_path / "g" / "adjacency.parquet")).collect()}
+    assert {v: r.triangles for v, r in stored.items()} == {r.vid: r.triangles for r in g.raw_triangles().collect()}
+    assert {v: (r.degree, r.offset) for v, r in stored.items()} == {r.vid: (r.degree, r.offset) for r in g.degrees().collect()}
+    g.unpersist()
+    assert not g._base.storageLevel.useMemory
